@@ -9,7 +9,7 @@ from queries.registry import query
 from stagewise.functions import columns as C
 from stagewise.operators import match as M
 from stagewise.operators import stages as S
-from stagewise.operators.keyed import first_per_key, first_seen, next_event
+from stagewise.operators.keyed import first_per_key, first_seen, first_trial, next_event
 from stagewise.operators.labelling import explode_json
 from stagewise.operators.lead_type import label_lead_type
 
@@ -229,8 +229,10 @@ def led_requests(spark, d):
     """Requests with staff log, nearest lead, first trials and derived lead time."""
     requests = V.request(spark, d)
     leads = V.lead(spark, d).select("person", "lead_id", "lead_code", "lead_at")
-    with_lead = M.asof(requests, leads, ["person"], "request_at", "lead_at", "lead_id", "prev", "m")
-    with_log = M.asof(with_lead, V.stafflog(spark, d), ["person"], "request_at", "log_at", "log_id", "prev", "s")
+    hot = V.hot_persons(spark, d)
+    with_lead = M.asof(requests, leads, ["person"], "request_at", "lead_at", "lead_id", "prev", "m", hot=hot)
+    log = V.stafflog(spark, d)
+    with_log = M.asof(with_lead, log, ["person"], "request_at", "log_at", "log_id", "prev", "s", hot=hot)
     near = C.seconds_between(F.col("m.lead_at"), F.col("request_at")) < HALF_DAY
     recent = F.col("s.log_at") >= F.col("request_at") - F.expr("interval 1 day")
     rows = with_log.select(
@@ -241,8 +243,6 @@ def led_requests(spark, d):
         F.when(near, F.col("m.lead_code") % 2).alias("rule_flag"),
         F.when(recent, F.col("s.log_id")).alias("log_id"),
     )
-    from stagewise.operators.keyed import first_trial
-
     trials = requests.select("person", "code", "request_id", "request_at", "canceled_at")
     by_code = first_trial(trials, ["person", "code"], "canceled_at", "request_at", "request_id")
     by_person = first_trial(trials, ["person"], "canceled_at", "request_at", "request_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stagewise.config import FunnelConfig
 from stagewise.functions import vocab
 from stagewise.functions.columns import code_label
+from stagewise.operators.skew import HotGroups, find_hot
 from stagewise.sources.tables import FunnelSources
 
 TABLES = (
@@ -83,6 +84,11 @@ def stafflog(spark, sf_dir) -> DataFrame:
     )
 
 
+def hot_persons(spark, sf_dir) -> HotGroups:
+    """Persons with very many events; one narrow pass serves all joins of a query."""
+    return find_hot(table(spark, sf_dir, "events").select(F.col("user_id").alias("person")), ["person"])
+
+
 def person(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS person",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.operators.skew import HOT_ROWS, join_same, split_hot
+from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, join_same
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
@@ -31,24 +31,25 @@ def next_event(
     tie: Sequence[str],
     out: str = "next_ts",
     hot_rows: int = HOT_ROWS,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Time of the following row of the same key, NULL for the last."""
-    ordinary, hot = split_hot(df, keys, hot_rows)
     order = [F.col(ts), *tie]
-    plain = ordinary.withColumn(out, F.lead(ts).over(Window.partitionBy(*keys).orderBy(*order)))
-
-    sliced = hot.withColumn("_slice", F.date_trunc("hour", ts))
-    slice_keys = [*keys, "_slice"]
-    inside = sliced.withColumn(out, F.lead(ts).over(Window.partitionBy(*slice_keys).orderBy(*order)))
-    # the last row of a slice is followed by the first of the next slice
-    starts = sliced.groupBy(*slice_keys).agg(F.min(ts).alias("_start"))
-    follow = starts.withColumn("_follow", F.lead("_start").over(Window.partitionBy(*keys).orderBy("_slice")))
-    split = (
-        join_same(inside, follow.drop("_start"), slice_keys)
-        .withColumn(out, F.coalesce(out, "_follow"))
-        .drop("_slice", "_follow")
-    )
-    return plain.unionByName(split)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(out, F.lead(ts).over(Window.partitionBy(*keys).orderBy(*order)))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        cut = rows.withColumn("_slice", F.date_trunc("hour", ts))
+        by = [*keys, "_slice"]
+        inside = cut.withColumn(out, F.lead(ts).over(Window.partitionBy(*by).orderBy(*order)))
+        # the last row of a slice is followed by the first of the next slice
+        starts = cut.groupBy(*by).agg(F.min(ts).alias("_start"))
+        follow = starts.withColumn("_follow", F.lead("_start").over(Window.partitionBy(*keys).orderBy("_slice")))
+        joined = join_same(inside, follow.drop("_start"), by)
+        return joined.withColumn(out, F.coalesce(out, "_follow")).drop("_slice", "_follow")
+
+    return by_group_size(df, keys, plain, sliced, hot, hot_rows)
 
 
 def first_trial(

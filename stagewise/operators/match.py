@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.functions.columns import seconds_between
-from stagewise.operators.skew import HOT_ROWS, join_same, split_hot
+from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, join_same
 
 LEFT, RIGHT = 0, 1
 
@@ -23,6 +23,7 @@ def asof(
     direction: str = "next",
     out: str = "match",
     hot_rows: int = HOT_ROWS,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Each left row with the nearest right row strictly after it (or before it).
 
@@ -55,19 +56,24 @@ def asof(
         seen = F.last("_found", ignorenulls=True).over(w)
         return df.withColumn(out, seen).where(F.col("_side") == LEFT)
 
-    ordinary, hot = split_hot(rows, keys, hot_rows)
-    plain = sweep(ordinary, keys)
+    def finish(df: DataFrame) -> DataFrame:
+        match = F.when(F.col("_t").isNotNull(), F.col(out)).alias(out)
+        return df.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in carried], match)
 
-    sliced = hot.withColumn("_slice", F.date_trunc("hour", "_t"))
-    slice_keys = [*keys, "_slice"]
-    best = sliced.groupBy(*slice_keys).agg(nearest("_found").alias("_best"))
-    passed = Window.partitionBy(*keys).orderBy(*sort("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = best.withColumn("_carry", F.last("_best", ignorenulls=True).over(passed)).drop("_best")
-    split = join_same(sweep(sliced, slice_keys), carry, slice_keys).withColumn(out, F.coalesce(out, "_carry"))
+    def plain(df: DataFrame) -> DataFrame:
+        return finish(sweep(df, keys))
 
-    match = F.when(F.col("_t").isNotNull(), F.col(out)).alias(out)
-    columns = [*keys, *[F.col(f"_row.{c}").alias(c) for c in carried], match]
-    return plain.select(*columns).unionByName(split.select(*columns))
+    def sliced(df: DataFrame) -> DataFrame:
+        cut = df.withColumn("_slice", F.date_trunc("hour", "_t"))
+        by = [*keys, "_slice"]
+        # what a slice hands on: the nearest right row of the slices swept before it
+        best = cut.groupBy(*by).agg(nearest("_found").alias("_best"))
+        passed = Window.partitionBy(*keys).orderBy(*sort("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+        carry = best.withColumn("_carry", F.last("_best", ignorenulls=True).over(passed)).drop("_best")
+        joined = join_same(sweep(cut, by), carry, by)
+        return finish(joined.withColumn(out, F.coalesce(out, "_carry")))
+
+    return by_group_size(rows, keys, plain, sliced, hot, hot_rows)
 
 
 def nearest_match(
@@ -82,6 +88,7 @@ def nearest_match(
     max_gap: int,
     rank_side: str = "lead",
     hot_rows: int = HOT_ROWS,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Pairs of a lead and a later request of the same person.
 
@@ -96,10 +103,10 @@ def nearest_match(
         # one row per person and subject: few per person, and free of copies
         asked = keyed.select(person, "_key").where(F.col(person).isNotNull()).distinct()
         wanted = leads.join(asked, person)
-        pairs = asof(wanted, keyed, [person, "_key"], lead_ts, request_ts, request_id, "next", "_m", hot_rows)
+        pairs = asof(wanted, keyed, [person, "_key"], lead_ts, request_ts, request_id, "next", "_m", hot_rows, hot)
         columns = [*leads.columns, *[F.col(f"_m.{c}").alias(c) for c in requests.columns if c != person]]
     else:
-        pairs = asof(requests, leads, [person], request_ts, lead_ts, lead_id, "prev", "_m", hot_rows)
+        pairs = asof(requests, leads, [person], request_ts, lead_ts, lead_id, "prev", "_m", hot_rows, hot)
         columns = [
             *[F.col(c if c == person else f"_m.{c}").alias(c) for c in leads.columns],
             *[c for c in requests.columns if c != person],

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stagewise.functions import vocab
 from stagewise.functions.columns import period
 from stagewise.operators.keyed import first_per_key
-from stagewise.operators.skew import HOT_ROWS, join_same, split_hot
+from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, join_same
 from stagewise.operators.stages import fallback_key
 
 GRAINS = ("day", "week", "month")
@@ -40,6 +40,7 @@ def period_flags(
     sentinel: str = "2018-01-01",
     exact_daily_lead: bool = False,
     hot_rows: int = HOT_ROWS,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Adds two numbers per grain; a row numbered 1 counts in its period.
 
@@ -51,10 +52,15 @@ def period_flags(
     All windows contain the person, so one shuffle by person serves them all.
     Persons with more than ``hot_rows`` rows are numbered slice by slice.
     """
-    ordinary, hot = split_hot(df, [cols.person], hot_rows)
-    plain = _numbered(ordinary.repartition(cols.person), cols, grains, exact_daily_lead)
-    split = _numbered_in_slices(hot, cols, grains, exact_daily_lead)
-    return _choose(plain.unionByName(split), df, cols, grains, sentinel)
+    ranked = by_group_size(
+        df,
+        [cols.person],
+        lambda rows: _numbered(rows.repartition(cols.person), cols, grains, exact_daily_lead),
+        lambda rows: _numbered_in_slices(rows, cols, grains, exact_daily_lead),
+        hot,
+        hot_rows,
+    )
+    return _choose(ranked, df, cols, grains, sentinel)
 
 
 def _lead_periods(cols: FlagColumns, grain: str, exact_daily_lead: bool, product: bool) -> Column:

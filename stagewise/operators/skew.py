@@ -1,53 +1,74 @@
 """Exact windows over groups that may hold a large share of all rows.
 
-A window puts each group into one task. Groups above ``hot_rows`` rows are
-therefore cut into slices that follow the window's order; what a slice needs
-from the slices before or after it travels in a summary with one row per slice.
+A window puts each group into one task. Before one is planned, the group sizes
+are counted; groups above ``hot_rows`` rows are then cut into slices that follow
+the window's order, and what a slice needs from the slices before or after it
+travels in a summary with one row per slice. Without such groups the plan is
+the ordinary window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-
+from stagewise.session import Workspace
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str = "_k_") -> tuple[DataFrame, Column]:
-    """Rename the right keys and give the null-safe equality of both sides."""
-    for key in keys:
-        right = right.withColumnRenamed(key, prefix + key)
-    cond = F.lit(True)
-    for key in keys:
-        cond = cond & left[key].eqNullSafe(right[prefix + key])
-    return right, cond
+HOT_ROWS = 1_000_000
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on keys where NULL equals NULL; the left keys are kept."""
-    right, cond = same(left, right, keys)
+    cond: Column = F.lit(True)
+    for key in keys:
+        right = right.withColumnRenamed(key, "_k_" + key)
+    for key in keys:
+        cond = cond & left[key].eqNullSafe(right["_k_" + key])
     joined = left.join(right, cond, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*["_k_" + k for k in keys])
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Keys of the groups with more than ``hot_rows`` rows.
+@dataclass(frozen=True)
+class HotGroups:
+    """The outcome of a size check: the keys of the large groups, if there are any."""
+
+    keys: DataFrame | None
+
+
+def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> HotGroups:
+    """Count the groups and list those with more than ``hot_rows`` rows.
 
-    Counts combine before the shuffle. At most ``rows / hot_rows`` keys can be
-    listed (100,000 for 10**11 rows at the default), which bounds the broadcast.
+    Runs one job over the key columns; counts combine before the shuffle.
+    At most ``rows / hot_rows`` keys can be listed (100,000 for 10**11 rows at
+    the default), which is what bounds the broadcast of the list.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.where(F.col("_n") > hot_rows).select(*keys)
+    large = sizes.where(F.col("_n") > hot_rows).select(*keys)
+    return HotGroups(None if large.isEmpty() else Workspace(df.sparkSession).stage(large, "hot"))
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int, counted: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """The rows of ordinary groups, and the rows of hot ones.
+def by_group_size(
+    df: DataFrame,
+    keys: Sequence[str],
+    plain: Callable[[DataFrame], DataFrame],
+    sliced: Callable[[DataFrame], DataFrame],
+    hot: HotGroups | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``plain`` over the ordinary groups, ``sliced`` over the large ones.
 
-    ``counted`` may name a cheaper relation with the same group sizes.
+    ``hot`` may come from a cheaper relation or name some of the keys only; a
+    wrong guess costs time, never results. With large groups the rows are staged
+    once, as the two ways and the slice summaries all read them.
     """
-    hot = F.broadcast(hot_groups(df if counted is None else counted, keys, hot_rows))
-    return join_same(df, hot, keys, "left_anti"), join_same(df, hot, keys, "left_semi")
+    hot = find_hot(df, keys, hot_rows) if hot is None else hot
+    if hot.keys is None:
+        return plain(df)
+    rows = Workspace(df.sparkSession).stage(df, "rows")
+    listed, on = F.broadcast(hot.keys), hot.keys.columns
+    return plain(join_same(rows, listed, on, "left_anti")).unionByName(
+        sliced(join_same(rows, listed, on, "left_semi"))
+    )

@@ -12,6 +12,7 @@ from stagewise.operators.keyed import first_per_key
 from stagewise.operators.labelling import launch_rules, with_canonical_page, with_rule_flag
 from stagewise.operators.lead_type import unconverted_lead_type
 from stagewise.operators.match import nearest_match
+from stagewise.operators.skew import HotGroups
 from stagewise.operators.stages import exclude_test_records
 from stagewise.sources.tables import FunnelSources
 
@@ -36,7 +37,9 @@ def first_leads_of_day(leads: DataFrame) -> DataFrame:
     return first_per_key(dated, ["phone", "subject", "lead_day"], ["created_at"])
 
 
-def matched_leads(leads: DataFrame, requests: DataFrame, cfg: FunnelConfig) -> DataFrame:
+def matched_leads(
+    leads: DataFrame, requests: DataFrame, cfg: FunnelConfig, hot: HotGroups | None = None
+) -> DataFrame:
     """Leads with the request they led to."""
     named = leads.where(F.col("phone").isNotNull()).select(
         "phone",
@@ -57,6 +60,7 @@ def matched_leads(leads: DataFrame, requests: DataFrame, cfg: FunnelConfig) -> D
         max_gap=cfg.max_gap_seconds,
         rank_side=cfg.rank_side,
         hot_rows=cfg.hot_rows,
+        hot=hot,
     )
 
 

@@ -11,6 +11,7 @@ from stagewise.functions import vocab
 from stagewise.operators.keyed import first_per_key, first_seen, next_event
 from stagewise.operators.labelling import explode_json
 from stagewise.operators.match import followed_by
+from stagewise.operators.skew import find_hot
 from stagewise.operators.stages import exclude_test_records
 from stagewise.plans.requests import paid_lessons
 from stagewise.sources.tables import FunnelSources
@@ -67,8 +68,10 @@ def purchases_before(src: FunnelSources, cfg: FunnelConfig) -> DataFrame:
 def purchases_after(src: FunnelSources, cfg: FunnelConfig) -> DataFrame:
     """New era: payments followed by a first paid lesson, or the client's first ever."""
     paid = paid_payments(src, cfg)
+    # group sizes come from the raw table, without the join above
+    hot = find_hot(src.payments, ["client_id"], cfg.hot_rows)
     new = next_event(
-        paid.where("has_package").where(~_old(cfg)), ["client_id"], "moment", ["id"], "next_moment", cfg.hot_rows
+        paid.where("has_package").where(~_old(cfg)), ["client_id"], "moment", ["id"], "next_moment", hot=hot
     )
     first_ever = first_seen(paid, ["client_id"], "moment", "first_moment")
     dated = (

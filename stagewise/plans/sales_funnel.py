@@ -11,6 +11,7 @@ from stagewise.functions import vocab
 from stagewise.operators.lead_type import request_lead_type
 from stagewise.operators.match import attribute_within
 from stagewise.operators.periods import GRAINS, FlagColumns, period_flags, period_labels
+from stagewise.operators.skew import find_hot
 from stagewise.operators.stages import (
     Stage,
     attach_stages,
@@ -135,7 +136,9 @@ def request_rows(
         ],
     )
     logged = created_by_staff(staged, R.staff_log(src), ["student_id", "subject_id", "lesson_id"], "lesson_id")
-    matched = L.matched_leads(leads, R.matchable_requests(trials, src.subjects, cfg), cfg).select(
+    contacts = src.landing_leads.select("phone").unionAll(trials.select("parent_phone"))
+    hot_phones = find_hot(contacts, ["phone"], cfg.hot_rows)
+    matched = L.matched_leads(leads, R.matchable_requests(trials, src.subjects, cfg), cfg, hot_phones).select(
         F.col("phone").alias("_phone"),
         F.col("lesson_id").alias("_lesson"),
         "lal_created_at",
