@@ -6,6 +6,7 @@ import sys
 import time
 
 import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 
@@ -42,7 +43,7 @@ def normal(frame: pd.DataFrame) -> list[tuple]:
             return ""
         if hasattr(v, "isoformat"):
             return pd.Timestamp(v).isoformat()
-        if isinstance(v, bool) or type(v).__name__ == "bool_":
+        if isinstance(v, (bool, np.bool_)):
             return str(bool(v))
         if isinstance(v, (int, float)) or hasattr(v, "dtype"):
             return repr(float(v))

@@ -72,7 +72,7 @@ stacked AS (
 def stacked(spark, d):
     """Requests with all stages over leads, tagged 1 and 2."""
     hot = V.hot_persons(spark, d)
-    led = led_requests(spark, d)
+    led = led_requests(spark, d, hot)
     keys = ["person", "code"]
     staged = M.asof(led, V.done(spark, d), keys, "request_at", "done_at", "done_id", "next", "f", hot=hot)
     bought = V.purchase(spark, d).drop("amount")

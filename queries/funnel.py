@@ -1,0 +1,372 @@
+"""The whole funnel over the bound source tables, and its larger parts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from queries import views as V
+from queries.registry import query
+from stagewise.functions import vocab
+from stagewise.plans import leads as L
+from stagewise.plans import purchases as P
+from stagewise.plans import report as R
+from stagewise.plans import requests as Q
+from stagewise.plans.sales_funnel import FLAG_COLUMNS, LABEL_PERSON, STAGE_COLUMNS, sales_funnel
+
+CFG = V.CONFIG
+LO, HI, ERA = CFG.lo, CFG.hi, CFG.era_cut
+TEST_LEADS, TEST_STUDENTS = vocab.TEST_LEAD_NAMES, vocab.TEST_STUDENT_NAMES
+
+_LEVEL = "CASE WHEN {0} IN ('grade_1_4', 'middle_school', 'high_school') THEN {0} ELSE 'undefined' END"
+_BY_ID = " ".join(f"WHEN '{c}/{g}' THEN '{p}'" for (c, g), p in vocab.PRODUCTS_BY_ID.items())
+_BY_NAME = " ".join(f"WHEN '{s}/{g}' THEN '{p}'" for (s, g), p in vocab.PRODUCTS.items())
+_CODES = " ".join(f"WHEN '{s}' THEN {c}" for c, s in vocab.SUBJECTS.items())
+_TAG_NAMES = vocab.TAGS
+_LEAD_TAGS = [t + "_lead" for t in _TAG_NAMES]
+_PATH = "CASE WHEN contains(page_url, '?') THEN substring(page_url, 1, position('?' IN page_url) - 1) ELSE page_url END"
+_LABELS = " ".join(f"WHEN contains(path, '{t}') THEN '{p}'" for t, p in vocab.PAGE_LABELS)
+
+
+def _rules():
+    out = []
+    for test, texts, launched, by_day in vocab.LAUNCHES:
+        call = "contains" if test == "contains" else "suffix"
+        pages = " OR ".join(f"{call}(page, '{t.format(site=CFG.site)}')" for t in texts)
+        when = f"CAST(created_at AS DATE) >= DATE '{launched[:10]}'" if by_day else f"created_at > TIMESTAMP '{launched}'"
+        out.append(f"(({pages}) AND {when})")
+    return " OR ".join(out)
+
+
+_SLOT = "canceled_at NULLS LAST, created_at, lesson_id"
+_OK_KIND = "kind NOT IN (2, 5, 6)"
+
+TRIALS_SQL = f"""WITH {V.SOURCES_SQL},
+trials AS (
+  SELECT l.id AS lesson_id, l.* EXCLUDE (id), s.id AS student_id, s.first_name, s.last_name, s.phone AS student_phone,
+         p.first_name AS p_first, p.last_name AS p_last, p.phone AS parent_phone, p.created_at AS parent_created_at,
+         p.is_location_moscow
+  FROM s_lessons l JOIN s_lessons_students b ON b.lesson_id = l.id JOIN s_students s ON s.id = b.student_id
+  JOIN s_parents p ON p.id = s.parent_id WHERE l.trial),
+first_trial AS (SELECT student_id, subject_id, lesson_id, created_at FROM trials WHERE {_OK_KIND}
+  QUALIFY row_number() OVER (PARTITION BY student_id, subject_id ORDER BY {_SLOT}) = 1),
+first_any AS (SELECT student_id, lesson_id, created_at FROM trials WHERE {_OK_KIND}
+  QUALIFY row_number() OVER (PARTITION BY student_id ORDER BY {_SLOT}) = 1),
+reasons AS (SELECT lesson_id, min(reason) AS reason FROM s_lessons_students_statuses GROUP BY 1),
+reqs AS (
+  SELECT t.student_id, t.first_name, t.is_location_moscow, parent_phone, coalesce(parent_phone, student_phone) AS phone,
+         parent_created_at, t.lesson_id, reason, subject_id, {_LEVEL.format('t.grade_kind')} AS grade_kind, t.created_at,
+         t.time_start
+  FROM (SELECT * FROM trials WHERE {_OK_KIND} AND coalesce(first_name, last_name) IS NOT NULL
+          AND coalesce(p_first, p_last) IS NOT NULL AND coalesce(parent_phone, student_phone) IS NOT NULL
+          AND created_at BETWEEN TIMESTAMP '{LO}' AND TIMESTAMP '{HI}'
+        QUALIFY row_number() OVER (PARTITION BY student_id, subject_id, grade_kind, time_start ORDER BY {_SLOT}) = 1) t
+  LEFT JOIN reasons r ON r.lesson_id = t.lesson_id),
+fin AS (SELECT student_id, subject_id, {_LEVEL.format('grade_kind')} AS grade_kind, lesson_id, time_start
+  FROM trials WHERE NOT coalesce(test, false) AND status IN (2, 3))
+"""
+
+
+def _trials(spark, d):
+    src = V.sources(spark, d)
+    return src, Q.trial_lessons(src)
+
+
+@query("requests", TRIALS_SQL + "SELECT student_id, phone, lesson_id, reason, subject_id, grade_kind, time_start FROM reqs")
+def requests(spark, d):
+    src, trials = _trials(spark, d)
+    return Q.requests(trials, src.lessons_students_statuses, CFG).select(
+        "student_id", "phone", "lesson_id", "reason", "subject_id", "grade_kind", "time_start")
+
+
+@query("finished", TRIALS_SQL + "SELECT * FROM fin")
+def finished(spark, d):
+    return Q.finished(_trials(spark, d)[1], CFG)
+
+
+@query("staff_log", f"""WITH {V.SOURCES_SQL}
+SELECT g.id AS log_id, g.lesson_id, g.student_id, l.subject_id FROM s_lesson_creation_logs g
+JOIN s_lessons l ON l.id = g.lesson_id WHERE l.trial
+""")
+def staff_log(spark, d):
+    return Q.staff_log(V.sources(spark, d)).select("log_id", "lesson_id", "student_id", "subject_id")
+
+
+@query("paid_lessons", f"""WITH {V.SOURCES_SQL}
+SELECT lesson_id, student_id, subject_id, {_LEVEL.format('grade_kind')} AS grade_kind, created_at
+FROM s_lessons l JOIN s_lessons_students b ON b.lesson_id = l.id
+WHERE NOT coalesce(trial, false) AND status IN (0, 1, 2, 3)
+""")
+def paid_lessons(spark, d):
+    rows = Q.paid_lessons(V.sources(spark, d), CFG)
+    level = F.when(F.col("grade_kind").isin(*vocab.SCHOOL_LEVELS), F.col("grade_kind")).otherwise(vocab.UNDEFINED)
+    return rows.select("lesson_id", "student_id", "subject_id", level.alias("grade_kind"), "created_at")
+
+
+_LINES = """
+lines AS (
+  SELECT id, client_id, moment, amount, testing, trim(unnest(
+    CASE WHEN data LIKE '[%' THEN CAST(json_extract(data, '$[*].Description') AS VARCHAR[])
+         WHEN data LIKE '{%' THEN [CAST(json_extract(data, '$.Description') AS VARCHAR)] END), '"') AS text
+  FROM s_payments WHERE NOT coalesce(testing, false) AND amount > 1)"""
+_PAY = f""",
+{_LINES.strip()},
+states AS (SELECT payment_id, bool_or(state = 'paid') AS paid, bool_or(state IN ('paid', 'cancelled')) AS accepted,
+                  bool_or(data IS NOT NULL) AS has_package FROM s_orders GROUP BY 1),
+before AS (
+  SELECT client_id, subject_id, CAST(moment AS DATE) AS moment, amount
+  FROM (SELECT *, CASE WHEN contains(text, 'англ') THEN 1 WHEN contains(text, 'матем') THEN 2 END AS subject_id
+        FROM lines WHERE CAST(moment AS DATE) < DATE '{ERA}')
+  QUALIFY row_number() OVER (PARTITION BY client_id, subject_id ORDER BY CAST(moment AS DATE), id, text) = 1),
+paid AS (SELECT p.id, client_id, moment, amount, has_package FROM s_payments p JOIN states s ON s.payment_id = p.id
+  WHERE s.paid AND p.id IN (SELECT id FROM lines WHERE NOT starts_with(text, 'Пробное занятие'))),
+spans AS (
+  SELECT n.id, n.client_id, n.amount, CAST(n.moment AS DATE) AS moment,
+         lead(n.moment) OVER (PARTITION BY n.client_id ORDER BY n.moment, n.id) AS next_moment, f.first_day
+  FROM paid n LEFT JOIN (SELECT client_id, CAST(min(moment) AS DATE) AS first_day FROM paid GROUP BY 1) f
+    ON f.client_id = n.client_id
+  WHERE has_package AND CAST(n.moment AS DATE) >= DATE '{ERA}'),
+lessons1 AS (
+  SELECT student_id, subject_id, grade_kind, min(time_start) AS time_start
+  FROM s_lessons l JOIN s_lessons_students b ON b.lesson_id = l.id
+  WHERE NOT coalesce(trial, false) AND status IN (0, 1, 2, 3) GROUP BY ALL),
+after AS (
+  SELECT DISTINCT s.client_id, s.id AS payment_id, s.amount, s.moment, l.subject_id,
+         CASE l.subject_id || '/' || l.grade_kind {_BY_ID} ELSE 'undefined' END AS subject_name_rev
+  FROM spans s LEFT JOIN lessons1 l ON l.student_id = s.client_id
+    AND l.time_start BETWEEN s.moment AND s.moment + INTERVAL 1 MONTH + INTERVAL 30 DAY
+    AND l.time_start BETWEEN s.moment AND coalesce(s.next_moment, TIMESTAMP '2999-12-31 00:00:00')
+  WHERE s.first_day = s.moment OR l.student_id IS NOT NULL)
+"""
+PURCHASE_SQL = f"WITH {V.SOURCES_SQL}{_PAY}"
+
+
+@query("two_era_purchase", PURCHASE_SQL + """
+SELECT 'before' AS era, client_id, subject_id, moment AS first_purchase, NULL AS payment_id, CAST(NULL AS DOUBLE) AS amount,
+       NULL AS subject_name_rev FROM before
+UNION ALL SELECT 'after', client_id, subject_id, moment, payment_id, amount, subject_name_rev FROM after
+""")
+def two_era_purchase(spark, d):
+    return P.first_purchase_two_eras(V.sources(spark, d), CFG)
+
+
+@query("all_payments", PURCHASE_SQL + f"""
+SELECT client_id, moment, CASE WHEN contains(text, 'англ') THEN 1 WHEN contains(text, 'математ') THEN 2 END AS subject_id,
+       amount
+FROM lines JOIN states ON payment_id = id
+WHERE accepted AND NOT starts_with(text, 'Пробное занятие') AND (contains(text, 'математ') OR contains(text, 'английск'))
+  AND CAST(moment AS DATE) < DATE '{ERA}'
+""")
+def all_payments(spark, d):
+    return P.all_payments(V.sources(spark, d), CFG)
+
+
+_UNCONVERTED = f""",
+real AS (SELECT * FROM s_landing_leads WHERE lower(name) NOT IN {TEST_LEADS} OR name IS NULL),
+paged AS (SELECT phone, subject, created_at, tag, {_PATH} AS path FROM real),
+paged2 AS (SELECT *, CASE {_LABELS} WHEN suffix(path, '/') THEN path ELSE path || '/' END AS page FROM paged),
+leads AS (
+  SELECT phone, subject, created_at, page,
+         CASE WHEN coalesce({_rules()}, false) OR coalesce(contains(tag, 'funnel'), false) THEN 1 ELSE 0 END AS op_landing
+  FROM paged2
+  QUALIFY row_number() OVER (PARTITION BY phone, subject, created_at ORDER BY page NULLS FIRST, op_landing) = 1),
+day1 AS (SELECT phone, subject, CAST(created_at AS DATE) AS lead_day, op_landing FROM leads
+  QUALIFY row_number() OVER (PARTITION BY phone, subject, CAST(created_at AS DATE) ORDER BY created_at) = 1),
+monthly AS (
+  SELECT phone, subject, grade_kind, created_at, {_PATH} AS path FROM real
+  WHERE created_at BETWEEN TIMESTAMP '{LO}' AND TIMESTAMP '{HI}'
+  QUALIFY row_number() OVER (PARTITION BY phone, subject, grade_kind, date_trunc('month', created_at)
+                             ORDER BY created_at, page_url NULLS FIRST) = 1),
+persons AS (
+  SELECT p.phone, p.created_at AS parent_created_at, p.is_location_moscow, s.id AS student_id
+  FROM s_parents p LEFT JOIN s_students s ON s.parent_id = p.id WHERE p.phone IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY p.phone ORDER BY p.id, s.id NULLS LAST) = 1),
+ltags AS (SELECT DISTINCT phone, created_at, {', '.join(_LEAD_TAGS)} FROM s_traffic_source_lead),
+numbered AS (SELECT *, CASE subject {_CODES} ELSE 0 END AS subject_id,
+                    CASE subject || '/' || grade_kind {_BY_NAME} ELSE 'undefined' END AS subject_name FROM monthly),
+unconverted AS (
+  SELECT u.student_id, n.phone, u.is_location_moscow, n.subject_id, n.grade_kind, n.subject_name,
+    n.created_at AS lal_created_at, y.op_landing, 'by_operator' AS lead_type,
+    CASE WHEN f.created_at < n.created_at THEN 'by_operator: rescheduled_lead'
+         WHEN a.created_at < n.created_at AND n.subject_name = 'undefined' THEN 'by_operator: rescheduled_lead'
+         WHEN y.op_landing = 1 AND (f.created_at IS NULL OR f.created_at = n.created_at OR a.created_at IS NULL
+              OR a.created_at = n.created_at) THEN 'by_operator: funnel_page_new_lead'
+         WHEN y.op_landing = 0 AND (f.created_at IS NULL OR f.created_at = n.created_at OR a.created_at IS NULL
+              OR a.created_at = n.created_at) THEN 'by_operator: not_funnel_page_new_lead' END AS lead_type_2,
+    n.created_at AS lead_created, CASE WHEN suffix(n.path, '/') THEN n.path ELSE n.path || '/' END AS page_name,
+    {', '.join('t.' + c for c in _LEAD_TAGS)},
+    CASE WHEN date_trunc('hour', u.parent_created_at) = date_trunc('hour', n.created_at) THEN 'new' ELSE 'current' END
+      AS new_current_user_flag
+  FROM numbered n LEFT JOIN persons u ON u.phone = n.phone
+  LEFT JOIN day1 y ON y.phone = n.phone AND coalesce(y.subject, '0') = coalesce(n.subject, '0')
+    AND y.lead_day = CAST(n.created_at AS DATE)
+  LEFT JOIN ltags t ON t.phone = n.phone AND t.created_at = n.created_at
+  LEFT JOIN first_trial f ON f.student_id = u.student_id AND f.subject_id = n.subject_id AND f.created_at <= n.created_at
+  LEFT JOIN first_any a ON a.student_id = u.student_id AND a.created_at <= n.created_at)
+"""
+
+
+_PLAIN_FLAG = "* REPLACE (CAST(is_location_moscow AS INTEGER) AS is_location_moscow)"
+
+
+def _unconverted(src, trials):
+    first_of_day = L.first_leads_of_day(L.labelled_leads(src, CFG))
+    by_subject, by_student = (Q.first_trials(trials, CFG, s) for s in (True, False))
+    return L.unconverted_leads(src, first_of_day, by_subject, by_student, CFG)
+
+
+@query("unconverted_leads", TRIALS_SQL.rstrip() + _UNCONVERTED + f"SELECT {_PLAIN_FLAG} FROM unconverted")
+def unconverted_leads(spark, d):
+    return _unconverted(*_trials(spark, d))
+
+
+@query("funnel_page_leads", TRIALS_SQL.rstrip() + _UNCONVERTED + "SELECT page, op_landing, count(*) AS n FROM leads GROUP BY ALL")
+def funnel_page_leads(spark, d):
+    """Leads per page label and funnel-page flag."""
+    leads = L.labelled_leads(V.sources(spark, d), CFG)
+    return leads.groupBy("page", "op_landing").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ALL_NULL = "coalesce(" + ", ".join("g." + t for t in _LEAD_TAGS) + ") IS NULL"
+_TYPED_NULLS = {c: "NULL" for c in STAGE_COLUMNS}
+_LEAD_ONLY = [
+    "student_id", "phone", "is_location_moscow", "subject_id", "grade_kind", "subject_name", "lal_created_at",
+    "op_landing", "lead_type", "lead_type_2", "lead_created", "page_name", *_LEAD_TAGS, "new_current_user_flag",
+]
+
+_FULL = TRIALS_SQL.rstrip() + _PAY.rstrip() + _UNCONVERTED.rstrip() + f""",
+slots AS (SELECT DISTINCT parent_phone AS phone, lesson_id, t.created_at,
+                 CASE WHEN n.id IS NOT NULL THEN {V.SUBJECT_SQL.format('t.subject_id')} END AS subject_label
+  FROM (SELECT * FROM trials WHERE {_OK_KIND}
+        QUALIFY row_number() OVER (PARTITION BY subject_id, student_id, time_start ORDER BY {_SLOT}) = 1) t
+  LEFT JOIN s_subjects n ON n.id = t.subject_id WHERE parent_phone IS NOT NULL),
+lal AS (
+  SELECT l.phone, r.lesson_id, l.created_at, coalesce(l.subject, r.subject_label) AS lead_subject, l.op_landing, l.page
+  FROM leads l JOIN slots r ON r.phone = l.phone AND l.created_at < r.created_at
+  QUALIFY row_number() OVER (PARTITION BY l.phone, l.subject, r.subject_label, l.created_at
+                             ORDER BY r.created_at, r.lesson_id) = 1
+    AND floor(epoch(r.created_at)) - floor(epoch(l.created_at)) < {CFG.max_gap_seconds}),
+buys AS (SELECT DISTINCT client_id, subject_id, moment, payment_id, amount, subject_name_rev FROM after),
+logged AS (SELECT DISTINCT g.student_id, l.subject_id, l.id AS lesson_id FROM s_lesson_creation_logs g
+  JOIN s_lessons l ON l.id = g.lesson_id WHERE l.trial),
+touches AS (SELECT s.id AS student_id, t.* FROM s_traffic_source t JOIN s_students s ON s.parent_id = t.parent_id),
+joined AS (
+  SELECT q.*, CAST(e.time_start AS DATE) AS trial_finished_at, b.moment AS p_before, c.moment AS p_after, c.payment_id,
+    c.amount, c.subject_name_rev, g.lesson_id AS sl_lesson_id, m.created_at AS lal_created_at, m.lead_subject,
+    m.op_landing, m.page AS page_name, f.created_at AS first_trial_lesson, a.created_at AS first_trial_any,
+    {', '.join('h.' + t for t in _TAG_NAMES)}
+  FROM reqs q
+  LEFT JOIN (SELECT DISTINCT student_id, subject_id, grade_kind, time_start FROM fin) e
+    ON e.student_id = q.student_id AND e.subject_id = q.subject_id AND e.grade_kind = q.grade_kind
+    AND e.time_start = q.time_start
+  LEFT JOIN before b ON b.client_id = q.student_id AND b.subject_id = q.subject_id
+  LEFT JOIN buys c ON c.client_id = q.student_id AND coalesce(c.subject_id, q.subject_id) = q.subject_id
+  LEFT JOIN logged g ON g.student_id = q.student_id AND g.subject_id = q.subject_id AND g.lesson_id = q.lesson_id
+  LEFT JOIN lal m ON m.phone = q.parent_phone AND m.lesson_id = q.lesson_id AND m.created_at < q.created_at
+    AND m.created_at + INTERVAL 14 DAY > q.created_at
+  LEFT JOIN first_trial f ON f.student_id = q.student_id AND f.subject_id = q.subject_id
+  LEFT JOIN first_any a ON a.student_id = q.student_id
+  LEFT JOIN touches h ON h.student_id = q.student_id
+    AND (q.created_at <= h.added_to_telemarketing_list_request + INTERVAL 54 DAY
+         OR h.added_to_telemarketing_list_request IS NULL)
+  WHERE lower(q.first_name) NOT IN {TEST_STUDENTS} AND q.subject_id IS NOT NULL),
+timed AS (
+  SELECT *, CASE WHEN sl_lesson_id IS NULL THEN created_at - INTERVAL 1 MINUTE
+                 WHEN lal_created_at IS NULL THEN created_at ELSE lal_created_at END AS lead_created,
+         CASE WHEN lead_subject IS NULL THEN first_trial_any ELSE first_trial_lesson END AS history
+  FROM joined),
+converted AS (
+  SELECT DISTINCT student_id, t.phone, is_location_moscow, lesson_id, reason, subject_id, grade_kind,
+    CASE subject_id || '/' || grade_kind {_BY_ID} ELSE 'undefined' END AS subject_name, time_start, sl_lesson_id,
+    lal_created_at, first_trial_lesson, first_trial_any, op_landing,
+    CASE WHEN sl_lesson_id IS NULL THEN 'by_user' ELSE 'by_operator' END AS lead_type,
+    CASE WHEN sl_lesson_id IS NULL AND first_trial_any = t.created_at THEN 'by_user: new'
+         WHEN sl_lesson_id IS NULL AND first_trial_any <> t.created_at THEN 'by_user: current'
+         WHEN sl_lesson_id IS NULL THEN 'undefined'
+         WHEN lal_created_at IS NULL THEN 'by_operator: other'
+         WHEN history < lal_created_at THEN 'by_operator: rescheduled_lead'
+         WHEN history >= lal_created_at AND op_landing = 1 THEN 'by_operator: funnel_page_new_lead'
+         WHEN history >= lal_created_at AND op_landing = 0 THEN 'by_operator: not_funnel_page_new_lead'
+         ELSE 'undefined' END AS lead_type_2,
+    lead_created, CAST(t.created_at AS DATE) AS trial_created_at, trial_finished_at, subject_name_rev,
+    coalesce(p_before, p_after) AS first_purchase, page_name,
+    {', '.join(f't.{c} AS {c}_request' for c in _TAG_NAMES)},
+    {', '.join(f'CASE WHEN {_ALL_NULL} THEN t.{c} ELSE g.{c}_lead END AS {c}_lead' for c in _TAG_NAMES)},
+    CASE WHEN date_trunc('hour', parent_created_at) = date_trunc('hour', lal_created_at) THEN 'new' ELSE 'current' END
+      AS new_current_user_flag, payment_id, round(amount, 0) AS amount
+  FROM timed t LEFT JOIN ltags g ON g.phone = t.phone AND g.created_at = t.lead_created),
+rows_all AS (
+  SELECT {', '.join(STAGE_COLUMNS)}, 1 AS union_rn FROM converted
+  UNION ALL
+  SELECT {', '.join(c if c in _LEAD_ONLY else 'NULL' for c in STAGE_COLUMNS)}, 2 FROM unconverted)
+"""
+
+_TIES = ", ".join(f"{c} NULLS FIRST" for c in FLAG_COLUMNS.ties)
+
+
+def _period(unit, ts):
+    return f"CAST({ts} AS DATE)" if unit == "day" else f"CAST(date_trunc('{unit}', {ts}) AS DATE)"
+
+
+def _number(unit, ts, product):
+    keys = f"phone, {_period(unit, ts)}" + (", subject_name" if product else "")
+    return (
+        f"row_number() OVER (PARTITION BY {keys} "
+        f"ORDER BY union_rn, {ts} NULLS FIRST, lesson_id NULLS FIRST, {_TIES})"
+    )
+
+
+_NAMES = {"day": "rn_daily", "week": "rn_weekly", "month": "rn_monthly"}
+_FLAGS = ", ".join(
+    f"CASE WHEN trial_created_at IS NOT NULL THEN {_number(u, 'trial_created_at', True)} "
+    f"ELSE {_number(u, 'lead_created', False)} END AS {n}, {_number(u, 'lead_created', True)} AS {n}_lead"
+    for u, n in _NAMES.items()
+)
+
+
+def _label_ctes():
+    out, joins, columns = [], [], []
+    for u, n in _NAMES.items():
+        who = "coalesce(" + ", ".join(f"CAST({c} AS VARCHAR)" for c in LABEL_PERSON[u]) + ")"
+        when = f"coalesce({_period(u, 'trial_created_at')}, {_period(u, 'lead_created')})"
+        out.append(f"lab_{u} AS (SELECT DISTINCT {who} AS w, {when} AS p, coalesce(subject_name, '0') AS s, lead_type AS a, "
+                   f"lead_type_2 AS b FROM fact WHERE {n} = 1)")
+        here = "coalesce(" + ", ".join(f"CAST(f.{c} AS VARCHAR)" for c in LABEL_PERSON[u]) + ")"
+        then = f"coalesce({_period(u, 'f.trial_created_at')}, {_period(u, 'f.lead_created')})"
+        joins.append(f"LEFT JOIN lab_{u} ON lab_{u}.w = {here} AND lab_{u}.p = {then} "
+                     f"AND (f.subject_name = 'undefined' OR lab_{u}.s = coalesce(f.subject_name, '0'))")
+        columns += [f"coalesce(lab_{u}.a, f.lead_type) AS lead_type_{u}",
+                    f"coalesce(lab_{u}.b, f.lead_type_2) AS lead_type_2_{u}"]
+    return out, joins, columns
+
+
+_CTES, _JOINS, _COLUMNS = _label_ctes()
+FUNNEL_SQL = _FULL.rstrip() + f""",
+flagged AS (SELECT *, {_FLAGS} FROM rows_all),
+fact AS (SELECT * FROM flagged WHERE union_rn = 1 OR rn_daily = 1),
+{', '.join(_CTES)},
+funnel AS (SELECT DISTINCT f.*, {', '.join(_COLUMNS)} FROM fact f {' '.join(_JOINS)})
+"""
+
+
+def funnel(spark, d):
+    return sales_funnel(V.sources(spark, d), CFG)
+
+
+@query("funnel_full", FUNNEL_SQL + f"SELECT {_PLAIN_FLAG} FROM funnel")
+def funnel_full(spark, d):
+    """The whole fact table of 52 columns."""
+    return funnel(spark, d)
+
+
+@query("funnel_full_report", FUNNEL_SQL + f"""
+SELECT {_period('week', 'lead_created')} AS period, coalesce(CASE WHEN external_source_type_lead IN {vocab.TRAFFIC_TYPES}
+         THEN external_source_type_lead END, 'undefined') AS traffic_type, lead_type_week AS enrolment_type,
+       lead_type_2_week AS lead_type,
+       count(lead_created) AS leads, count(trial_created_at) AS requests,
+       count(CASE WHEN trial_created_at IS NOT NULL THEN trial_finished_at END) AS finished,
+       count(CASE WHEN trial_created_at IS NOT NULL THEN first_purchase END) AS purchases
+FROM funnel WHERE rn_weekly_lead = 1 GROUP BY ALL
+""")
+def funnel_full_report(spark, d):
+    """The fact table by week, traffic type and period lead type."""
+    return R.funnel_counts(funnel(spark, d), "week", "lead", [R.traffic_type("lead"), *R.lead_type_of("week")])

@@ -225,11 +225,11 @@ typed AS (
 LED_SQL = f"WITH {V.VIEWS_SQL}" + _STAFF
 
 
-def led_requests(spark, d):
+def led_requests(spark, d, hot=None):
     """Requests with staff log, nearest lead, first trials and derived lead time."""
+    hot = hot or V.hot_persons(spark, d)
     requests = V.request(spark, d)
     leads = V.lead(spark, d).select("person", "lead_id", "lead_code", "lead_at")
-    hot = V.hot_persons(spark, d)
     with_lead = M.asof(requests, leads, ["person"], "request_at", "lead_at", "lead_id", "prev", "m", hot=hot)
     log = V.stafflog(spark, d)
     with_log = M.asof(with_lead, log, ["person"], "request_at", "log_at", "log_id", "prev", "s", hot=hot)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queries.views import plain_times
+from queries.views import plain_types
 from stagewise.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +18,7 @@ def query(name: str, sql: str | None):
 
     def add(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return plain_times(build(configure(spark), sf_dir))
+            return plain_types(build(configure(spark), sf_dir))
 
         run.__name__, run.__doc__ = name, build.__doc__
         QUERIES[name] = run

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stagewise.config import FunnelConfig
 from stagewise.functions import vocab
@@ -17,15 +18,23 @@ TABLES = (
 ).split()
 
 
+SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A scan of a test table; the schema is read from the files once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in SCHEMAS:
+        SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
-def plain_times(df: DataFrame) -> DataFrame:
-    """Timestamps without zone, as the SQL side has them."""
-    return df.select(
-        *[F.col(n).cast("timestamp_ntz").alias(n) if t == "timestamp" else F.col(n) for n, t in df.dtypes]
-    )
+PLAIN = {"timestamp": "timestamp_ntz", "boolean": "int"}
+
+
+def plain_types(df: DataFrame) -> DataFrame:
+    """Timestamps without zone and flags as 0/1, as the SQL side has them."""
+    return df.select(*[F.col(n).cast(PLAIN[t]).alias(n) if t in PLAIN else F.col(n) for n, t in df.dtypes])
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
