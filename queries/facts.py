@@ -16,6 +16,7 @@ from stagewise.operators import periods as P
 from stagewise.operators import stages as S
 from stagewise.operators.skew import find_hot
 from stagewise.plans import report as R
+from stagewise.session import Workspace
 
 SENTINEL = "2018-01-01"
 COLS = P.FlagColumns(ties=("lead_row",))
@@ -73,10 +74,9 @@ def stacked(spark, d):
     """Requests with all stages over leads, tagged 1 and 2."""
     hot = V.hot_persons(spark, d)
     led = led_requests(spark, d, hot)
-    keys = ["person", "code"]
-    staged = M.asof(led, V.done(spark, d), keys, "request_at", "done_at", "done_id", "next", "f", hot=hot)
     bought = V.purchase(spark, d).drop("amount")
-    staged = M.asof(staged, bought, keys, "request_at", "purchase_at", "purchase_id", "next", "b", hot=hot)
+    later = [M.Other(V.done(spark, d), "done_at", "done_id", "f"), M.Other(bought, "purchase_at", "purchase_id", "b")]
+    staged = M.asof(led, later, ["person", "code"], "request_at", "next", hot)
     people = V.person(spark, d)
     level = C.constant_map(LEVELS)[F.col("segment")].alias("grade_kind")
     requests = staged.join(people, "person").select(
@@ -207,7 +207,9 @@ FROM keyed k LEFT JOIN lab l ON l.p = k.p AND l.pd = k.pd
 
 def _label_query(spark, d, unit):
     grains = list(dict.fromkeys(["day", unit]))
-    labelled = P.period_labels(fact(spark, d, grains), unit, _PERSON[unit], cols=COLS, sentinel=SENTINEL)
+    # the table is read twice, for its rows and for the labels of the counted ones
+    rows = Workspace(spark).stage(fact(spark, d, grains), "fact")
+    labelled = P.period_labels(rows, unit, _PERSON[unit], cols=COLS, sentinel=SENTINEL)
     return labelled.select(
         "lesson_id", "lead_row", "union_rn", f"lead_type_{unit}", f"lead_type_2_{unit}"
     ).distinct()

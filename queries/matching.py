@@ -230,12 +230,11 @@ def led_requests(spark, d, hot=None):
     hot = hot or V.hot_persons(spark, d)
     requests = V.request(spark, d)
     leads = V.lead(spark, d).select("person", "lead_id", "lead_code", "lead_at")
-    with_lead = M.asof(requests, leads, ["person"], "request_at", "lead_at", "lead_id", "prev", "m", hot=hot)
-    log = V.stafflog(spark, d)
-    with_log = M.asof(with_lead, log, ["person"], "request_at", "log_at", "log_id", "prev", "s", hot=hot)
+    earlier = [M.Other(leads, "lead_at", "lead_id", "m"), M.Other(V.stafflog(spark, d), "log_at", "log_id", "s")]
+    found = M.asof(requests, earlier, ["person"], "request_at", "prev", hot)
     near = C.seconds_between(F.col("m.lead_at"), F.col("request_at")) < HALF_DAY
     recent = F.col("s.log_at") >= F.col("request_at") - F.expr("interval 1 day")
-    rows = with_log.select(
+    rows = found.select(
         "request_id", "person", "code", "request_at", "request_k",
         F.when(near, F.col("m.lead_id")).alias("lead_id"),
         F.when(near, F.col("m.lead_at")).alias("lead_at"),

@@ -20,9 +20,17 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+def _sql(value) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+
+
 def constant_map(pairs: Mapping) -> Column:
-    """A literal map; its size is that of a fixed vocabulary."""
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    """A literal map, nested if the values are mappings; as small as the vocabulary it holds."""
+
+    def text(m: Mapping) -> str:
+        return "map(" + ", ".join(f"{_sql(k)}, {text(v) if isinstance(v, Mapping) else _sql(v)}" for k, v in m.items()) + ")"
+
+    return F.expr(text(pairs))
 
 
 def keyword_class(text: Column, keywords: Sequence[tuple[str, object]], default=None) -> Column:
@@ -42,8 +50,7 @@ def pair_label(first: Column, second: Column, labels: Mapping, default=vocab.UND
     nested: dict = {}
     for (a, b), label in labels.items():
         nested.setdefault(a, {})[b] = label
-    outer = F.create_map(*[c for a, inner in nested.items() for c in (F.lit(a), constant_map(inner))])
-    return F.coalesce(outer[first][second], F.lit(default))
+    return F.coalesce(constant_map(nested)[first][second], F.lit(default))
 
 
 def school_level(level: Column) -> Column:

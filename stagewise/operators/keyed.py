@@ -42,12 +42,14 @@ def next_event(
     def sliced(rows: DataFrame) -> DataFrame:
         cut = rows.withColumn("_slice", F.date_trunc("hour", ts))
         by = [*keys, "_slice"]
-        inside = cut.withColumn(out, F.lead(ts).over(Window.partitionBy(*by).orderBy(*order)))
+        # a struct, to tell a following row without time from no following row
+        inside = cut.withColumn("_next", F.lead(F.struct(ts)).over(Window.partitionBy(*by).orderBy(*order)))
         # the last row of a slice is followed by the first of the next slice
         starts = cut.groupBy(*by).agg(F.min(ts).alias("_start"))
         follow = starts.withColumn("_follow", F.lead("_start").over(Window.partitionBy(*keys).orderBy("_slice")))
         joined = join_same(inside, follow.drop("_start"), by)
-        return joined.withColumn(out, F.coalesce(out, "_follow")).drop("_slice", "_follow")
+        following = F.when(F.col("_next").isNull(), F.col("_follow")).otherwise(F.col("_next")[ts])
+        return joined.withColumn(out, following).drop("_slice", "_next", "_follow")
 
     return by_group_size(df, keys, plain, sliced, hot, hot_rows)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,55 +11,65 @@ from pyspark.sql import functions as F
 from stagewise.functions.columns import seconds_between
 from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, join_same
 
-LEFT, RIGHT = 0, 1
+@dataclass(frozen=True)
+class Other:
+    """A relation to look up in time: its time, its id and the name of the match."""
+
+    rows: DataFrame
+    ts: str
+    row_id: str
+    out: str = "match"
 
 
 def asof(
     left: DataFrame,
-    right: DataFrame,
+    others: Other | Sequence[Other],
     keys: Sequence[str],
-    left_ts: str,
-    right_ts: str,
-    right_id: str,
+    ts: str,
     direction: str = "next",
-    out: str = "match",
-    hot_rows: int = HOT_ROWS,
     hot: HotGroups | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Each left row with the nearest right row strictly after it (or before it).
+    """Each left row with the nearest row of every other relation strictly after it (or before it).
 
-    Both sides are merged per key and swept once in time order, so the work is
-    that of a sort; the match is a struct of the right row, NULL if none. Right
-    rows of the same time are told apart by their id: the smallest when looking
-    ahead, the largest when looking back. Rows with a NULL key match nothing.
+    All sides are merged per key and swept once in time order, so the work is
+    one shuffle and one sort; a match is a struct of the found row, NULL if
+    none. Found rows of the same time are told apart by their id: the smallest
+    when looking ahead, the largest when looking back. A NULL key matches nothing.
     """
-    others = [c for c in right.columns if c not in (*keys, right_ts, right_id)]
-    found = F.struct(right_ts, right_id, *others)
+    others = [others] if isinstance(others, Other) else list(others)
     carried = [c for c in left.columns if c not in keys]
-    right = right.where(F.col(right_ts).isNotNull()).dropna(subset=list(keys))
+    found = [f"_found{n}" for n in range(len(others))]
     rows = left.select(
-        *keys, F.col(left_ts).alias("_t"), F.lit(LEFT).alias("_side"), F.struct(*carried).alias("_row")
-    ).unionByName(
-        right.select(*keys, F.col(right_ts).alias("_t"), F.lit(RIGHT).alias("_side"), found.alias("_found")),
-        allowMissingColumns=True,
+        *keys, F.col(ts).alias("_t"), F.lit(0).alias("_side"), F.struct(*carried).alias("_row")
     )
+    for n, other in enumerate(others):
+        rest = [c for c in other.rows.columns if c not in (*keys, other.ts, other.row_id)]
+        known = other.rows.where(F.col(other.ts).isNotNull()).dropna(subset=list(keys))
+        side = known.select(
+            *keys,
+            F.col(other.ts).alias("_t"),
+            F.lit(n + 1).alias("_side"),
+            F.struct(other.ts, other.row_id, *rest).alias(found[n]),
+        )
+        rows = rows.unionByName(side, allowMissingColumns=True)
     ahead = direction == "next"
     nearest = F.min if ahead else F.max
 
     def sort(*cols: str) -> list[Column]:
         return [F.col(c).desc() if ahead else F.col(c).asc() for c in cols]
 
-    # among equal times the left row comes first and cannot see the right one
-    order = [*sort("_t"), F.col("_side"), *sort(f"_found.{right_id}")]
+    # among equal times the left row comes first and cannot see the others
+    order = [*sort("_t"), F.col("_side"), *sort(*[f"{f}.{o.row_id}" for f, o in zip(found, others)])]
 
     def sweep(df: DataFrame, by: Sequence[str]) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        seen = F.last("_found", ignorenulls=True).over(w)
-        return df.withColumn(out, seen).where(F.col("_side") == LEFT)
+        seen = {f: F.last(f, ignorenulls=True).over(w) for f in found}
+        return df.withColumns(seen).where(F.col("_side") == 0)
 
     def finish(df: DataFrame) -> DataFrame:
-        match = F.when(F.col("_t").isNotNull(), F.col(out)).alias(out)
-        return df.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in carried], match)
+        matches = [F.when(F.col("_t").isNotNull(), F.col(f)).alias(o.out) for f, o in zip(found, others)]
+        return df.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in carried], *matches)
 
     def plain(df: DataFrame) -> DataFrame:
         return finish(sweep(df, keys))
@@ -66,12 +77,12 @@ def asof(
     def sliced(df: DataFrame) -> DataFrame:
         cut = df.withColumn("_slice", F.date_trunc("hour", "_t"))
         by = [*keys, "_slice"]
-        # what a slice hands on: the nearest right row of the slices swept before it
-        best = cut.groupBy(*by).agg(nearest("_found").alias("_best"))
+        # what a slice hands on: the nearest rows of the slices swept before it
+        best = cut.groupBy(*by).agg(*[nearest(f).alias(f) for f in found])
         passed = Window.partitionBy(*keys).orderBy(*sort("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-        carry = best.withColumn("_carry", F.last("_best", ignorenulls=True).over(passed)).drop("_best")
+        carry = best.select(*by, *[F.last(f, ignorenulls=True).over(passed).alias("_c" + f) for f in found])
         joined = join_same(sweep(cut, by), carry, by)
-        return finish(joined.withColumn(out, F.coalesce(out, "_carry")))
+        return finish(joined.withColumns({f: F.coalesce(f, "_c" + f) for f in found}))
 
     return by_group_size(rows, keys, plain, sliced, hot, hot_rows)
 
@@ -103,10 +114,11 @@ def nearest_match(
         # one row per person and subject: few per person, and free of copies
         asked = keyed.select(person, "_key").where(F.col(person).isNotNull()).distinct()
         wanted = leads.join(asked, person)
-        pairs = asof(wanted, keyed, [person, "_key"], lead_ts, request_ts, request_id, "next", "_m", hot_rows, hot)
+        later = Other(keyed, request_ts, request_id, "_m")
+        pairs = asof(wanted, later, [person, "_key"], lead_ts, "next", hot, hot_rows)
         columns = [*leads.columns, *[F.col(f"_m.{c}").alias(c) for c in requests.columns if c != person]]
     else:
-        pairs = asof(requests, leads, [person], request_ts, lead_ts, lead_id, "prev", "_m", hot_rows, hot)
+        pairs = asof(requests, Other(leads, lead_ts, lead_id, "_m"), [person], request_ts, "prev", hot, hot_rows)
         columns = [
             *[F.col(c if c == person else f"_m.{c}").alias(c) for c in leads.columns],
             *[c for c in requests.columns if c != person],

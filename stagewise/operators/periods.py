@@ -151,15 +151,12 @@ def suppress_covered(
 ) -> DataFrame:
     """Rows of the covering tag, and the other rows that rank first of a person's lead day.
 
-    A day with a covering row has none of the others, so those need only an
-    anti join and the first row per day.
+    The tag leads the order, so on a covered day no other row ranks first.
     """
-    day = "_day"
-    dated = df.withColumn(day, F.to_date(lead_ts))
-    covered = dated.where(F.col(tag) == covering)
-    others = first_per_key(dated.where(F.col(tag) != covering), [person, day], [tag, lead_ts, *ties])
-    free = join_same(others, covered.select(person, day).distinct(), [person, day], "left_anti")
-    return covered.unionByName(free).drop(day)
+    dated = df.withColumn("_day", F.to_date(lead_ts))
+    covered = F.col(tag) == covering
+    first = first_per_key(dated, [person, "_day"], [tag, lead_ts, *ties])
+    return df.where(covered).unionByName(first.where(~covered).drop("_day"))
 
 
 def label_period(cols: FlagColumns, grain: str, sentinel: str) -> Column:

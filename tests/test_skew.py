@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from stagewise.operators.keyed import next_event
-from stagewise.operators.match import asof, nearest_match
+from stagewise.operators.match import Other, asof, nearest_match
 from stagewise.operators.periods import FlagColumns, period_flags
 from stagewise.operators.skew import HotGroups, find_hot
 from tests.conftest import values
@@ -46,9 +46,12 @@ def test_next_event(events, hot_rows):
 def test_asof_against_brute_force(events, direction):
     left = events.where("id % 2 = 0").select("key", "id", "at")
     right = events.where("id % 2 = 1").selectExpr("key", "id AS rid", "at AS rat", "subject")
-    found = asof(left, right, ["key"], "at", "rat", "rid", direction, "m", hot_rows=100)
-    plain = asof(left, right, ["key"], "at", "rat", "rid", direction, "m", hot=HotGroups(None))
+    one = Other(right, "rat", "rid", "m")
+    found = asof(left, one, ["key"], "at", direction, hot_rows=100)
+    plain = asof(left, one, ["key"], "at", direction, HotGroups(None))
     assert values(found) == values(plain)
+    two = asof(left, [Other(right.where("subject = 0"), "rat", "rid", "z"), one], ["key"], "at", direction, hot_rows=100)
+    assert values(two.drop("z")) == values(plain)
 
     rights = [tuple(r) for r in right.collect() if r.key is not None and r.rat is not None]
     for row in found.collect():
