@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +103,9 @@ def unconverted_leads(
         ["created_at", "page_url"],
     ).select("phone", "subject", "grade_kind", "created_at", "page_url")
 
-    persons = first_person_of_phone(src).withColumnRenamed("phone", "_phone")
+    phones = leads.select("phone").distinct()
+    reached = replace(src, parents=src.parents.join(phones, "phone", "left_semi"))
+    persons = first_person_of_phone(reached).withColumnRenamed("phone", "_phone")
     day = first_of_day.select(
         F.col("phone").alias("_d_phone"),
         F.coalesce("subject", F.lit("0")).alias("_d_subject"),

@@ -17,19 +17,8 @@ def slot_order() -> list[Column]:
     return [F.col("canceled_at").asc_nulls_last(), F.col("created_at"), F.col("lesson_id")]
 
 
-def trial_lessons(src: FunnelSources) -> DataFrame:
-    """Every trial lesson of every known student, with the parent's contact."""
-    lessons = src.lessons.where(F.col("trial").eqNullSafe(True)).select(
-        F.col("id").alias("lesson_id"),
-        "subject_id",
-        "grade_kind",
-        "created_at",
-        "time_start",
-        "canceled_at",
-        "kind",
-        "status",
-        "test",
-    )
+def people(src: FunnelSources) -> DataFrame:
+    """Students with the parent's contact."""
     students = src.students.select(
         F.col("id").alias("student_id"),
         "parent_id",
@@ -45,10 +34,27 @@ def trial_lessons(src: FunnelSources) -> DataFrame:
         F.col("created_at").alias("parent_created_at"),
         "is_location_moscow",
     )
-    people = students.join(parents, "parent_id")
+    return students.join(parents, "parent_id")
+
+
+def trial_lessons(src: FunnelSources, persons: DataFrame | None = None) -> DataFrame:
+    """Every trial lesson of every known student, or of the given ones, with the parent's contact."""
+    lessons = src.lessons.where(F.col("trial").eqNullSafe(True)).select(
+        F.col("id").alias("lesson_id"),
+        "subject_id",
+        "grade_kind",
+        "created_at",
+        "time_start",
+        "canceled_at",
+        "kind",
+        "status",
+        "test",
+    )
     bridge = src.lessons_students.select("lesson_id", "student_id")
-    # small relations first: only trial lessons meet the bridge
-    return lessons.join(bridge, "lesson_id").join(people, "student_id")
+    if persons is None:
+        # only trial lessons meet the people
+        return lessons.join(bridge, "lesson_id").join(people(src), "student_id")
+    return bridge.join(persons, "student_id").join(lessons, "lesson_id")
 
 
 def allowed(trials: DataFrame, cfg: FunnelConfig) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.config import FunnelConfig
@@ -93,6 +95,7 @@ def request_attribution(src: FunnelSources) -> DataFrame:
 
 def request_rows(
     src: FunnelSources,
+    requests: DataFrame,
     trials: DataFrame,
     leads: DataFrame,
     first_trial: DataFrame,
@@ -100,8 +103,7 @@ def request_rows(
     cfg: FunnelConfig,
 ) -> DataFrame:
     """Requests with the later stages, then the lead and its attribution."""
-    base = R.requests(trials, src.lessons_students_statuses, cfg)
-    base = exclude_test_records(base, names={"first_name": (vocab.TEST_STUDENT_NAMES, False)})
+    base = exclude_test_records(requests, names={"first_name": (vocab.TEST_STUDENT_NAMES, False)})
     base = base.where(F.col("subject_id").isNotNull())
     staged = attach_stages(
         base,
@@ -136,9 +138,11 @@ def request_rows(
         ],
     )
     logged = created_by_staff(staged, R.staff_log(src), ["student_id", "subject_id", "lesson_id"], "lesson_id")
+    # a lead's nearest request is its earliest later one, so none outside these times can matter
+    slots = R.matchable_requests(trials, src.subjects, cfg).where(lead_window("request_created_at", cfg))
     contacts = src.landing_leads.select("phone").unionAll(trials.select("parent_phone"))
     hot_phones = find_hot(contacts, ["phone"], cfg.hot_rows)
-    matched = L.matched_leads(leads, R.matchable_requests(trials, src.subjects, cfg), cfg, hot_phones).select(
+    matched = L.matched_leads(leads, slots, cfg, hot_phones).select(
         F.col("phone").alias("_phone"),
         F.col("lesson_id").alias("_lesson"),
         "lal_created_at",
@@ -186,13 +190,61 @@ def request_rows(
     return with_group_fallback(attributed, LEAD_TAGS, REQUEST_TAGS).select(*STAGE_COLUMNS).distinct()
 
 
+def lead_window(ts: str, cfg: FunnelConfig) -> Column:
+    """Times at which a lead can touch the run slice.
+
+    From the attach bound before the slice (whole first day at least) to the end
+    of its last day; reaches the scans as a filter on the plain column.
+    """
+    lo, hi = F.lit(cfg.lo).cast("timestamp"), F.lit(cfg.hi).cast("timestamp")
+    reach = lo - F.expr(cfg.attach_gap) - F.expr(cfg.lead_offset)
+    start = F.least(F.date_trunc("day", lo), reach)
+    return (F.col(ts) >= start) & (F.col(ts) < F.date_trunc("day", hi) + F.expr("interval 1 day"))
+
+
+def in_play(src: FunnelSources, requests: DataFrame) -> DataFrame:
+    """People with a request or a lead in the slice, and all who share their phone."""
+    persons = R.people(src)
+    phones = requests.select(F.col("parent_phone").alias("phone")).unionAll(src.landing_leads.select("phone"))
+    by_phone = persons.join(phones.distinct(), F.col("parent_phone") == F.col("phone"), "left_semi")
+    students = requests.where("parent_phone IS NULL").select("student_id").distinct()
+    return by_phone.unionByName(persons.where("parent_phone IS NULL").join(students, "student_id", "left_semi"))
+
+
+def narrowed(src: FunnelSources, cfg: FunnelConfig, work: Workspace) -> tuple[FunnelSources, DataFrame, DataFrame]:
+    """The requests of the slice, the trial history of the people in play, and their sources.
+
+    A run covers a short slice of a long history. Leads and their tags are cut
+    by time at the scan; payments and lessons are cut to the people in play
+    before anything is joined, ranked or parsed. All rows of a kept person stay.
+    """
+    src = replace(
+        src,
+        landing_leads=src.landing_leads.where(lead_window("created_at", cfg)),
+        traffic_source_lead=src.traffic_source_lead.where(lead_window("created_at", cfg)),
+    )
+    sliced = src.lessons.where(C.in_slice(F.col("created_at"), cfg.lo, cfg.hi, cfg.hi_inclusive))
+    created = R.trial_lessons(replace(src, lessons=sliced))
+    requests = work.stage(R.requests(created, src.lessons_students_statuses, cfg), "requests")
+
+    players = work.stage(in_play(src, requests), "people")
+    students = players.select("student_id")
+    bridge = src.lessons_students.join(students, "student_id", "left_semi")
+    clients = students.withColumnRenamed("student_id", "client_id")
+    src = replace(
+        src, lessons_students=bridge, payments=src.payments.join(clients, "client_id", "left_semi")
+    )
+    trials = work.stage(R.trial_lessons(src, players), "trials")
+    return src, requests, trials
+
+
 def funnel_rows(src: FunnelSources, cfg: FunnelConfig, work: Workspace) -> DataFrame:
     """Request rows and unconverted leads, tagged 1 and 2."""
-    trials = work.stage(R.trial_lessons(src), "trials")
+    src, requests, trials = narrowed(src, cfg, work)
     leads = L.labelled_leads(src, cfg)
     first_trial = R.first_trials(trials, cfg, by_subject=True)
     first_trial_any = R.first_trials(trials, cfg, by_subject=False)
-    converted = request_rows(src, trials, leads, first_trial, first_trial_any, cfg)
+    converted = request_rows(src, requests, trials, leads, first_trial, first_trial_any, cfg)
     unconverted = L.unconverted_leads(src, L.first_leads_of_day(leads), first_trial, first_trial_any, cfg)
     return union_stages(converted, unconverted).select(*STAGE_COLUMNS, "union_rn")
 
@@ -217,7 +269,7 @@ def sales_funnel(src: FunnelSources, cfg: FunnelConfig = FunnelConfig(), work: W
     """The fact table of 52 columns: stages, flags and per-period labels.
 
     Relations read more than once are staged in the shared work folder: the
-    trial lessons, the stacked rows and the flagged rows.
+    requests, people and trial lessons in play, the stacked and the flagged rows.
     """
     work = work or Workspace(src.lessons.sparkSession)
     rows = work.stage(funnel_rows(src, cfg, work), "rows")
