@@ -211,7 +211,7 @@ _PLAIN_FLAG = "* REPLACE (CAST(is_location_moscow AS INTEGER) AS is_location_mos
 
 
 def _unconverted(src, trials):
-    first_of_day = L.first_leads_of_day(L.labelled_leads(src, CFG))
+    first_of_day = L.first_leads_of_day(L.flagged_leads(src, CFG))
     by_subject, by_student = (Q.first_trials(trials, CFG, s) for s in (True, False))
     return L.unconverted_leads(src, first_of_day, by_subject, by_student, CFG)
 
@@ -224,7 +224,7 @@ def unconverted_leads(spark, d):
 @query("funnel_page_leads", TRIALS_SQL.rstrip() + _UNCONVERTED + "SELECT page, op_landing, count(*) AS n FROM leads GROUP BY ALL")
 def funnel_page_leads(spark, d):
     """Leads per page label and funnel-page flag."""
-    leads = L.labelled_leads(V.sources(spark, d), CFG)
+    leads = L.labelled_leads(L.flagged_leads(V.sources(spark, d), CFG))
     return leads.groupBy("page", "op_landing").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.functions.columns import seconds_between
-from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, join_same
+from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, find_hot, join_same
 
 @dataclass(frozen=True)
 class Other:
@@ -108,6 +108,9 @@ def nearest_match(
     lead, whatever its subject. Gaps of ``max_gap`` whole seconds or more drop.
     The columns of the two sides must differ except for ``person``.
     """
+    if hot is None:
+        # counted on the plain inputs, before leads meet subjects
+        hot = find_hot(leads.select(person).unionAll(requests.select(person)), [person], hot_rows)
     if rank_side == "lead":
         # NULL is a subject of its own
         keyed = requests.withColumn("_key", F.coalesce(F.concat(F.lit("="), subject), F.lit("")))
@@ -115,10 +118,10 @@ def nearest_match(
         asked = keyed.select(person, "_key").where(F.col(person).isNotNull()).distinct()
         wanted = leads.join(asked, person)
         later = Other(keyed, request_ts, request_id, "_m")
-        pairs = asof(wanted, later, [person, "_key"], lead_ts, "next", hot, hot_rows)
+        pairs = asof(wanted, later, [person, "_key"], lead_ts, "next", hot)
         columns = [*leads.columns, *[F.col(f"_m.{c}").alias(c) for c in requests.columns if c != person]]
     else:
-        pairs = asof(requests, Other(leads, lead_ts, lead_id, "_m"), [person], request_ts, "prev", hot, hot_rows)
+        pairs = asof(requests, Other(leads, lead_ts, lead_id, "_m"), [person], request_ts, "prev", hot)
         columns = [
             *[F.col(c if c == person else f"_m.{c}").alias(c) for c in leads.columns],
             *[c for c in requests.columns if c != person],

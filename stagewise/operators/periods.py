@@ -71,18 +71,17 @@ def _lead_periods(cols: FlagColumns, grain: str, exact_daily_lead: bool, product
 def _numbered(df, cols, grains, exact_daily_lead, by_lead=(), by_request=()):
     """Ranks of every basis and grain; ``by_*`` add slice columns to the partitions."""
     ties = [c for c in cols.ties if c != cols.request_id]
-    lead_order = [cols.tag, cols.lead_ts, cols.request_id, *ties]
-    request_order = [cols.tag, cols.request_day, cols.request_id, *ties]
+    lead_order = Window.orderBy(cols.tag, cols.lead_ts, cols.request_id, *ties)
+    request_order = Window.orderBy(cols.tag, cols.request_day, cols.request_id, *ties)
     ranks = {}
     for g in grains:
         for product in (False, True):
             p = _lead_periods(cols, g, exact_daily_lead, product)
             exact = exact_daily_lead and product and g == "day"
             keys = [cols.person, p, *([cols.product] if product else []), *(by_lead[1:] if exact else by_lead)]
-            w = Window.partitionBy(*keys).orderBy(*lead_order)
-            ranks[f"_lead_{g}_{int(product)}"] = F.row_number().over(w)
+            ranks[f"_lead_{g}_{int(product)}"] = F.row_number().over(lead_order.partitionBy(*keys))
         keys = [cols.person, period(g, F.col(cols.request_day)), cols.product, *by_request]
-        ranks[f"_request_{g}"] = F.row_number().over(Window.partitionBy(*keys).orderBy(*request_order))
+        ranks[f"_request_{g}"] = F.row_number().over(request_order.partitionBy(*keys))
     return df.withColumns(ranks)
 
 

@@ -25,18 +25,22 @@ def real_leads(src: FunnelSources) -> DataFrame:
     return exclude_test_records(src.landing_leads, names={"name": (vocab.TEST_LEAD_NAMES, True)})
 
 
-def labelled_leads(src: FunnelSources, cfg: FunnelConfig) -> DataFrame:
-    """Leads with page and funnel-page flag, one per phone, subject and time."""
+def flagged_leads(src: FunnelSources, cfg: FunnelConfig) -> DataFrame:
+    """Real leads with page and funnel-page flag."""
     leads = with_canonical_page(real_leads(src), "page_url", vocab.PAGE_LABELS, cfg.strict_pages)
     flagged = with_rule_flag(leads, "page", "created_at", "tag", launch_rules(cfg.site), out="op_landing")
-    rows = flagged.select("phone", "subject", "created_at", "page", "op_landing")
-    return first_per_key(rows, ["phone", "subject", "created_at"], ["page", "op_landing"])
+    return flagged.select("phone", "subject", "created_at", "page", "op_landing")
 
 
-def first_leads_of_day(leads: DataFrame) -> DataFrame:
-    """First lead per phone, subject and day."""
-    dated = leads.withColumn("lead_day", F.to_date("created_at"))
-    return first_per_key(dated, ["phone", "subject", "lead_day"], ["created_at"])
+def labelled_leads(flagged: DataFrame) -> DataFrame:
+    """One flagged lead per phone, subject and time."""
+    return first_per_key(flagged, ["phone", "subject", "created_at"], ["page", "op_landing"])
+
+
+def first_leads_of_day(flagged: DataFrame) -> DataFrame:
+    """First flagged lead per phone, subject and day."""
+    dated = flagged.withColumn("lead_day", F.to_date("created_at"))
+    return first_per_key(dated, ["phone", "subject", "lead_day"], ["created_at", "page", "op_landing"])
 
 
 def matched_leads(

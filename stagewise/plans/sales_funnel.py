@@ -241,10 +241,10 @@ def narrowed(src: FunnelSources, cfg: FunnelConfig, work: Workspace) -> tuple[Fu
 def funnel_rows(src: FunnelSources, cfg: FunnelConfig, work: Workspace) -> DataFrame:
     """Request rows and unconverted leads, tagged 1 and 2."""
     src, requests, trials = narrowed(src, cfg, work)
-    leads = L.labelled_leads(src, cfg)
+    leads = L.flagged_leads(src, cfg)
     first_trial = R.first_trials(trials, cfg, by_subject=True)
     first_trial_any = R.first_trials(trials, cfg, by_subject=False)
-    converted = request_rows(src, requests, trials, leads, first_trial, first_trial_any, cfg)
+    converted = request_rows(src, requests, trials, L.labelled_leads(leads), first_trial, first_trial_any, cfg)
     unconverted = L.unconverted_leads(src, L.first_leads_of_day(leads), first_trial, first_trial_any, cfg)
     return union_stages(converted, unconverted).select(*STAGE_COLUMNS, "union_rn")
 
