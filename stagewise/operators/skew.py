@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from stagewise.session import Workspace
 
 HOT_ROWS = 1_000_000
+# the list of hot keys is broadcast up to this many, beyond that it is joined as any table
+MAX_BROADCAST_KEYS = 500_000
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -43,7 +45,7 @@ def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Ho
 
     Runs one job over the key columns; counts combine before the shuffle.
     At most ``rows / hot_rows`` keys can be listed (100,000 for 10**11 rows at
-    the default), which is what bounds the broadcast of the list.
+    the default).
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.where(F.col("_n") > hot_rows).select(*keys)
@@ -68,7 +70,8 @@ def by_group_size(
     if hot.keys is None:
         return plain(df)
     rows = Workspace(df.sparkSession).stage(df, "rows")
-    listed, on = F.broadcast(hot.keys), hot.keys.columns
+    few = hot.keys.count() <= MAX_BROADCAST_KEYS
+    listed, on = F.broadcast(hot.keys) if few else hot.keys, hot.keys.columns
     return plain(join_same(rows, listed, on, "left_anti")).unionByName(
         sliced(join_same(rows, listed, on, "left_semi"))
     )

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from stagewise.operators import skew
 from stagewise.operators.keyed import next_event
 from stagewise.operators.match import Other, asof, nearest_match
 from stagewise.operators.periods import FlagColumns, period_flags
@@ -42,6 +43,12 @@ def test_next_event(events, hot_rows):
     assert values(next_event(events, ["key"], "at", ["id"], hot_rows=hot_rows)) == values(plain)
 
 
+def test_long_lists_of_hot_keys_are_not_broadcast(events, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_BROADCAST_KEYS", 0)
+    plain = next_event(events, ["key"], "at", ["id"], hot=HotGroups(None))
+    assert values(next_event(events, ["key"], "at", ["id"], hot_rows=0)) == values(plain)
+
+
 @pytest.mark.parametrize("direction", ["next", "prev"])
 def test_asof_against_brute_force(events, direction):
     left = events.where("id % 2 = 0").select("key", "id", "at")
