@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from stagewise.llm import packing, sharding, token_counts, toxicity
+from stagewise.llm import packing, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
 
-QUERIES = {f.__name__: f for f in (token_counts.op2_token_counts, packing.op4_packing, toxicity.op9_toxicity, sharding.op10_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        suffix_dedup.op1_suffix_dedup,
+        token_counts.op2_token_counts,
+        packing.op4_packing,
+        substring_dedup.op6_substring_dedup,
+        toxicity.op9_toxicity,
+        sharding.op10_sharding,
+    )
+}
 SQL: dict[str, str] = {}
