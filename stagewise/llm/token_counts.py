@@ -31,9 +31,9 @@ def _count_whole(path: str):
 def _edges(path: str, text: str) -> tuple[int, np.ndarray, np.ndarray]:
     """Tokens of a slice; where its pre-tokens start, and the tokens before each start."""
     e = encoder(path).tokenizer.encode(text, add_special_tokens=False)
-    words = e.word_ids
+    words, offsets = e.word_ids, e.offsets
     at = [i for i in range(len(words)) if words[i] is not None and (i == 0 or words[i] != words[i - 1])]
-    starts = np.array([e.offsets[i][0] for i in at], "int64")
+    starts = np.array([offsets[i][0] for i in at], "int64")
     # a start counts only where pre-tokens really begin anew: offsets must rise
     keep = np.r_[True, starts[1:] > starts[:-1]] if len(starts) else np.zeros(0, bool)
     return len(words), starts[keep], np.array(at, "int64")[keep]

@@ -8,11 +8,13 @@ from functools import cache
 
 import numpy as np
 
+from stagewise.llm.words import SLAB, slabs
+
 #: A single space between non-spaces always starts a new pre-token of the byte-level
 #: pattern, and what stands before or after it does not change how the rest is cut.
 _EDGE = re.compile(r"(?<!\s) (?!\s)")
 _DIRTY = re.compile(r"\s\s")
-MEMO = 250_000
+MEMO = 500_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -24,7 +26,8 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Encodes texts as the library does, looking up segments already seen.
 
-    The memo holds at most MEMO segments of at most 64 characters. Texts that hold
+    The memo keeps MEMO segments of at most 64 characters beside those of the batch
+    at hand; when it is full, those that the batch does not use go. Texts that hold
     one of the vocabulary's special strings are encoded as a whole.
     """
 
@@ -46,9 +49,10 @@ class Encoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of `type`."""
+        return [ids for a, z in slabs([len(t) for t in batch], 4 * SLAB) for ids in self._encode(batch[a:z])]
+
+    def _encode(self, batch: list[str]) -> list[bytes]:
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
         cuts: list[list[str] | None] = []
         fresh: set[str] = set()
         firsts: list[str] = []
@@ -61,6 +65,8 @@ class Encoder:
             firsts.append(parts[0])
             fresh.update(parts)
             cuts.append(parts)
+        if len(memo) > MEMO:
+            memo = self.memo = {p: memo[p] for p in fresh if p in memo}
         wanted = [p for p in fresh if p not in memo]
         short = [p for p in wanted if len(p) <= 64]
         extra = dict.fromkeys(p for p in wanted if len(p) > 64)
