@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stagewise.llm import decontamination, packing, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
+from stagewise.llm import decontamination, jaccard_join, packing, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         token_counts.op2_token_counts,
         packing.op4_packing,
         substring_dedup.op6_substring_dedup,
+        jaccard_join.op7_jaccard_join,
         decontamination.op8_decontamination,
         toxicity.op9_toxicity,
         sharding.op10_sharding,

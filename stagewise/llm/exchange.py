@@ -21,6 +21,8 @@ from stagewise.llm.common import cut, deal, texts
 
 #: Bytes of text in a chunk; chunks whose keys share a bucket.
 CHUNK, SHARE = 4 << 20, 3
+#: Bits of a document's place in its chunk, whose number takes the others.
+PLACE = 21
 #: Order of rows without an id: behind all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -41,7 +43,7 @@ class Chunk:
     """Whole documents: ids (NO_ID for null) and texts as UTF-8 bytes."""
 
     def __init__(self, ids: list[int | None], data: list[bytes]):
-        self.raw_ids, self.texts = ids, data
+        self.raw_ids, self.texts, self.number = ids, data, 0
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
 
     def dump(self) -> bytes:
@@ -56,7 +58,7 @@ def _gather(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, ids, data, size = TaskContext.get().partitionId() << 32, [], [], 0
+        number, ids, data, size = TaskContext.get().partitionId() << 20, [], [], 0
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([Chunk(ids, data).dump()], pa.binary())], ["chunk", "blob"])
@@ -68,7 +70,7 @@ def _gather(limit: int):
                 ids.append(i)
                 data.append(t)
                 size += len(t) + 16
-                if size >= limit:
+                if size >= limit or len(ids) >= 1 << 20:
                     yield out()
                     number, ids, data, size = number + 1, [], [], 0
         if ids:
@@ -161,10 +163,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk, Repli
 
 
 def per_chunk(chunks: DataFrame, work: Callable[[Chunk, Replies], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Rows that `work` makes of each chunk and its replies."""
+    """Rows that `work` makes of each chunk, with its number, and its replies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk, replies in _rows(batches):
+        for number, chunk, replies in _rows(batches):
+            chunk.number = number
             for out in work(chunk, replies):
                 if out.num_rows:
                     yield out
