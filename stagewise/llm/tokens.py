@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from functools import cache
+from itertools import islice
 
 import numpy as np
 
-from stagewise.llm.words import SLAB, slabs
-
 #: A single space between non-spaces always starts a new pre-token of the byte-level
 #: pattern, and what stands before or after it does not change how the rest is cut.
 _EDGE = re.compile(r"(?<!\s) (?!\s)")
 _DIRTY = re.compile(r"\s\s")
 MEMO = 500_000
+#: Pre-token pattern of the byte-level tokenizer (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -23,12 +26,46 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _ranks(path: str) -> dict[bytes, int] | None:
+    """Byte strings and ids, if the vocabulary is a byte-level one whose ids follow its merges."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    before = told.get("pre_tokenizer") or {}
+    plain = not told.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not plain or told["model"].get("type") != "BPE" or told["model"].get("unk_token") or told["model"].get("ignore_merges"):
+        return None
+    # bytes that print stand for themselves, the others for characters from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    special = {t["content"] for t in told["added_tokens"]}
+    ids = {t: i for t, i in told["model"]["vocab"].items() if t not in special}
+    merged = [ids.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in told["model"]["merges"]]
+    if merged != sorted(merged) or min(merged, default=0) < 0:
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in ids.items()}
+
+
+class _Memo(dict):
+    """Ids of a segment that follows a space, encoded when first asked for."""
+
+    def __init__(self, encode, known=()):
+        super().__init__(known)
+        self.encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        out = self.encode(" " + part)
+        if len(part) <= 64:
+            self[part] = out
+        return out
+
+
 class Encoder:
     """Encodes texts as the library does, looking up segments already seen.
 
-    The memo keeps MEMO segments of at most 64 characters beside those of the batch
-    at hand; when it is full, those that the batch does not use go. Texts that hold
-    one of the vocabulary's special strings are encoded as a whole.
+    The memo holds MEMO segments of at most 64 characters and those of one batch; when
+    it is full the younger half goes, as frequent segments come early. Latin segments
+    go through the byte-pair ranks of the same vocabulary, where it has such; all
+    others, and texts that hold a special string, through the library itself.
     """
 
     def __init__(self, path: str):
@@ -38,50 +75,33 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
+        self.code = "H" if self.type.itemsize == 2 else "I"
+        self.fast = None
+        if ranks := _ranks(path):
+            import tiktoken
 
-    def _library(self, parts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(parts), 4096):
-            got = self.tokenizer.encode_batch_fast(parts[at : at + 4096], add_special_tokens=False)
-            out += [np.array(e.ids, self.type).tobytes() for e in got]
-        return out
+            self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.memo = _Memo(self._segment)
+
+    def _library(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _segment(self, part: str) -> bytes:
+        if self.fast and (part.isascii() or max(part) < "ɐ"):
+            return array(self.code, self.fast(part)).tobytes()
+        return self._library(part)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of `type`."""
-        return [ids for a, z in slabs([len(t) for t in batch], 4 * SLAB) for ids in self._encode(batch[a:z])]
-
-    def _encode(self, batch: list[str]) -> list[bytes]:
-        memo = self.memo
-        cuts: list[list[str] | None] = []
-        fresh: set[str] = set()
-        firsts: list[str] = []
+        out = []
         for text in batch:
             if any(s in text for s in self.special):
-                cuts.append(None)
-                firsts.append(text)
+                out.append(self._library(text))
                 continue
-            parts = (_EDGE.split(text) if _DIRTY.search(text) or text[-1:].isspace() else text.split(" "))
-            firsts.append(parts[0])
-            fresh.update(parts)
-            cuts.append(parts)
-        if len(memo) > MEMO:
-            memo = self.memo = {p: memo[p] for p in fresh if p in memo}
-        wanted = [p for p in fresh if p not in memo]
-        short = [p for p in wanted if len(p) <= 64]
-        extra = dict.fromkeys(p for p in wanted if len(p) > 64)
-        memo.update(zip(short, self._library([" " + p for p in short])))
-        if extra:
-            extra = dict(zip(extra, self._library([" " + p for p in extra])))
-        heads = self._library(firsts)
-        out = []
-        for head, parts in zip(heads, cuts):
-            if parts is None:
-                out.append(head)
-            elif extra:
-                out.append(head + b"".join([memo[p] if p in memo else extra[p] for p in parts[1:]]))
-            else:
-                out.append(head + b"".join(map(memo.__getitem__, parts[1:])))
+            if len(self.memo) > MEMO:
+                self.memo = _Memo(self._segment, islice(self.memo.items(), MEMO // 2))
+            parts = _EDGE.split(text) if _DIRTY.search(text) or text[-1:].isspace() else text.split(" ")
+            out.append((self._segment(parts[0]) if parts[0] else b"") + b"".join(map(self.memo.__getitem__, islice(parts, 1, None))))
         return out
 
 

@@ -9,7 +9,7 @@ from stagewise.llm.packing import Rounds, pack, windows
 from stagewise.llm.token_counts import count_tokens
 from stagewise.llm.tokens import Encoder, vocabulary
 
-PIECES = ["the", "  ", " ", "\n", "\t", "a'll", "don't", "1234", "...", "日本", "naïve", " ", "\x1c", "<|endoftext|>", "<|endof", "é", "!", "'", "x" * 70]
+PIECES = ["the", "œuvre", "ıſ", "\x85", "²½", "ǅ", "  ", " ", "\n", "\t", "a'll", "don't", "1234", "...", "日本", "naïve", " ", "\x1c", "<|endoftext|>", "<|endof", "é", "!", "'", "x" * 70]
 
 
 @pytest.fixture(scope="module")
