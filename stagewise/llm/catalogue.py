@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from stagewise.llm import decontamination, jaccard_join, packing, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
+from stagewise.llm import decontamination, jaccard_join, packing, privacy, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         suffix_dedup.op1_suffix_dedup,
         token_counts.op2_token_counts,
+        quality_rules.op3_quality_rules,
         packing.op4_packing,
+        privacy.op5_private_data,
         substring_dedup.op6_substring_dedup,
         jaccard_join.op7_jaccard_join,
         decontamination.op8_decontamination,

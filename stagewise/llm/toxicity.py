@@ -251,6 +251,17 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def without_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+    """The rows, all columns kept, whose score is below 0.5."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean = [lexicon.score(lexicon.density(t)) < 0.5 for t in b.column(text_col).to_pylist()]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by a lexicon learned from the rows that are not held out."""
     docs = read(spark, sf_dir, "documents")
