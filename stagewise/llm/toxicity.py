@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import read, texts
+from stagewise.llm.common import cut, read, texts
 
 #: Labelled rows the lexicon and its threshold are fitted on, about, at most.
 TRAIN_ROWS = 20_000
@@ -145,7 +145,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
     n = known.count()
     share = min(1.0, bound / max(n, 1))
     known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
-    return texts(docs).join(known, "doc_id").select("text", "toxic")
+    # the share bounds the keys, so they are broadcast and texts are not moved; the rows are read three times
+    return cut(texts(docs).join(F.broadcast(known), "doc_id").select("text", "toxic"))
 
 
 def held_out(id_col: str):
