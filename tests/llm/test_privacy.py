@@ -50,7 +50,7 @@ def test_base_against_brute_force(spark):
 
 
 def test_no_pattern_runs_away(spark):
-    long = ["a" * 200_000, "1" * 200_000, "1 " * 100_000, "+1" + "(" * 200_000, "a." * 100_000 + "@", "1." * 100_000]
+    long = ["a" * 20_000, "1" * 20_000, "1 " * 10_000, "+1" + "(" * 20_000, "a." * 10_000 + "@", "1." * 10_000]
     got = digest(find_personal_data(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"))).collect()
     assert len(got) == len(long)
 
