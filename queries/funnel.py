@@ -14,6 +14,8 @@ from stagewise.plans import purchases as P
 from stagewise.plans import report as R
 from stagewise.plans import requests as Q
 from stagewise.plans.sales_funnel import FLAG_COLUMNS, LABEL_PERSON, STAGE_COLUMNS, sales_funnel
+from stagewise.session import Workspace
+from stagewise.sources.tables import write_fact
 
 CFG = V.CONFIG
 LO, HI, ERA = CFG.lo, CFG.hi, CFG.era_cut
@@ -386,3 +388,74 @@ FROM funnel WHERE rn_weekly_lead = 1 GROUP BY ALL
 def funnel_full_report(spark, d):
     """The fact table by week, traffic type and period lead type."""
     return R.funnel_counts(funnel(spark, d), "week", "lead", [R.traffic_type("lead"), *R.lead_type_of("week")])
+
+
+# leads of one phone and day at one instant: what tells them apart decides which is numbered first
+TIES_SQL = FUNNEL_SQL.replace(
+    "real AS (SELECT * FROM s_landing_leads", "real AS (SELECT * REPLACE (date_trunc('day', created_at) AS created_at) FROM s_landing_leads"
+)
+
+
+def tied(spark, d):
+    src = V.sources(spark, d)
+    return replace(src, landing_leads=src.landing_leads.withColumn("created_at", F.date_trunc("day", "created_at")))
+
+
+@query("funnel_ties", TIES_SQL + f"SELECT {_PLAIN_FLAG} FROM funnel")
+def funnel_ties(spark, d):
+    """The fact table where many leads share an instant."""
+    return sales_funnel(tied(spark, d), CFG)
+
+
+@query("fact_sink", FUNNEL_SQL + f"SELECT {_PLAIN_FLAG}, CAST(date_trunc('month', lead_created) AS DATE) AS lead_month FROM funnel")
+def fact_sink(spark, d):
+    """The fact table written ordered, in a folder per lead month, and read back."""
+    space = Workspace(spark)
+    write_fact(funnel(spark, d), f"{space.root}/fact")
+    return spark.read.parquet(f"{space.root}/fact").withColumn("lead_month", F.to_date("lead_month"))
+
+
+def _fact_report(basis, unit, keys, tail="SELECT * FROM counts"):
+    flag = _NAMES[unit] + ("_lead" if basis == "lead" else "")
+    when = _period(unit, "lead_created")
+    if basis == "request":
+        when = f"coalesce({_period(unit, 'trial_created_at')}, {when})"
+    by = "".join(f", {e} AS {c}" for c, e in keys)
+    return FUNNEL_SQL + f"""
+, counts AS (SELECT {when} AS period{by}, count(lead_created) AS leads, count(trial_created_at) AS requests,
+       count(CASE WHEN trial_created_at IS NOT NULL THEN trial_finished_at END) AS finished,
+       count(CASE WHEN trial_created_at IS NOT NULL THEN first_purchase END) AS purchases,
+       count(CASE WHEN coalesce(CAST(time_start AS DATE) <= DATE '2024-01-17', true) THEN trial_created_at END) AS due
+FROM funnel WHERE {flag} = 1 GROUP BY ALL)
+{tail}"""
+
+
+_KNOWN = f"coalesce(CASE WHEN external_source_type_request IN {vocab.TRAFFIC_TYPES} THEN external_source_type_request END, 'undefined')"
+_SCHOOLS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.SCHOOL_TYPES.items())
+_ALL_COUNTS = "leads, requests, finished, purchases FROM counts"
+
+
+@query("fact_request_basis", _fact_report("request", "week", (), f"SELECT period, {_ALL_COUNTS}"))
+def fact_request_basis(spark, d):
+    """The fact table by week of the request."""
+    return R.funnel_counts(funnel(spark, d), "week", "request")
+
+
+@query("fact_request_source", _fact_report("request", "month", [("traffic_type", _KNOWN)], f"SELECT period, traffic_type, {_ALL_COUNTS}"))
+def fact_request_source(spark, d):
+    """The fact table by month and traffic type of the request."""
+    return R.funnel_counts(funnel(spark, d), "month", "request", [R.traffic_type("request")])
+
+
+@query("fact_school_type", _fact_report(
+    "lead", "month", [("school_type", f"CASE grade_kind {_SCHOOLS} ELSE 'undefined' END")], f"SELECT period, school_type, {_ALL_COUNTS}"))
+def fact_school_type(spark, d):
+    """The fact table by month of the lead and school type."""
+    return R.funnel_counts(funnel(spark, d), "month", "lead", [R.school_type()])
+
+
+@query("fact_conversion_as_of", _fact_report(
+    "request", "week", (), "SELECT period, requests, finished, CAST(finished AS DOUBLE) / nullif(CAST(due AS DOUBLE), 0) AS request_to_finished FROM counts"))
+def fact_conversion_as_of(spark, d):
+    """Finished rate of the fact table over the requests due by a day."""
+    return R.conversion_as_of(funnel(spark, d), "2024-01-17", "week", "request")

@@ -120,26 +120,29 @@ def canonical_page_literal(spark, d):
 
 
 @query("rule_flag", f"""
-WITH {V.VIEWS_SQL}, p AS (SELECT page_id, {_PATH} AS path FROM pages),
-lp AS (SELECT lead_at, CASE WHEN right(path, 1) = '/' THEN path ELSE path || '/' END AS page,
-              CASE WHEN lead_k % 9 = 0 THEN 'a funnel b' END AS tag
-       FROM lead_v LEFT JOIN p ON page_id = lead_k)
-SELECT CASE WHEN contains(page, 'blog.') AND CAST(lead_at AS DATE) >= DATE '2024-01-05' THEN 1
-            WHEN (right(page, 6) = '/853/' OR contains(page, '/en/')) AND lead_at > TIMESTAMP '2024-01-20 12:00:00' THEN 1
+WITH p AS (SELECT page_id, {_PATH} AS path, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * (page_id * 2220 % 2592000) AS seen_at FROM pages),
+lp AS (SELECT seen_at, CASE WHEN right(path, 1) = '/' THEN path ELSE path || '/' END AS page,
+              CASE WHEN page_id % 9 = 0 THEN 'a funnel b' END AS tag FROM p)
+SELECT CASE WHEN contains(page, 'blog.') AND CAST(seen_at AS DATE) >= DATE '2024-01-05' THEN 1
+            WHEN (right(page, 6) = '/853/' OR contains(page, '/en/')) AND seen_at > TIMESTAMP '2024-01-20 12:00:00' THEN 1
             WHEN contains(tag, 'funnel') THEN 1 ELSE 0 END AS rule_flag, count(*) AS n
 FROM lp GROUP BY 1
 """)
 def rule_flag(spark, d):
-    """Leads on pages, by rules of page and launch time or a tag word."""
-    pages = L.with_canonical_page(V.table(spark, d, "pages"), "url").select("page_id", "page")
-    leads = V.lead(spark, d).join(pages, F.expr("page_id = lead_k"), "left")
-    tagged = leads.withColumn("tag", F.expr("CASE WHEN lead_k % 9 = 0 THEN 'a funnel b' END"))
+    """All pages, seen at times spread over a month, by rules of page and launch time or a tag word."""
+    pages = L.with_canonical_page(V.table(spark, d, "pages"), "url")
+    seen = pages.withColumns(
+        {
+            "seen_at": F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id * 2220 % 2592000)"),
+            "tag": F.expr("CASE WHEN page_id % 9 = 0 THEN 'a funnel b' END"),
+        }
+    )
     rules = [
         L.PageRule("contains", ("blog.",), "2024-01-05 00:00:00", by_day=True),
         L.PageRule("contains", ("/en/",), "2024-01-20 12:00:00"),
         L.PageRule("endswith", ("/853/",), "2024-01-20 12:00:00"),
     ]
-    return L.with_rule_flag(tagged, "page", "lead_at", "tag", rules).groupBy("rule_flag").agg(n())
+    return L.with_rule_flag(seen, "page", "seen_at", "tag", rules).groupBy("rule_flag").agg(n())
 
 
 @query("exclude_tests", f"""

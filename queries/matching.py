@@ -9,7 +9,7 @@ from queries.registry import query
 from stagewise.functions import columns as C
 from stagewise.operators import match as M
 from stagewise.operators import stages as S
-from stagewise.operators.keyed import first_per_key, first_seen, first_trial, next_event
+from stagewise.operators.keyed import first_seen, first_trial, next_event
 from stagewise.operators.labelling import explode_json
 from stagewise.operators.lead_type import label_lead_type
 
@@ -100,14 +100,13 @@ def interval_join(spark, d):
 
 @query("attribute_within", f"""
 WITH {V.VIEWS_SQL}, touch AS (
-  SELECT person, CASE WHEN person % 9 = 0 THEN NULL ELSE log_at END AS touch_at, log_id FROM stafflog_v
-  QUALIFY row_number() OVER (PARTITION BY person ORDER BY log_at, log_id) = 1)
+  SELECT person, CASE WHEN person % 9 = 0 THEN NULL ELSE log_at END AS touch_at, log_id FROM stafflog_v)
 SELECT request_id, r.person, log_id FROM request_v r LEFT JOIN touch t
   ON t.person = r.person AND (request_at <= touch_at + INTERVAL 10 DAY OR touch_at IS NULL)
 """)
 def attribute_within(spark, d):
-    """Requests with the person's registration touch while it is valid."""
-    touches = first_per_key(V.stafflog(spark, d), ["person"], ["log_at", "log_id"]).selectExpr(
+    """Requests with all registration touches of the person that are valid."""
+    touches = V.stafflog(spark, d).selectExpr(
         "person", "CASE WHEN person % 9 = 0 THEN NULL ELSE log_at END AS touch_at", "log_id")
     requests = V.request(spark, d).select("request_id", "person", "request_at")
     joined = M.attribute_within(requests, touches, "person", "request_at", "touch_at", "interval 10 days")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, join_same
+from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, join_same, with_blocks
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
@@ -40,7 +40,7 @@ def next_event(
         return rows.withColumn(out, F.lead(ts).over(Window.partitionBy(*keys).orderBy(*order)))
 
     def sliced(rows: DataFrame) -> DataFrame:
-        cut = rows.withColumn("_slice", F.date_trunc("hour", ts))
+        cut = with_blocks(rows, keys, {"_slice": F.unix_micros(F.col(ts).cast("timestamp"))})
         by = [*keys, "_slice"]
         # a struct, to tell a following row without time from no following row
         inside = cut.withColumn("_next", F.lead(F.struct(ts)).over(Window.partitionBy(*by).orderBy(*order)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.functions.columns import seconds_between
-from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, find_hot, join_same
+from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, find_hot, join_same, with_blocks
 
 @dataclass(frozen=True)
 class Other:
@@ -75,7 +75,7 @@ def asof(
         return finish(sweep(df, keys))
 
     def sliced(df: DataFrame) -> DataFrame:
-        cut = df.withColumn("_slice", F.date_trunc("hour", "_t"))
+        cut = with_blocks(df, keys, {"_slice": F.unix_micros(F.col("_t").cast("timestamp"))})
         by = [*keys, "_slice"]
         # what a slice hands on: the nearest rows of the slices swept before it
         best = cut.groupBy(*by).agg(*[nearest(f).alias(f) for f in found])
@@ -162,7 +162,8 @@ def attribute_within(
 ) -> DataFrame:
     """Rows with the touches still valid at their time; a touch without time always is.
 
-    Copies of a touch count once. Every row is kept.
+    Copies of a touch count once. Every row is kept; it comes out once for each
+    valid touch of its key, so touches per key should be few.
     """
     touches = touches.distinct().withColumnRenamed(key, "_key")
     valid = (F.col(ts) <= F.col(touch_ts) + F.expr(ttl)) | F.col(touch_ts).isNull()

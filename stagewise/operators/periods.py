@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from stagewise.functions import vocab
 from stagewise.functions.columns import period
 from stagewise.operators.keyed import first_per_key
-from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, join_same
+from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, join_same, with_blocks
 from stagewise.operators.stages import fallback_key
 
 GRAINS = ("day", "week", "month")
 FLAG = {"day": "rn_daily", "week": "rn_weekly", "month": "rn_monthly"}
-# ids of one slice of a hot group
-ID_BLOCK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -85,21 +83,28 @@ def _numbered(df, cols, grains, exact_daily_lead, by_lead=(), by_request=()):
     return df.withColumns(ranks)
 
 
-def _numbered_in_slices(df, cols, grains, exact_daily_lead):
-    """Rank inside a slice plus the rows of the earlier slices of the group.
+LEAD_SLICE, REQUEST_SLICE = ("_day", "_lead_block"), ("_request_block",)
+
+
+def in_slices(df: DataFrame, cols: FlagColumns) -> DataFrame:
+    """Rows of large groups with the slices they are numbered in.
 
-    Slices follow the numbering order: tag, then the hour of the lead; or tag,
-    request day, then a block of request ids.
+    Slices follow the numbering order: tag, day of the lead, then a block of lead
+    times; or tag, request day, then a block of request ids. Rows without a
+    request get no number by request that counts, and are cut by lead time there.
     """
+    lead, request = F.unix_micros(F.col(cols.lead_ts).cast("timestamp")), F.col(cols.request_id).cast("long")
+    cut = with_blocks(df, [cols.person], {"_lead_block": lead, "_id_block": request})
+    block = F.when(F.col(cols.request_day).isNull(), F.col("_lead_block")).otherwise(F.col("_id_block"))
+    return cut.withColumns({"_day": F.to_date(cols.lead_ts), "_request_block": block}).drop("_id_block")
+
+
+def _numbered_in_slices(df, cols, grains, exact_daily_lead):
+    """Rank inside a slice plus the rows of the earlier slices of the group."""
     tag, person, product = cols.tag, cols.person, cols.product
-    sliced = df.withColumns(
-        {
-            "_hour": F.date_trunc("hour", cols.lead_ts),
-            "_block": F.floor(F.col(cols.request_id) / ID_BLOCK),
-        }
-    )
+    sliced = in_slices(df, cols)
 
-    lead_slice = [tag, "_hour"]
+    lead_slice = [tag, *LEAD_SLICE]
     sizes = sliced.groupBy(person, product, *lead_slice).agg(F.count(F.lit(1)).alias("_n"))
     before = {}
     for g in grains:
@@ -107,11 +112,11 @@ def _numbered_in_slices(df, cols, grains, exact_daily_lead):
             if exact_daily_lead and with_product and g == "day":
                 before[f"_b_lead_{g}_1"] = F.lit(0)
                 continue
-            keys = [person, period(g, F.col("_hour")), *([product] if with_product else [])]
+            keys = [person, period(g, F.col("_day")), *([product] if with_product else [])]
             before[f"_b_lead_{g}_{int(with_product)}"] = _rows_before(keys, lead_slice)
     lead_offsets = sizes.withColumns(before).drop("_n")
 
-    request_slice = [tag, cols.request_day, "_block"]
+    request_slice = [tag, cols.request_day, *REQUEST_SLICE]
     sizes = sliced.groupBy(person, product, *request_slice).agg(F.count(F.lit(1)).alias("_n"))
     request_offsets = sizes.withColumns(
         {
@@ -176,8 +181,8 @@ def period_labels(
     """Adds ``<label>_<grain>``: the label of the counted row of person, product and period.
 
     Counted rows are taken from ``fact`` (default: the labelled table itself).
-    An undefined product takes the labels of any product, which can give more
-    than one row; equal rows are left to the caller's ``distinct``.
+    An undefined product takes the labels of any product, each different one
+    once, so a row comes out as often as it has different labels.
     """
     keys = {
         "_person": fallback_key(*person_keys),
@@ -192,12 +197,11 @@ def period_labels(
         .select(
             F.col("_person").alias("_p"),
             F.col("_period").alias("_d"),
-            F.col("_product").alias("_s"),
+            F.explode(F.array_distinct(F.array("_product", F.lit(vocab.UNDEFINED)))).alias("_s"),
             *[F.col(c).alias("_l_" + c) for c in labels],
         )
         .distinct()
     )
-    product_fits = (F.col("_product") == vocab.UNDEFINED) | (F.col("_product") == F.col("_s"))
-    cond = (F.col("_person") == F.col("_p")) & (F.col("_period") == F.col("_d")) & product_fits
+    cond = (F.col("_person") == F.col("_p")) & (F.col("_period") == F.col("_d")) & (F.col("_product") == F.col("_s"))
     out = {f"{c}_{grain}": F.coalesce("_l_" + c, c) for c in labels}
     return keyed.join(counted, cond, "left").select(*df.columns, *[c.alias(n) for n, c in out.items()])

@@ -20,6 +20,8 @@ from stagewise.session import Workspace
 HOT_ROWS = 1_000_000
 # the list of hot keys is broadcast up to this many, beyond that it is joined as any table
 MAX_BROADCAST_KEYS = 500_000
+# blocks that a hot group is cut into
+BLOCKS = 256
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -43,13 +45,35 @@ class HotGroups:
 def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> HotGroups:
     """Count the groups and list those with more than ``hot_rows`` rows.
 
-    Runs one job over the key columns; counts combine before the shuffle.
+    Runs one job over the key columns, which writes the list; counts combine
+    before the shuffle.
     At most ``rows / hot_rows`` keys can be listed (100,000 for 10**11 rows at
     the default).
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > hot_rows).select(*keys)
-    return HotGroups(None if large.isEmpty() else Workspace(df.sparkSession).stage(large, "hot"))
+    large = Workspace(df.sparkSession).stage(sizes.where(F.col("_n") > hot_rows).select(*keys), "hot")
+    return HotGroups(None if large.isEmpty() else large)
+
+
+def with_blocks(df: DataFrame, keys: Sequence[str], blocks: dict[str, Column], n: int = BLOCKS) -> DataFrame:
+    """Add a block number per column name: groups are cut at the quantiles of a whole number.
+
+    Bounds come from the rows of each group, so blocks are about equal whatever
+    the numbers are; a larger number is never in an earlier block. Equal numbers
+    share a block; a missing number has none. One row of bounds per group.
+    """
+    shares = [i / n for i in range(1, n)]
+    bounds = df.groupBy(*keys).agg(
+        *[F.percentile_approx(value, shares, 20 * n).alias("_bounds" + name) for name, value in blocks.items()]
+    )
+    joined = join_same(df, bounds, keys)
+
+    def number(value: Column, at: str) -> Column:
+        reached = F.filter(F.array_distinct(at), lambda b: b <= value)
+        return F.when(value.isNotNull(), F.size(reached))
+
+    joined = joined.withColumns({name: number(value, "_bounds" + name) for name, value in blocks.items()})
+    return joined.drop(*["_bounds" + name for name in blocks])
 
 
 def by_group_size(

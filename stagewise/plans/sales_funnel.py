@@ -62,20 +62,8 @@ STAGE_COLUMNS = [
     "amount",
 ]
 
-FLAG_COLUMNS = FlagColumns(
-    ties=(
-        "subject_id",
-        "grade_kind",
-        "student_id",
-        "lal_created_at",
-        "payment_id",
-        "subject_name_rev",
-        "first_purchase",
-        "sl_lesson_id",
-        *LEAD_TAGS,
-        *REQUEST_TAGS,
-    )
-)
+# every stage column that may differ between two rows of a person and request takes part in the order
+FLAG_COLUMNS = FlagColumns(ties=tuple(c for c in STAGE_COLUMNS if c not in ("phone", "lesson_id", "lead_created")))
 
 # person key of the label of each grain, first non-NULL wins
 LABEL_PERSON = {
@@ -215,8 +203,10 @@ def narrowed(src: FunnelSources, cfg: FunnelConfig, work: Workspace) -> tuple[Fu
     """The requests of the slice, the trial history of the people in play, and their sources.
 
     A run covers a short slice of a long history. Leads and their tags are cut
-    by time at the scan; payments and lessons are cut to the people in play
-    before anything is joined, ranked or parsed. All rows of a kept person stay.
+    by time at the scan. Payments, lessons and registration touches are cut to the
+    people in play, orders to their payments, statuses and staff logs to the
+    lessons of the slice, all before anything is joined, grouped or parsed. All
+    rows of a kept person stay.
     """
     src = replace(
         src,
@@ -225,14 +215,23 @@ def narrowed(src: FunnelSources, cfg: FunnelConfig, work: Workspace) -> tuple[Fu
     )
     sliced = src.lessons.where(C.in_slice(F.col("created_at"), cfg.lo, cfg.hi, cfg.hi_inclusive))
     created = R.trial_lessons(replace(src, lessons=sliced))
-    requests = work.stage(R.requests(created, src.lessons_students_statuses, cfg), "requests")
+    created_ids = sliced.select(F.col("id").alias("lesson_id"))
+    statuses = src.lessons_students_statuses.join(created_ids, "lesson_id", "left_semi")
+    requests = work.stage(R.requests(created, statuses, cfg), "requests")
 
     players = work.stage(in_play(src, requests), "people")
     students = players.select("student_id")
     bridge = src.lessons_students.join(students, "student_id", "left_semi")
     clients = students.withColumnRenamed("student_id", "client_id")
+    payments = src.payments.join(clients, "client_id", "left_semi")
+    paid_ids = payments.select(F.col("id").alias("payment_id"))
     src = replace(
-        src, lessons_students=bridge, payments=src.payments.join(clients, "client_id", "left_semi")
+        src,
+        lessons_students=bridge,
+        payments=payments,
+        orders=src.orders.join(paid_ids, "payment_id", "left_semi"),
+        lesson_creation_logs=src.lesson_creation_logs.join(requests.select("lesson_id"), "lesson_id", "left_semi"),
+        traffic_source=src.traffic_source.join(players.select("parent_id"), "parent_id", "left_semi"),
     )
     trials = work.stage(R.trial_lessons(src, players), "trials")
     return src, requests, trials
@@ -279,4 +278,4 @@ def sales_funnel(src: FunnelSources, cfg: FunnelConfig = FunnelConfig(), work: W
         out = period_labels(
             out, grain, LABEL_PERSON[grain], cols=FLAG_COLUMNS, sentinel=cfg.sentinel, fact=fact
         )
-    return out.distinct()
+    return out

@@ -43,18 +43,39 @@ def work_dir(spark: SparkSession) -> str:
     return _local_dir(spark.sparkContext.applicationId)
 
 
+_roots: list[str] = []
+
+
 class Workspace:
     """Writes a relation once and hands back a scan of it.
 
     A staged table cuts the lineage (a lost executor re-reads files instead of
-    recomputing joins) and, unlike a cached one, keeps column pruning.
+    recomputing joins) and, unlike a cached one, keeps column pruning. As a
+    context manager it removes its folder, and those that operators made inside
+    the block, when the block ends: write the result before.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{work_dir(spark)}/run-{uuid.uuid4().hex}"
+        self._before = len(_roots)
+        _roots.append(self.root)
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Remove the folders of this and all later workspaces."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for root in _roots[self._before :]:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(conf).delete(path, True)
+        del _roots[self._before :]

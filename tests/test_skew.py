@@ -8,7 +8,7 @@ import pytest
 from stagewise.operators import skew
 from stagewise.operators.keyed import next_event
 from stagewise.operators.match import Other, asof, nearest_match
-from stagewise.operators.periods import FlagColumns, period_flags
+from stagewise.operators.periods import LEAD_SLICE, REQUEST_SLICE, FlagColumns, in_slices, period_flags
 from stagewise.operators.skew import HotGroups, find_hot
 from tests.conftest import values
 
@@ -102,3 +102,24 @@ def test_period_flags(spark, exact):
     plain = period_flags(df, cols, exact_daily_lead=exact, hot=HotGroups(None))
     for hot_rows in (0, 120):
         assert values(period_flags(df, cols, exact_daily_lead=exact, hot_rows=hot_rows)) == values(plain)
+
+
+def test_slices_of_a_hot_group_stay_small(spark):
+    """Rows without a request, sparse request ids, and a bulk import inside one hour."""
+    day = "date_add(DATE '2024-01-01', CAST(id % 3 AS INT))"
+    df = spark.range(30_000).selectExpr(
+        "'hot' AS phone",
+        "'math' AS subject_name",
+        f"IF(id % 2 = 0, {day}, NULL) AS trial_created_at",
+        "TIMESTAMP '2024-01-05 10:00:00' + make_dt_interval(0, 0, 0, id / 10) AS lead_created",
+        "IF(id % 2 = 0, 1, 2) AS union_rn",
+        "IF(id % 2 = 0, id * 7000000, NULL) AS lesson_id",
+        "id AS row",
+    )
+    cols = FlagColumns(ties=("row",))
+    cut = in_slices(df, cols)
+    for slices in ([*LEAD_SLICE], ["trial_created_at", *REQUEST_SLICE]):
+        sizes = cut.groupBy("phone", "subject_name", "union_rn", *slices).count()
+        assert sizes.agg({"count": "max"}).first()[0] <= 30_000 / 64
+    plain = period_flags(df, cols, hot=HotGroups(None))
+    assert values(period_flags(df, cols, hot_rows=1000)) == values(plain)
