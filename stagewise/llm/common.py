@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,10 +44,20 @@ def cut(df: DataFrame) -> DataFrame:
 
     Rows and their partitions are fixed from here on, whatever executors are lost.
     """
-    ready(df.sparkSession)
+    release(ready(df.sparkSession))
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that an earlier checkpoint has made needless.
+
+    Spark removes them when the driver's JVM finds their lineage unreachable, which
+    may otherwise be half an hour later.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,16 +21,18 @@ from stagewise.llm.common import cut, deal, texts
 
 #: Bytes of text in a chunk; chunks whose keys share a bucket.
 CHUNK, SHARE = 4 << 20, 3
+#: Bits of a key that filters send.
+CODE = 28
 #: Bits of a document's place in its chunk, whose number takes the others.
 PLACE = 21
 #: Order of rows without an id: behind all others.
 NO_ID = np.iinfo(np.int64).max
 
 
-def squeeze(data: bytes) -> bytes:
+def squeeze(data: bytes, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def stretch(data: bytes) -> bytes:
@@ -47,7 +49,7 @@ class Chunk:
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
 
     def dump(self) -> bytes:
-        return squeeze(pickle.dumps((self.raw_ids, self.texts), protocol=5))
+        return squeeze(pickle.dumps((self.raw_ids, self.texts), protocol=5), 6)
 
     @staticmethod
     def load(blob: bytes) -> Chunk:
@@ -113,10 +115,14 @@ def unpack_sorted(data: bytes, kind: str) -> np.ndarray:
 
 
 def short(keys: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
-    """The keys of a bucket in 32 bits, in the same order. For filters: different keys may meet."""
+    """The keys of a bucket in CODE bits, in the same order.
+
+    For filters: different keys may meet, about one in 200 of them at any size, as
+    buckets do not grow.
+    """
     low = np.uint64((bucket << 64) // buckets)
     width = ((1 << 64) + buckets - 1) // buckets + 1
-    shift = max(0, (width - 1).bit_length() - 32)
+    shift = max(0, (width - 1).bit_length() - CODE)
     return ((keys - low) >> np.uint64(shift)).astype(np.uint32)
 
 
