@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stagewise.llm import decontamination, jaccard_join, packing, privacy, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
+from stagewise.llm import decontamination, jaccard_join, oracles, packing, privacy, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -19,4 +19,8 @@ QUERIES = {
         sharding.op10_sharding,
     )
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_substring_dedup": oracles.SUBSTRINGS.strip(),
+    "op7_jaccard_join": oracles.NEAR_COPIES.strip(),
+    "op8_decontamination": oracles.CONTAINED.strip(),
+}
