@@ -87,15 +87,14 @@ def by_group_size(
     """``plain`` over the ordinary groups, ``sliced`` over the large ones.
 
     ``hot`` may come from a cheaper relation or name some of the keys only; a
-    wrong guess costs time, never results. With large groups the rows are staged
-    once, as the two ways and the slice summaries all read them.
+    wrong guess costs time, never results. Rows of large groups are staged, as
+    the slices, their bounds and their summaries all read them; the others are
+    never written.
     """
     hot = find_hot(df, keys, hot_rows) if hot is None else hot
     if hot.keys is None:
         return plain(df)
-    rows = Workspace(df.sparkSession).stage(df, "rows")
     few = hot.keys.count() <= MAX_BROADCAST_KEYS
     listed, on = F.broadcast(hot.keys) if few else hot.keys, hot.keys.columns
-    return plain(join_same(rows, listed, on, "left_anti")).unionByName(
-        sliced(join_same(rows, listed, on, "left_semi"))
-    )
+    large = Workspace(df.sparkSession).stage(join_same(df, listed, on, "left_semi"), "rows")
+    return plain(join_same(df, listed, on, "left_anti")).unionByName(sliced(large))

@@ -43,6 +43,16 @@ def test_order_of_rows_and_size_switch(spark, sources, tmp_path):
     assert not os.path.exists(root)
 
 
+def test_sources_from_tables(spark, sources):
+    named = {n: f"given_{n}" for n in FunnelSources.names()}
+    for n, view in named.items():
+        getattr(sources, n).createOrReplaceTempView(view)
+    found = FunnelSources.from_tables(spark, named)
+    for n in named:
+        assert getattr(found, n).schema == getattr(sources, n).schema
+        assert getattr(found, n).count() == getattr(sources, n).count()
+
+
 @pytest.mark.parametrize("change", [{"flags_after_suppression": True}, {"hi_inclusive": False}, {"strict_pages": False}, {"exact_daily_lead": True}])
 def test_options_run_end_to_end(sources, change):
     cfg = replace(CFG, **change)
