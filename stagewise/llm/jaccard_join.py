@@ -109,7 +109,7 @@ def choose_matches(cost: np.ndarray, p: int, n: int, most: int, price: float) ->
 
 
 def _profiles(shingle: int, percent: int, buckets: int, most: int, price: float):
-    """Documents whose prefix holds a shingle of another: prefix with levels, and shared shingles."""
+    """Documents whose prefix holds a shingle of another: prefix with places, and shared shingles."""
 
     def work(chunk, replies):
         keys, _ = _counted(chunk, replies, shingle)
@@ -135,7 +135,6 @@ def _profiles(shingle: int, percent: int, buckets: int, most: int, price: float)
                 shared = c[take] > 1
                 if not shared.any():
                     continue
-                level = np.maximum(1, place - p[k] + 2)[shared]
                 rows.append(
                     {
                         "node": (chunk.number << X.PLACE) + int(d[first[k]]),
@@ -143,7 +142,7 @@ def _profiles(shingle: int, percent: int, buckets: int, most: int, price: float)
                         "alone": float(alone[k]) / float(n[k]),
                         "matches": l,
                         "tokens": own[take[shared]].view(np.int64).tolist(),
-                        "levels": level.tolist(),
+                        "places": place[shared].tolist(),
                         "shared": np.sort(own[c > 1]).tobytes(),
                     }
                 )
@@ -153,7 +152,7 @@ def _profiles(shingle: int, percent: int, buckets: int, most: int, price: float)
 
 
 PROFILE = pa.schema(
-    [("node", pa.int64()), ("n", pa.int64()), ("alone", pa.float64()), ("matches", pa.int32()), ("tokens", pa.list_(pa.int64())), ("levels", pa.list_(pa.int32())), ("shared", pa.binary())]
+    [("node", pa.int64()), ("n", pa.int64()), ("alone", pa.float64()), ("matches", pa.int32()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("shared", pa.binary())]
 )
 
 
@@ -183,8 +182,14 @@ def verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
-def _alike(n: str, m: str, percent: int) -> F.Column:
-    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
+def _reached(matches: str, percent: int) -> F.Column:
+    """Whether a common shingle counts for a pair that must share `matches` of them.
+
+    Linked sets of n and m shingles have o = percent (n + m) / (100 + percent) in
+    common, or more, so they share l of the first n - o + l and m - o + l.
+    """
+    least = f"({percent} * (n + n_) + {99 + percent}) div {100 + percent}"
+    return F.expr(f"place < n - {least} + {matches} AND place_ < n_ - {least} + {matches}")
 
 
 def _links(profiles: DataFrame, percent: int) -> DataFrame:
@@ -193,25 +198,30 @@ def _links(profiles: DataFrame, percent: int) -> DataFrame:
     First every posting is checked against one of its documents, the one with the
     fewest shingles of its own, which joins what belongs together without forming the
     pairs of a posting. After that only pairs of different components remain: all of
-    them that share enough prefix shingles are formed and verified.
+    them that share enough shingles of the prefixes that their sizes ask for are
+    formed and verified. In each posting the members of its largest component meet
+    the others only, not each other.
     """
-    postings = profiles.select("node", "n", "alone", "matches", F.explode(F.arrays_zip("tokens", "levels")).alias("p"))
-    postings = postings.select("node", "n", "alone", "matches", F.col("p.tokens").alias("token"), F.col("p.levels").alias("level"))
-    centre = postings.groupBy("token").agg(F.min(F.struct("alone", "node", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    stars = postings.join(centre, "token").filter("node <> c.node").filter(_alike("n", "c.n", percent))
-    stars = cut(stars.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct())
+    postings = profiles.select("node", "n", "alone", "matches", F.explode(F.arrays_zip("tokens", "places")).alias("p"))
+    postings = postings.select("node", "n", "alone", "matches", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
+    centre = postings.groupBy("token").agg(F.min(F.struct("alone", "node", "n", "place")).alias("c"), F.count("*").alias("size")).filter("size > 1")
+    centre = centre.select("token", F.col("c.node").alias("node_"), F.col("c.n").alias("n_"), F.col("c.place").alias("place_"))
+    stars = postings.join(centre, "token").filter("node <> node_").filter(_reached("1", percent))
+    stars = cut(stars.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct())
     links = cut(verified(stars, profiles, percent))
     roots = components(links)
 
-    placed = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    left = cut(placed.join(mixed, "token").drop("alone"))
-    right = left.select(*[F.col(c).alias(f"{c}_" if c != "token" else c) for c in left.columns])
-    pairs = left.join(right, "token").filter("node < node_ AND root <> root_").filter(_alike("n", "n_", percent))
-    # only levels that both prefixes reach with the fewer matches count
-    pairs = pairs.filter("greatest(level, level_) <= least(matches, matches_)")
-    pairs = pairs.groupBy("node", "node_").agg(F.count("*").alias("common"), F.first(F.least("matches", "matches_")).alias("least"))
-    pairs = pairs.filter("common >= least").select(F.col("node").alias("a"), F.col("node_").alias("b"))
+    placed = postings.drop("alone").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = placed.groupBy("token", "root").agg(F.count("*").alias("members"))
+    mixed = held.groupBy("token").agg(F.max(F.struct("members", "root")).alias("g"), F.count("*").alias("roots")).filter("roots > 1")
+    right = cut(placed.join(mixed.select("token", F.col("g.root").alias("largest")), "token"))
+    left = right.filter("root <> largest")
+    right = right.select(*[F.col(c).alias(f"{c}_" if c != "token" else c) for c in right.columns if c != "largest"])
+    # two members of smaller components meet twice, once is enough
+    apart = "root <> root_ AND (root_ = largest OR node < node_)"
+    pairs = left.join(right, "token").filter(apart).filter(_reached("least(matches, matches_)", percent))
+    pairs = pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"), F.least("matches", "matches_").alias("least"))
+    pairs = pairs.groupBy("a", "b", "least").agg(F.count("*").alias("common")).filter("common >= least").select("a", "b")
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(verified(pairs.join(known, ["a", "b"], "left_anti"), profiles, percent))
     if more.isEmpty():
@@ -250,7 +260,7 @@ def near_copies(
     chosen = chosen.groupBy("chunk").agg(F.collect_list(F.struct("bucket", F.lit(None).cast("binary").alias("reply"))).alias("chosen"))
     chunks = chunks.join(chosen, "chunk")
     chunks = X.exchange(chunks, "frequency", _ask_frequency(shingle, buckets), _frequency)
-    fields = "node long, n long, alone double, matches int, tokens array<long>, levels array<int>, shared binary"
+    fields = "node long, n long, alone double, matches int, tokens array<long>, places array<int>, shared binary"
     profiles = cut(X.per_chunk(chunks, _profiles(shingle, percent, buckets, most, price), fields))
     roots = _links(profiles, percent)
 
