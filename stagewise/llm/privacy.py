@@ -20,8 +20,8 @@ TERM = r"\p{L}{3,}+"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: Characters around a protected value that are its context.
 RADIUS = 80
-#: A term is disclosing from so many texts that have it near one value, from this share of
-#: all texts that have it, and from so many bits that it tells about the value.
+#: A term is disclosing from so many different texts that have it near one value, from this
+#: share of all documents that have it, and from so many bits that it tells about the value.
 TEXTS, SHARE, BITS = 3, 0.5, 6.0
 #: Rows up to which a counted table is broadcast.
 BROADCAST = 200_000
@@ -104,42 +104,46 @@ def _key(text: str = "text") -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.col(text), F.lit("other")).alias("k2")]
 
 
+def _chosen(terms: DataFrame) -> DataFrame:
+    """The table, to be broadcast if its counted size allows it."""
+    return F.broadcast(terms) if terms.count() <= BROADCAST else terms
+
+
 def disclosing_terms(docs: DataFrame, radius: int = RADIUS, least: int = TEXTS, share: float = SHARE, bits: float = BITS) -> DataFrame:
     """(k1, k2, terms): the disclosing terms of each text that has any.
 
-    For a term t and a protected value e, over distinct texts: n(t, e) have t within
-    `radius` characters of e, n(t) have t, n(e) have e, N are all. P(e | t) is
-    n(t, e) / n(t), and t tells log2(P(e | t) N / n(e)) bits about e. A term is
-    disclosing if n(t, e), P(e | t) and the bits reach their thresholds for any e.
-    Candidates come from the contexts alone; only their occurrences, not all words, are
-    counted over all documents.
+    For a term t and a protected value e, over all N documents: n(t, e) have t within
+    `radius` characters of e, n(t) have t, n(e) have e. P(e | t) is n(t, e) / n(t),
+    and t tells log2(P(e | t) N / n(e)) bits about e. A term is disclosing if so many
+    different texts have it near e, and P(e | t) and the bits reach their thresholds;
+    of several values that with the largest n(t, e) counts. Candidates come from the
+    contexts; over all documents only they are counted, summed up before any shuffle.
     """
     rows = docs.select("text", *_key())
-    held = base_spans(rows)
+    held = base_spans(rows.withColumn("row", F.monotonically_increasing_id()))
     kinds = _each(KINDS, lambda k, x: F.struct(F.lit(k).alias("kind"), F.lower(x["v"]).alias("value"), x["s"].alias("s"), x["e"].alias("e")))
     values = held.withColumn("x", F.explode(kinds))
     left = F.expr(f"substring(text, greatest(x.s - {radius}, 0) + 1, least(x.s, {radius}))")
     right = F.expr(f"substring(text, x.e + 1, {radius})")
-    # words that the context cuts are words of their own: their ends are left out
+    # words that the context cuts are left out
     near = F.concat(F.regexp_replace(left, r"^\p{L}+", ""), F.lit(" "), F.regexp_replace(right, r"\p{L}+$", ""))
     near = F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(TERM), F.lit(0)))
-    contexts = cut(values.select("k1", "k2", "x.kind", "x.value", near.alias("terms")))
-    of_value = contexts.groupBy("kind", "value").agg(F.count_distinct("k1", "k2").alias("n_e")).filter(F.col("n_e") >= least)
-    pairs = contexts.join(of_value, ["kind", "value"]).select("kind", "value", "n_e", "k1", "k2", F.explode("terms").alias("term")).distinct()
-    pairs = pairs.groupBy("kind", "value", "n_e", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= least)
-    # of all values that a term may reveal, the one it is found with most counts
-    best = cut(pairs.groupBy("term").agg(F.max(F.struct("n_te", (-F.col("n_e")).alias("rare"))).alias("b")).select("term", "b.n_te", (-F.col("b.rare")).alias("n_e")))
-
-    words = rows.select(*["k1", "k2"], F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    small = best.count() <= BROADCAST
-    candidates = best.select("term")
-    places = cut(words.join(F.broadcast(candidates) if small else candidates, "term").distinct())
-    total = rows.count()
-    of_term = places.groupBy("term").agg(F.count("*").alias("n_t"))
+    contexts = cut(values.select("row", "k1", "k2", "x.kind", "x.value", near.alias("terms")))
+    of_value = contexts.groupBy("kind", "value").agg(F.count_distinct("row").alias("n_e"), F.count_distinct("k1", "k2").alias("texts"))
+    of_value = of_value.filter(F.col("texts") >= least).drop("texts")
+    pairs = contexts.join(of_value, ["kind", "value"]).select("kind", "value", "n_e", "row", "k1", "k2", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("kind", "value", "n_e", "term").agg(F.count_distinct("row").alias("n_te"), F.count_distinct("k1", "k2").alias("texts"))
+    pairs = pairs.filter(F.col("texts") >= least)
+    best = pairs.groupBy("term").agg(F.max(F.struct("n_te", (-F.col("n_e")).alias("rare"))).alias("b"))
+    best = cut(best.select("term", "b.n_te", (-F.col("b.rare")).alias("n_e")))
+
+    words = rows.select("k1", "k2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    of_term = words.select("term").join(_chosen(best.select("term")), "term").groupBy("term").agg(F.count("*").alias("n_t"))
     chance = F.col("n_te") / F.col("n_t")
-    told = F.log2(chance * F.lit(float(total)) / F.col("n_e"))
-    chosen = best.join(of_term, "term").filter((chance >= share) & (told >= bits)).select("term")
-    return places.join(chosen, "term").groupBy("k1", "k2").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    told = F.log2(chance * F.lit(float(rows.count())) / F.col("n_e"))
+    found = cut(best.join(of_term, "term").filter((chance >= share) & (told >= bits)).select("term"))
+    places = words.join(_chosen(found), "term").distinct()
+    return places.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("term")).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -152,9 +156,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = texts(docs, id_col, text_col, **{f"extra_{i}": c for i, c in enumerate(extra)})
     plain = rows.withColumn("text", F.coalesce("text", F.lit("")))
-    terms = cut(disclosing_terms(plain))
-    small = terms.count() <= BROADCAST
-    terms = F.broadcast(terms) if small else terms
+    terms = _chosen(cut(disclosing_terms(plain)))
     rows = base_spans(plain.select("*", *_key())).join(terms, ["k1", "k2"], "left")
     found = spans("text", TERM, lambda m: F.array_contains(F.col("terms"), F.lower(m)))
     rows = rows.withColumn("found", F.when(F.col("terms").isNotNull(), found).otherwise(F.array().cast(SPANS)))
