@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stagewise.session import work_dir
 
+_PER_BATCH, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: A word is a run of anything but these characters.
@@ -32,8 +33,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **mor
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and name the shared checkpoint folder."""
+    """Let Python workers import this package, name the shared checkpoint folder, keep batches small.
+
+    Rows hold whole texts or sets, so a worker gets BATCH of them at a time unless the
+    session asks for another number than Spark's own.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    if spark.conf.get(_PER_BATCH) == "10000":
+        spark.conf.set(_PER_BATCH, BATCH)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(work_dir(spark))
     return spark
