@@ -181,8 +181,9 @@ def period_labels(
     """Adds ``<label>_<grain>``: the label of the counted row of person, product and period.
 
     Counted rows are taken from ``fact`` (default: the labelled table itself).
-    An undefined product takes the labels of any product, each different one
-    once, so a row comes out as often as it has different labels.
+    An undefined product takes the labels of any product, and a missing label is
+    the row's own; a row comes out once for each different set of labels it ends
+    with. They are made distinct inside the row, so wide rows are not shuffled for it.
     """
     keys = {
         "_person": fallback_key(*person_keys),
@@ -198,10 +199,17 @@ def period_labels(
             F.col("_person").alias("_p"),
             F.col("_period").alias("_d"),
             F.explode(F.array_distinct(F.array("_product", F.lit(vocab.UNDEFINED)))).alias("_s"),
-            *[F.col(c).alias("_l_" + c) for c in labels],
+            F.struct(*[F.col(c).alias(c) for c in labels]).alias("_l"),
         )
-        .distinct()
+        .groupBy("_p", "_d", "_s")
+        .agg(F.collect_set("_l").alias("_labels"))
     )
     cond = (F.col("_person") == F.col("_p")) & (F.col("_period") == F.col("_d")) & (F.col("_product") == F.col("_s"))
-    out = {f"{c}_{grain}": F.coalesce("_l_" + c, c) for c in labels}
-    return keyed.join(counted, cond, "left").select(*df.columns, *[c.alias(n) for n, c in out.items()])
+
+    def own_where_missing(found: Column) -> Column:
+        return F.struct(*[F.coalesce(found[c], F.col(c)).alias(c) for c in labels])
+
+    own = F.array(F.struct(*[F.col(c).alias(c) for c in labels]))
+    each = F.coalesce(F.array_distinct(F.transform("_labels", own_where_missing)), own)
+    joined = keyed.join(counted, cond, "left").select(*df.columns, F.explode(each).alias("_label"))
+    return joined.select(*df.columns, *[F.col("_label")[c].alias(f"{c}_{grain}") for c in labels])

@@ -215,6 +215,27 @@ def test_labels_come_from_the_counted_row(rows):
     assert got == {1: "first", 2: "first", 3: "first", 4: "fourth"}
 
 
+def test_labels_that_end_equal_come_out_once(rows):
+    """A missing label becomes the row's own, which another counted row may have as well."""
+    df = P.period_flags(
+        rows(
+            FACT,
+            [
+                (1, "a", 1, "m", "2024-01-05", "2024-01-01 08:00:00", 1, 1, "by_operator", "x"),
+                (2, "a", 1, "n", "2024-01-06", "2024-01-02 08:00:00", 1, 2, "by_operator", None),
+                (3, "a", 1, "undefined", None, "2024-01-03 08:00:00", 2, None, "by_operator", "x"),
+                (4, "a", 1, "undefined", None, "2024-01-04 08:00:00", 2, None, "by_operator", "y"),
+            ],
+        ),
+        COLS,
+    )
+    fact = df.where("row <= 2")
+    month = P.period_labels(df, "month", ("phone", "student_id"), cols=COLS, fact=fact)
+    got = sorted((r.row, r.lead_type_month, r.lead_type_2_month) for r in month.collect())
+    same = "by_operator"
+    assert got == [(1, same, "x"), (2, same, None), (3, same, "x"), (4, same, "x"), (4, same, "y")]
+
+
 def test_conversion_rates_and_as_of(rows):
     """8000 requests, 2656 finished, some not due yet: plain rate 33%, as-of rate higher, counts unchanged."""
     due, later = 7000, 1000
