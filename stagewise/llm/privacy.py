@@ -114,10 +114,10 @@ def disclosing_terms(docs: DataFrame, radius: int = RADIUS, least: int = TEXTS,
 
     For a term t and a protected value e, over all N documents: n(t, e) have t within
     `radius` characters of e, n(t) have t, n(e) have e. P(e | t) is n(t, e) / n(t),
-    and t tells log2(P(e | t) N / n(e)) bits about e. A term is disclosing if so many
-    different texts have it near e, and P(e | t) and the bits reach their thresholds;
-    of several values that with the largest n(t, e) counts. Candidates come from the
-    contexts; over all documents only they are counted, summed up before any shuffle.
+    and t tells log2(P(e | t) N / n(e)) bits about e. A term is disclosing if there is
+    a value e that so many different texts have it near of, and for which P(e | t) and
+    the bits reach their thresholds; every such pair is tested. Candidates come from
+    the contexts; over all documents only they are counted, summed up before any shuffle.
     """
     rows = docs.select("text", *_key())
     held = base_spans(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -133,15 +133,14 @@ def disclosing_terms(docs: DataFrame, radius: int = RADIUS, least: int = TEXTS,
     of_value = of_value.filter(F.col("texts") >= least).drop("texts")
     pairs = contexts.join(of_value, ["kind", "value"]).select("kind", "value", "n_e", "row", "k1", "k2", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("kind", "value", "n_e", "term").agg(F.count_distinct("row").alias("n_te"), F.count_distinct("k1", "k2").alias("texts"))
-    pairs = pairs.filter(F.col("texts") >= least)
-    best = pairs.groupBy("term").agg(F.max(F.struct("n_te", (-F.col("n_e")).alias("rare"))).alias("b"))
-    best = cut(best.select("term", "b.n_te", (-F.col("b.rare")).alias("n_e")))
+    pairs = cut(pairs.filter(F.col("texts") >= least).select("term", "n_te", "n_e"))
+    candidates = cut(pairs.select("term").distinct())
 
     words = rows.select("k1", "k2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    of_term = words.select("term").join(_chosen(best.select("term")), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    of_term = words.select("term").join(_chosen(candidates), "term").groupBy("term").agg(F.count("*").alias("n_t"))
     chance = F.col("n_te") / F.col("n_t")
     told = F.log2(chance * F.lit(float(rows.count())) / F.col("n_e"))
-    found = cut(best.join(of_term, "term").filter((chance >= share) & (told >= bits)).select("term"))
+    found = cut(pairs.join(of_term, "term").filter((chance >= share) & (told >= bits)).select("term").distinct())
     places = words.join(_chosen(found), "term").distinct()
     return places.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("term")).alias("terms"))
 

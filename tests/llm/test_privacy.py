@@ -72,6 +72,16 @@ def test_disclosing_terms(spark):
     assert 5 / 6 >= 0.5 and 5 / 6 * 407 / 5 >= 2**6
 
 
+def test_disclosing_beside_a_hot_value(spark):
+    """Near a value of many documents, a term still gives away another one."""
+    docs = [(i, f"- write to help@shop.org or to Zebulon at zeb@mail.org, number {i} -") for i in range(9)]
+    docs += [(9, "- write to help@shop.org or to Zebulon, number 9 -")]
+    docs += [(10 + i, f"- help@shop.org number {i} -") for i in range(290)] + [(300 + i, f"- {i} number -") for i in range(700)]
+    found = disclosing_terms(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    # beside the hot value it is log2(1 * 1000 / 300) = 1.7 bits, beside the other log2(0.9 * 1000 / 9) = 6.6
+    assert "zebulon" in {t for r in found for t in r.terms}
+
+
 def test_odd(odd, empty):
     got = digest(find_personal_data(odd)).collect()
     assert len(got) == odd.count() and all(r.spans == "" for r in got)
