@@ -123,10 +123,12 @@ def disclosing_terms(docs: DataFrame, radius: int = RADIUS, least: int = TEXTS,
     held = base_spans(rows.withColumn("row", F.monotonically_increasing_id()))
     kinds = _each(KINDS, lambda k, x: F.struct(F.lit(k).alias("kind"), F.lower(x["v"]).alias("value"), x["s"].alias("s"), x["e"].alias("e")))
     values = held.withColumn("x", F.explode(kinds))
-    left = F.expr(f"substring(text, greatest(x.s - {radius}, 0) + 1, least(x.s, {radius}))")
-    right = F.expr(f"substring(text, x.e + 1, {radius})")
-    # words that the context cuts are left out
-    near = F.concat(F.regexp_replace(left, r"^\p{L}+", ""), F.lit(" "), F.regexp_replace(right, r"\p{L}+$", ""))
+    # with the neighbour on either side, if there is one: with it goes a word that the context cuts
+    left = F.expr(f"substring(text, greatest(x.s - {radius + 1}, 0) + 1, least(x.s, {radius + 1}))")
+    right = F.expr(f"substring(text, x.e + 1, {radius + 1})")
+    left = F.when(F.col("x.s") > radius, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
+    right = F.when(F.length(right) > radius, F.regexp_replace(right, r"\p{L}+\z", "")).otherwise(right)
+    near = F.concat(left, F.lit(" "), right)
     near = F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(TERM), F.lit(0)))
     contexts = cut(values.select("row", "k1", "k2", "x.kind", "x.value", near.alias("terms")))
     of_value = contexts.groupBy("kind", "value").agg(F.count_distinct("row").alias("n_e"), F.count_distinct("k1", "k2").alias("texts"))

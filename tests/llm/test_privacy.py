@@ -82,6 +82,19 @@ def test_disclosing_beside_a_hot_value(spark):
     assert "zebulon" in {t for r in found for t in r.terms}
 
 
+def test_words_at_the_ends_of_a_context(spark):
+    """Only words that the context cuts are left out, not those at an end of the text or of the context."""
+    docs = [(i, f"Zebulon: zeb@mail.org {i}") for i in range(5)] + [(10 + i, f"{i} yan@mail.org Yannick") for i in range(5)]
+    # 80 characters before and behind the value begin or end with a whole word, or with a part of one
+    gap = "=" * 73
+    docs += [(20 + i, f"{i} Quentin{gap}que@mail.org{gap}Ruprecht") for i in range(5)]
+    docs += [(30 + i, f"{i} Severin{gap[:-1]} sev@mail.org {gap[:-1]}Theresa {i}") for i in range(5)]
+    docs += [(40 + i, f"{i} Ulrikes{gap}=uli@mail.org={gap}Viktors {i}") for i in range(5)]
+    docs += [(100 + i, f"{i} number") for i in range(2000)]
+    found = disclosing_terms(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {t for r in found for t in r.terms} == {"zebulon", "yannick", "quentin", "severin", "theresa"}
+
+
 def test_odd(odd, empty):
     got = digest(find_personal_data(odd)).collect()
     assert len(got) == odd.count() and all(r.spans == "" for r in got)
