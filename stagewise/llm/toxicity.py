@@ -22,14 +22,18 @@ ENTRIES, SUPPORT, LIFT = 1_000, 8, 12.0
 #: Letters of other scripts that look like Latin ones (fixed values, by look).
 HOMOGLYPHS = dict(zip("авдеѕиіјкӏмнорԛстухԝαβεικνορτυχωɑɡⅼ", "abdesuijklmhopqctyxwabeikvoptuxwagl", strict=True))
 DIGITS = dict(zip("0134578@", "oieastba", strict=True))
-_MONEY = re.compile(r"\$(?=\w)")
+#: Signs that look alike and count as one letter, in texts and in the lexicon.
+ALIKE = str.maketrans("l1|", "iii")
+_MONEY = re.compile(r"(?<!\$)\$++(?=[\w@])|(?<=[^\W_])\$++|(?<=@)\$++")
+_BAR = re.compile(r"\|(?=[\w@$])|(?<=[\w@$])\|")
+_WIDE = re.compile("[\u3000-\U0010ffff]+")
 
 
 @cache
 def _table() -> dict[int, str | None]:
     """Folding by character: look-alikes, digits, accents; all else but letters is a space.
 
-    Characters from U+3000 on stay as they are.
+    Characters from U+3000 on, as NFKC leaves them (`fold`), stay as they are.
     """
     table: dict[int, str | None] = {}
     for code in range(0x3000):
@@ -37,7 +41,7 @@ def _table() -> dict[int, str | None]:
         plain = unicodedata.normalize("NFKD", c)
         base = "".join(x for x in plain if not unicodedata.combining(x)).lower()
         base = "".join(HOMOGLYPHS.get(x, x) for x in base)
-        base = "".join(DIGITS.get(x, x) for x in base)
+        base = "".join(DIGITS.get(x, x) for x in base).replace("l", "i")
         kept = "".join(x if x.isalnum() else " " for x in base)
         if unicodedata.combining(c) or code in (0x200B, 0x200C, 0x200D, 0xAD):
             table[code] = None
@@ -46,14 +50,36 @@ def _table() -> dict[int, str | None]:
     return table
 
 
+def _plain(text: str | None) -> str:
+    """Lower case, without compatibility characters from U+3000 on."""
+    text = text or ""
+    if not text.isascii():
+        text = _WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
+    return text.lower()
+
+
 def fold(text: str | None) -> str:
-    """Words of a text, folded, with one space around and between all of them."""
-    text = (text or "").lower()
+    """Words of a text, folded, with one space around and between all of them.
+
+    Full-width, mathematical and other compatibility characters become plain ones; l, 1
+    and a bar beside a word become i; dollars beside a word become s.
+    """
+    text = _plain(text)
+    if "|" in text:
+        text = _BAR.sub("i", text)
     if "$" in text:
-        text = _MONEY.sub("s", text)
+        text = _MONEY.sub(lambda m: "s" * len(m[0]), text)
     return " " + " ".join(text.translate(_table()).split()) + " "
 
 
+def readings(text: str | None) -> list[str]:
+    """The folded text, and where a bar beside a word became a letter also with bars as separators."""
+    out = [fold(text)]
+    if "|" in (plain := _plain(text)) and (parted := fold(plain.replace("|", " "))) != out[0]:
+        out.append(parted)
+    return out
+
+
 def features(folded: str) -> set[str]:
     """Candidates for the lexicon: words (" word ") and their beginnings (" wor")."""
     out = set()
@@ -73,7 +99,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-            for f in features(fold(text)):
+            for f in set().union(*map(features, readings(text))):
                 seen.setdefault(f, [0, 0])[0 if toxic else 1] += 1
             if len(seen) > 200_000:
                 yield out()
@@ -97,8 +123,9 @@ class Lexicon:
             import ahocorasick
 
             self._machine = ahocorasick.Automaton()
-            for entry, w in self.weights.items():
-                self._machine.add_word(entry, (entry, w))
+            # of entries that look alike the heaviest counts
+            for entry, w in sorted(self.weights.items(), key=lambda x: (x[1], x[0])):
+                self._machine.add_word(entry.translate(ALIKE), (entry, w))
             for phrase in self.exceptions:
                 phrase = fold(phrase)
                 if phrase.strip():
@@ -123,8 +150,10 @@ class Lexicon:
         return [(s, e, w) for s, (e, w) in found.items() if not inside(s, s + len(e) - 1)]
 
     def density(self, text: str | None) -> float:
-        """Weight of the entries found, per word."""
-        folded = fold(text)
+        """Weight of the entries found, per word; the largest of the text's readings."""
+        return max(map(self._density, readings(text)))
+
+    def _density(self, folded: str) -> float:
         hits = self.hits(folded)
         return sum(w for _, _, w in hits) / max(1, folded.count(" ") - 1) if hits else 0.0
 
@@ -162,7 +191,7 @@ def _findings(lexicon: Lexicon):
         for b in batches:
             out = []
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                folded = fold(text)
+                folded = max(readings(text), key=lexicon._density)
                 row = {"toxic": toxic, "words": folded.count(" ") - 1, "entries": [], "left": [], "right": []}
                 for s, entry, _ in lexicon.hits(folded):
                     word = folded[s + 1 : folded.index(" ", s + 1)]

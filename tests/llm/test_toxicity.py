@@ -11,6 +11,30 @@ def test_fold():
     assert fold(None) == fold(" \n") == "  "
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["loser", "ｌｏｓｅｒ", "ＬＯＳＥＲ", "𝐥𝐨𝐬𝐞𝐫", "𝕃𝕆𝕊𝔼ℝ", "𝟏０𝟻𝚎r", "1oser", "ioser", "Ioser", "|oser", "lo$er", "lo$ér"],
+)
+def test_look_alikes(text):
+    """Each is found by an entry written in letters, and as such among other words."""
+    lexicon = Lexicon({" loser ": 1.0}, threshold=0.1)
+    assert fold(text) == fold("loser")
+    assert lexicon.density(text) == 1.0 and lexicon.density(f"a {text}, b") == pytest.approx(1 / 3)
+
+
+def test_dollars():
+    assert fold("a$$hole") == fold("a＄＄hole") == fold("asshole")
+    assert fold("a$$ @$$ bitche$ $cum $1ut") == fold("ass ass bitches scum slut")
+    assert fold("a $ b $$$ c") == " a b c "
+
+
+def test_bars():
+    """A bar is a letter or a separator, whichever finds more."""
+    lexicon = Lexicon({" loser ": 1.0, " idiot ": 1.0})
+    assert lexicon.density("|idiot|loser|") == 1.0 and lexicon.density("an |diot") == 0.5
+    assert lexicon.density("a | b") == 0.0 and fold("a | b") == " a b "
+
+
 def test_hits_exceptions_and_length():
     lexicon = Lexicon({" clown ": 2.0, " lowe": 1.0, " loweig": 3.0}, ["clown fish"], threshold=0.5)
     assert [e for _, e, _ in lexicon.hits(fold("A clown. The Clown fish; loweige"))] == [" clown ", " loweig"]
