@@ -140,8 +140,10 @@ def pack(
     on with the others. Windows are cut from the one stream of all rounds, so all but
     the last are full.
 
-    Only the totals of the queues, `max_queues` numbers at most, reach the driver;
-    with more sources than that, queues are the sources' hashes modulo that number.
+    Only the totals of the queues reach the driver. With more sources than `max_queues`
+    each source in `targets` still has its queue. The others share the queues left, one
+    at least, by their hashes: such a queue weighs the mean target times the number of
+    its sources, or without targets all their tokens, and only its whole share is kept.
     A null source is a queue of its own, null and empty texts hold `end_id` alone,
     repeated rows and null ids are packed as any, an empty table gives no pieces.
     """
@@ -152,19 +154,24 @@ def pack(
     rows = rows.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
 
     totals = {r["queue"]: r["n"] for r in rows.groupBy("queue").agg(F.sum("n").alias("n")).limit(max_queues + 1).collect()}
-    hashed = len(totals) > max_queues
-    if hashed:
-        place = F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("long")
-        rows = rows.withColumn("queue", place)
-        totals = {r["queue"]: r["n"] for r in rows.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+    sources = dict.fromkeys(totals, 1)
+    if len(totals) > max_queues:
+        # named sources keep their queues, and the others share what is left of them
+        named = rows.groupBy("queue").agg(F.sum("n").alias("n")).filter(F.col("queue").isin(list(targets or {}))).collect()
+        own = {r["queue"] for r in named}
+        shared = F.format_string("\x00%012d", F.pmod(F.xxhash64("queue"), F.lit(max(max_queues - len(own), 1))))
+        rows = rows.withColumn("source", F.col("queue")).withColumn("queue", F.when(F.col("queue").isin(list(own)), F.col("queue")).otherwise(shared))
+        by_source = rows.groupBy("queue", "source").agg(F.sum("n").alias("n"))
+        found = by_source.groupBy("queue").agg(F.sum("n").alias("n"), F.count("*").alias("sources")).collect()
+        totals, sources = {r["queue"]: r["n"] for r in found}, {r["queue"]: r["sources"] for r in found}
     names = sorted(totals)
-    if targets and not hashed:
+    if targets:
         mean = sum(targets.values()) / len(targets)
-        weights = [max(float(targets.get(k, mean)), 1e-9) for k in names]
+        weights = [max(float(targets.get(k, mean * sources[k])), 1e-9) for k in names]
     else:
         weights = [float(totals[k]) for k in names]
     if names:
-        # the queue's number, by a literal table of at most max_queues entries
+        # the queue's number, by a literal table of one entry for each
         number = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(names) for x in (k, i)]), F.col("queue"))
     else:
         number, weights = F.lit(0), [1.0]

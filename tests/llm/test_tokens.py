@@ -93,6 +93,27 @@ def test_pack_many_sources(spark, library):
     check_pieces(pack(docs, max_queues=8).collect(), {i: t for i, t, _ in rows}, library)
 
 
+def test_pack_targets_of_many_sources(spark, library):
+    """With more sources than queues, named sources keep their targets and the others the mean one each."""
+    rows = [(i, "some words " * 40, k) for i, k in enumerate(["a"] * 90 + ["b"] * 90 + [f"s{i % 30}" for i in range(600)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = {"a": 40.0, "b": 10.0}
+    pieces = pack(docs, targets, max_queues=8).collect()
+    check_pieces(pieces, {i: t for i, t, _ in rows}, library)
+    source = {i: k for i, _, k in rows}
+    total = 40 + 10 + 30 * 25
+    # three windows in which no queue is dry yet
+    first = [p for p in pieces if p.sequence_id < 3]
+    for k, share in targets.items():
+        assert abs(sum(p.length for p in first if source[p.doc_id] == k) - 3 * 2048 * share / total) <= 4 * 32
+    assert len({p.queue for p in pieces}) <= 8 and len({p.queue for p in pieces if source[p.doc_id] in targets}) == 2
+    # more named sources than queues
+    named = {f"s{i}": 1.0 + i for i in range(20)}
+    pieces = pack(docs, named, max_queues=4).collect()
+    check_pieces(pieces, {i: t for i, t, _ in rows}, library)
+    assert len({p.queue for p in pieces}) == 21
+
+
 def test_pack_odd(odd, empty, library):
     pieces = pack(odd.filter("doc_id IS NULL OR doc_id <> 4"))
     check_pieces(pieces.collect(), {r.doc_id: r.text for r in odd.collect() if r.doc_id != 4}, library)
