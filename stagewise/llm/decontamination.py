@@ -1,7 +1,8 @@
-"""Benchmark items inside documents, by MinHash over size classes and exact shingle containment."""
+"""Benchmark items inside documents, by sketches of their rarest shingles and exact shingle containment."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,96 +11,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagewise.llm.common import cut, deal, read, texts
-from stagewise.llm.words import Words, mix, slabs
+from stagewise.llm.words import Words, slabs
 
-#: Words of a shingle, least share of an item's shingles, and hash functions.
-SHINGLE, CONTAINED, HASHES = 5, 0.8, 48
+#: Words of a shingle, and least share of an item's shingles.
+SHINGLE, CONTAINED = 5, 0.8
 #: Items that are broadcast at a time.
 ITEMS = 20_000
 
 
-def _salts(n: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per item its distinct shingles."""
+    schema = pa.schema([("item", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    for b in batches:
+        w = Words([(t or "").encode() for t in b.column("text").to_pylist()], lower=True)
+        h, d = w.shingles(SHINGLE)
+        by = np.argsort(d, kind="stable")
+        h, ends = h[by], np.cumsum(np.bincount(d, minlength=b.num_rows)) if len(d) else np.zeros(b.num_rows, np.int64)
+        rows = []
+        for item, own in zip(b.column("doc_id").to_pylist(), np.split(h, ends[:-1])):
+            if len(own := np.unique(own)):
+                rows.append({"item": item, "n": len(own), "shingles": own.view(np.int64).tolist()})
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def size_class(n: int) -> int:
-    """Class k holds items of more than 2^(k-1) and up to 2^k shingles, repeated ones included."""
-    return (n - 1).bit_length()
-
-
-def _items(hashes: int):
-    """Per item its distinct shingles, size class and signature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = _salts(hashes)
-        for b in batches:
-            w = Words([(t or "").encode() for t in b.column("text").to_pylist()], lower=True)
-            h, d = w.shingles(SHINGLE)
-            rows = []
-            for k, item in enumerate(b.column("doc_id").to_pylist()):
-                own = np.unique(h[d == k])
-                if len(own):
-                    signature = [int((own * s).min().view(np.int64)) for s in salts]
-                    rows.append({"item": item, "n": len(own), "class": size_class(int((d == k).sum())), "signature": signature, "shingles": own.view(np.int64).tolist()})
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("item", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("signature", longs), ("shingles", longs)]))
-
-    return run
+def sketch_size(n: int, contained: float) -> int:
+    """Shingles of an item of n that a text cannot all lack if it has a share of `contained` of them."""
+    return min(n, n - math.ceil(contained * n - 1e-9) + 1)
 
 
 class Index:
-    """Signatures of items by size class, and their shingles for the exact test."""
+    """Items by the shingles of their sketches, and all their shingles for the exact test."""
 
-    def __init__(self, rows: list, hashes: int, contained: float):
-        self.hashes, self.contained = hashes, contained
-        self.n = np.array([r["n"] for r in rows], np.int64)
+    def __init__(self, rows: list, contained: float):
+        self.contained = contained
         self.items = [r["item"] for r in rows]
         self.sets = [np.array(r["shingles"], np.int64).view(np.uint64) for r in rows]
-        self.tables = {}
-        for c in sorted({r["class"] for r in rows}):
-            who = [i for i, r in enumerate(rows) if r["class"] == c]
-            signature = np.array([rows[i]["signature"] for i in who], np.int64).view(np.uint64)
-            by = np.argsort(signature, axis=0, kind="stable")
-            self.tables[c] = [(signature[by[:, k], k], np.array(who)[by[:, k]]) for k in range(hashes)]
-
-    def find(self, h: np.ndarray, first: np.ndarray, count: np.ndarray) -> set[tuple[int, int]]:
-        """(document, item) where a window of a document shares a minimum with an item of its class.
-
-        A class of items of up to q shingles is looked for in windows of 2q shingles,
-        one every q: an item lies whole in one of them, so that even an item in a
-        document of any length is similar to a window that is not much larger.
-        """
-        found, salts = set(), _salts(self.hashes)
-        if not len(h):
-            return found
-        doc = np.repeat(np.arange(len(count)), count)
-        cuts = []
-        for c, tables in self.tables.items():
-            q = 1 << c
-            blocks = -(-count // q)
-            of = np.repeat(np.arange(len(count)), blocks)
-            inside = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            start = first[of] + inside * q
-            cuts.append((tables, start, np.flatnonzero(of[1:] == of[:-1])))
-        for k in range(self.hashes):
-            drawn = h * salts[k]
-            for tables, start, two in cuts:
-                values, who = tables[k]
-                block = np.minimum.reduceat(drawn, start)
-                m = block.copy()
-                m[two] = np.minimum(block[two], block[two + 1])
-                at = np.searchsorted(values, m)
-                at[at == len(values)] = 0
-                for w in np.flatnonzero(values[at] == m).tolist():
-                    i = int(at[w])
-                    while i < len(values) and values[i] == m[w]:
-                        found.add((int(doc[start[w]]), int(who[i])))
-                        i += 1
-        return found
+        known, often = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets]), return_counts=True)
+        sketches = []
+        for own in self.sets:
+            # the rarest among the items, then the smallest hashes: what many items share makes few candidates
+            rare = np.lexsort((own, often[np.searchsorted(known, own)]))
+            sketches.append(own[rare[: sketch_size(len(own), contained)]])
+        who = np.repeat(np.arange(len(rows)), [len(x) for x in sketches])
+        keys = np.concatenate([np.zeros(0, np.uint64), *sketches])
+        by = np.argsort(keys, kind="stable")
+        self.who = who[by]
+        self.keys, self.first, self.count = np.unique(keys[by], return_index=True, return_counts=True)
+
+    def find(self, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+        """(document, item), in order, where a document has a shingle of an item's sketch."""
+        if not len(h) or not len(self.keys):
+            return []
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == h)
+        doc, key = np.unique(np.stack([doc[hit], at[hit]]), axis=1)
+        n = self.count[key]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pairs = np.stack([np.repeat(doc, n), self.who[np.repeat(self.first[key], n) + inside]])
+        return list(zip(*np.unique(pairs, axis=1).tolist()))
 
 
 def _search(index):
-    """Per document its items, found in windows and verified on the whole text."""
+    """Per document its items, found by sketches and verified on the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Index = index.value
@@ -116,7 +89,7 @@ def _search(index):
                 first = np.cumsum(count) - count
                 out = []
                 sets = {}
-                for doc, item in sorted(items.find(h, first, count)):
+                for doc, item in items.find(h, d):
                     if doc not in sets:
                         sets[doc] = np.unique(h[first[doc] : first[doc] + count[doc]])
                     own, other = sets[doc], items.sets[item]
@@ -134,7 +107,6 @@ def contained_items(
     docs: DataFrame,
     benchmark: DataFrame,
     contained: float = CONTAINED,
-    hashes: int = HASHES,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -145,30 +117,31 @@ def contained_items(
     A document contains an item if it has at least `contained` of the item's distinct
     shingles: 5 words, A-Z in lower case; the whole text where it has fewer words.
 
-    Items are split by their number of shingles into classes of up to 1, 2, 4, ...;
-    documents are searched for each class in overlapping windows of its size. A window
-    that shares one of `hashes` minima with an item is a candidate, and candidates are
-    verified on the whole document. A window with an item at the bound has a Jaccard
-    similarity of 0.33 at least, so an item is missed with a chance below 0.00001.
+    A document with a share of `contained` of an item's n shingles lacks n less that
+    share at most, so it has one of any n - ceil(contained * n) + 1 of them, wherever
+    they stand. So many, the rarest among the items, are the item's sketch. Documents
+    are probed with every shingle; a document with one of a sketch is a candidate, and
+    candidates are verified on the whole document. No item is missed, however often its
+    shingles are repeated or however far they lie apart in the document.
 
     Items are broadcast in parts of ITEMS each. Null, empty and blank items or texts
     match nothing; equal items and repeated rows each give their rows; a null id stays
     null; empty tables give no rows.
     """
     rows = texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    found = _found(rows, benchmark, contained, hashes, item_col, item_text_col)
+    found = _found(rows, benchmark, contained, item_col, item_text_col)
     return found.select("doc_id", F.col("item").alias("item_id"), "shared", F.col("n").alias("item_shingles"))
 
 
-def _found(rows: DataFrame, benchmark: DataFrame, contained: float, hashes: int, item_col: str, item_text_col: str) -> DataFrame:
+def _found(rows: DataFrame, benchmark: DataFrame, contained: float, item_col: str, item_text_col: str) -> DataFrame:
     spark = rows.sparkSession
-    schema = "item long, n long, class long, signature array<long>, shingles array<long>"
-    items = cut(deal(texts(benchmark, item_col, item_text_col), "doc_id", least=1).mapInArrow(_items(hashes), schema))
+    schema = "item long, n long, shingles array<long>"
+    items = cut(deal(texts(benchmark, item_col, item_text_col), "doc_id", least=1).mapInArrow(_items, schema))
     parts = -(-items.count() // ITEMS)
     out = None
     for p in range(max(parts, 1)):
         some = items if parts <= 1 else items.filter(F.pmod(F.xxhash64("item", "n"), F.lit(parts)) == p)
-        index = spark.sparkContext.broadcast(Index(some.collect(), hashes, contained))
+        index = spark.sparkContext.broadcast(Index(some.collect(), contained))
         got = rows.select("row", "doc_id", "text").mapInArrow(_search(index), "row long, doc_id long, item long, shared long, n long")
         out = got if out is None else out.unionByName(got)
     return out

@@ -47,6 +47,28 @@ def test_against_brute_force(spark):
     assert sorted((tuple(x) for x in got.collect()), key=repr) == want
 
 
+def test_repeated_lines_and_scattered_pieces(spark):
+    """Items of few distinct shingles, and items in pieces far apart, are found in every document that holds them."""
+    r = random.Random(9)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    lines, docs, items = [words(9) for _ in range(300)], [], []
+    for i, line in enumerate(lines):
+        items.append((i, " ".join(line * 13)))
+        kept = line * 13
+        docs.append((i, " ".join(words(400) + kept[: 9 + 4] + words(400))))
+    for i in range(300, 330):
+        item = words(60)
+        items.append((i, " ".join(item)))
+        # 17 + 17 + 14 of its 56 shingles, at places far apart; and one shingle less
+        pieces = [item[:21], item[19:40], item[40:58]]
+        docs.append((i, " ".join(w for p in pieces for w in p + words(2000))))
+        docs.append((i + 1000, " ".join(w for p in [*pieces[:2], pieces[2][1:][:13]] for w in p + words(2000))))
+    want = brute(docs, items)
+    assert {x[0] for x in want} == {*range(330)}
+    got = contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((tuple(x) for x in got.collect()), key=repr) == want
+
+
 def test_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, "Two three four five six"), (1, "two three four five six"), (2, None)], "item_id long, text string")
     assert sorted(tuple(r) for r in contained_items(odd, items).collect()) == [(4, 1, 1, 1)] * 4
