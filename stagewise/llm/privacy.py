@@ -179,13 +179,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def sanitised(found: DataFrame) -> Column:
-    """The text with every span generalised to a label; of overlapping spans the first counts, then the longest."""
+    """The text with every span generalised to a label; spans that overlap become one, with the label of the first, then the longest."""
     ordered = F.sort_array(_each([*KINDS, "term"], lambda k, x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), F.lit(LABELS[k]).alias("l"))))
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"])
         moved = F.struct((-x["e"]).alias("at"), F.concat(acc["out"], F.array(gap, x["l"])).alias("out"))
-        return F.when(x["s"] >= acc["at"], moved).otherwise(acc)
+        longer = F.struct(F.greatest(acc["at"], -x["e"]).alias("at"), acc["out"].alias("out"))
+        return F.when(x["s"] >= acc["at"], moved).otherwise(longer)
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     whole = F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))

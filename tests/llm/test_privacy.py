@@ -106,3 +106,12 @@ def test_sanitise_overlaps(spark):
     found = find_personal_data(df)
     assert found.select(sanitised(found).alias("t")).first().t == "+<CARD> é <EMAIL> end"
     assert found.select(F.size("ip")).first()[0] == 1
+
+
+def test_sanitise_partial_overlap(spark):
+    """What only the later of two overlapping spans holds goes as well."""
+    df = spark.createDataFrame([(1, "to 4111 1111 1111 1111@x.com end a.b@c.de")], "doc_id long, text string")
+    found = find_personal_data(df)
+    row = found.select("card", "email", sanitised(found).alias("t")).first()
+    assert [(x.s, x.e) for x in row.card] == [(3, 22)] and (18, 28) in [(x.s, x.e) for x in row.email]
+    assert row.t == "to <CARD> end <EMAIL>"
