@@ -16,6 +16,8 @@ from stagewise.llm.tokens import encoder, vocabulary
 WINDOW, END_ID = 2048, 1
 #: Tokens a queue gains or waits for at a time, and queues at most.
 QUANTUM, QUEUES = 32, 256
+#: Numbers of rounds times queues that are worked out at a time.
+SLAB = 1 << 20
 
 
 class Rounds:
@@ -74,28 +76,40 @@ def _encode(path: str, end_id: int):
 def _cut(rounds: Rounds, path: str, window: int):
     """Pieces of each document: between rounds, and at every end of a window."""
 
+    def turns(queue: np.ndarray, first: np.ndarray, n: np.ndarray):
+        """Document, first token in its queue, length and place of what each round sends of it, a slab at a time."""
+        # rounds in which the queue sends a quantum that has tokens of the document, not those it waits in
+        low = first // rounds.quantum
+        count = (first + n - 1) // rounds.quantum - low + 1
+        before = np.cumsum(count) - count
+        slab = max(SLAB // len(rounds.totals), 1)
+        last = (-1, -1)
+        for lo in range(0, int(count.sum()), slab):
+            k = np.arange(lo, min(lo + slab, int(count.sum())))
+            doc = np.searchsorted(before, k, "right") - 1
+            j = rounds.round_of(queue[doc], (low[doc] + k - before[doc]) * rounds.quantum)
+            # several quanta of a document may go in one round
+            new = np.r_[(doc[0], j[0]) != last, (doc[1:] != doc[:-1]) | (j[1:] != j[:-1])]
+            last = (doc[-1], j[-1])
+            doc, j = doc[new], j[new]
+            q = queue[doc]
+            every, where = np.unique(j, return_inverse=True)
+            sent, then = rounds.sent(every - 1), rounds.sent(every)
+            turn = then - sent
+            place = sent.sum(1)[:, None] + np.cumsum(turn, 1) - turn
+            opened, closed = sent[where, q], then[where, q]
+            a, z = np.maximum(opened, first[doc]), np.minimum(closed, (first + n)[doc])
+            yield doc, a, z - a, place[where, q] + a - opened
+
     def pieces(queue: np.ndarray, first: np.ndarray, n: np.ndarray):
-        lo, hi = rounds.round_of(queue, first), rounds.round_of(queue, first + n - 1)
-        count = hi - lo + 1
-        doc = np.repeat(np.arange(len(n)), count)
-        j = lo[doc] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        q = queue[doc]
-        every, where = np.unique(j, return_inverse=True)
-        before, after = rounds.sent(every - 1), rounds.sent(every)
-        turn = after - before
-        place = before.sum(1)[:, None] + np.cumsum(turn, 1) - turn
-        opened, closed = before[where, q], after[where, q]
-        a, z = np.maximum(opened, first[doc]), np.minimum(closed, (first + n)[doc])
-        at = place[where, q] + a - opened
-        keep = z > a  # a queue may send nothing in a round
-        doc, a, z, at = doc[keep], a[keep], z[keep], at[keep]
+        doc, a, m, at = (np.concatenate(x) for x in zip(*turns(queue, first, n)))
         # cut at the ends of windows
-        parts = (at + (z - a) - 1) // window - at // window + 1
+        parts = (at + m - 1) // window - at // window + 1
         piece = np.repeat(np.arange(len(doc)), parts)
         k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         seq = at[piece] // window + k
         begin = np.maximum(at[piece], seq * window)
-        stop = np.minimum(at[piece] + (z - a)[piece], (seq + 1) * window)
+        stop = np.minimum((at + m)[piece], (seq + 1) * window)
         start = a[piece] - first[doc[piece]] + begin - at[piece]
         return doc[piece], start, stop - begin, seq, begin - seq * window
 

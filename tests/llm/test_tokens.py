@@ -1,13 +1,16 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
-from stagewise.llm.packing import Rounds, pack, windows
+from stagewise.llm.packing import Rounds, _cut, pack, windows
 from stagewise.llm.token_counts import count_tokens
-from stagewise.llm.tokens import Encoder, vocabulary
+from stagewise.llm.tokens import Encoder, encoder, vocabulary
 
 PIECES = ["the", "œuvre", "ıſ", "\x85", "²½", "ǅ", "  ", " ", "\n", "\t", "a'll", "don't", "1234", "...", "日本", "naïve", " ", "\x1c", "<|endoftext|>", "<|endof", "é", "!", "'", "x" * 70]
 
@@ -135,3 +138,48 @@ def test_rounds_carry_deficits():
         x = np.arange(r.totals[q])
         at = r.round_of(np.full(len(x), q), x)
         assert (r._sent(np.full(len(x), q), at) > x).all() and (r._sent(np.full(len(x), q), at - 1) <= x).all()
+
+
+def cut_documents(rounds, docs):
+    """Pieces of documents of (queue, first, n), by columns."""
+    blobs = [zstandard.ZstdCompressor().compress(np.zeros(n, "<u4").astype(encoder(vocabulary()).type).tobytes()) for _, _, n in docs]
+    columns = [pa.array(x, pa.int64()) for x in (range(len(docs)), *zip(*docs))]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary())], ["doc_id", "queue", "first", "n", "ids"])
+    return [r for b in _cut(rounds, vocabulary(), 2048)([batch]) for r in b.to_pylist()]
+
+
+def test_pieces_of_rounds_in_slabs(monkeypatch):
+    """Pieces are where the rounds one by one put the tokens, also if a slab holds a few rounds."""
+    monkeypatch.setattr("stagewise.llm.packing.SLAB", 40)
+    rounds = Rounds([20_000, 3_000, 50, 700], [0.9, 0.08, 0.001, 0.019], 2048, 32)
+    docs = [(q, at, min(n, total - at)) for q, (n, total) in enumerate([(900, 20_000), (77, 3_000), (20, 50), (700, 700)]) for at in range(0, total, n)]
+    want = [np.zeros(t, int) for t in rounds.totals]
+    at = 0
+    before = rounds.sent(np.array([0]))[0]
+    for j in range(1, 2000):
+        after = rounds.sent(np.array([j]))[0]
+        for q in range(4):
+            want[q][before[q] : after[q]] = np.arange(at, at + after[q] - before[q])
+            at += after[q] - before[q]
+        before = after
+    assert at == rounds.totals.sum()
+    got = [np.full(t, -1) for t in rounds.totals]
+    for r in cut_documents(rounds, docs):
+        q, first, _ = docs[r["doc_id"]]
+        place = r["sequence_id"] * 2048 + r["offset"]
+        got[q][first + r["start"] :][: r["length"]] = np.arange(place, place + r["length"])
+    assert all((g == w).all() for g, w in zip(got, want))
+
+
+def test_small_source_beside_a_large_one():
+    """A document of a rare source takes no memory for the rounds that its queue waits in."""
+    rounds = Rounds([10**10] + [10_000] * 7, [10.0**10] + [10_000.0] * 7, 2048, 32)
+    encoder(vocabulary())  # not part of what is measured
+    tracemalloc.start()
+    try:
+        got = cut_documents(rounds, [(q, 4_000, 1_000) for q in range(1, 8)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [sum(r["length"] for r in got if r["doc_id"] == d) for d in range(7)] == [1_000] * 7
+    assert peak < 32e6
