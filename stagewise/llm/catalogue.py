@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stagewise.llm import decontamination, jaccard_join, oracles, packing, privacy, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
+from stagewise.llm import conversation_trie, decontamination, jaccard_join, oracles, packing, privacy, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,10 +17,12 @@ QUERIES = {
         decontamination.op8_decontamination,
         toxicity.op9_toxicity,
         sharding.op10_sharding,
+        conversation_trie.op13_conversation_trie,
     )
 }
 SQL = {
     "op6_substring_dedup": oracles.SUBSTRINGS.strip(),
     "op7_jaccard_join": oracles.NEAR_COPIES.strip(),
     "op8_decontamination": oracles.CONTAINED.strip(),
+    "op13_conversation_trie": oracles.TRIE.strip(),
 }

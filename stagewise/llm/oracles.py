@@ -49,3 +49,30 @@ SELECT d.doc_id, i.item_id, count(*) AS shared, n.n AS item_shingles
 FROM d JOIN i ON d.k = i.k JOIN n ON n.item_id = i.item_id
 GROUP BY d.doc_id, i.item_id, n.n HAVING 10 * count(*) >= 8 * n.n
 """
+
+#: crc32 of a text, bit by bit (the polynomial is a fixed value).
+_CRC32 = """xor(4294967295, list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda s, b: list_reduce(list_concat([xor(s, b)], CAST([0, 1, 2, 3, 4, 5, 6, 7] AS BIGINT[])),
+      lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, turn,
+    len({_WORDS.format("coalesce(text, '')")}) AS words FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'k': k, 'words': words}} ORDER BY turn NULLS FIRST, k) AS turns FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, turns, {_CRC32.format("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM own),
+built AS (SELECT h.conv_id, list_concat(coalesce(list_slice(d.turns, 1, h.h), []), coalesce(list_slice(h.turns, h.h + 1, len(h.turns)), [])) AS turns
+  FROM h LEFT JOIN own d ON d.conv_id = h.conv_id - h.conv_id % 20),
+member AS (SELECT conv_id, len(turns) AS n, d AS depth, list_transform(list_slice(turns, 1, d), lambda x: x.k) AS path, turns[d].words AS words
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM built) u),
+node AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(max(words), 0) AS words, max(n) = depth AS leaf,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+  FROM member GROUP BY path, depth),
+above AS (SELECT list_slice(path, 1, u) AS path, leaf, (n_convs - 1) * words AS saved, u = depth - 1 AS child
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS u FROM node) x),
+total AS (SELECT path, count(*) FILTER (WHERE leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE child) AS n_children
+  FROM above GROUP BY path)
+SELECT node.conv_id, node.depth, p.conv_id AS parent_conv_id, node.n_convs, n_children, n_leaves, saved_tokens, node.ends_sha256
+FROM node JOIN total ON total.path = node.path
+LEFT JOIN node p ON node.depth > 0 AND p.depth = node.depth - 1 AND p.path = list_slice(node.path, 1, node.depth - 1)
+"""
