@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stagewise.llm import conversation_trie, decontamination, jaccard_join, oracles, packing, privacy, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, token_files, toxicity
+from stagewise.llm import collocations, conversation_trie, decontamination, jaccard_join, oracles, packing, privacy, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         decontamination.op8_decontamination,
         toxicity.op9_toxicity,
         sharding.op10_sharding,
+        collocations.op11_collocations,
         token_files.op12_token_files,
         conversation_trie.op13_conversation_trie,
     )
@@ -25,5 +26,6 @@ SQL = {
     "op6_substring_dedup": oracles.SUBSTRINGS.strip(),
     "op7_jaccard_join": oracles.NEAR_COPIES.strip(),
     "op8_decontamination": oracles.CONTAINED.strip(),
+    "op11_collocations": oracles.PHRASES.strip(),
     "op13_conversation_trie": oracles.TRIE.strip(),
 }

@@ -76,3 +76,25 @@ SELECT node.conv_id, node.depth, p.conv_id AS parent_conv_id, node.n_convs, n_ch
 FROM node JOIN total ON total.path = node.path
 LEFT JOIN node p ON node.depth > 0 AND p.depth = node.depth - 1 AND p.path = list_slice(node.path, 1, node.depth - 1)
 """
+
+PHRASES = f"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM piece),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM words),
+f AS (SELECT lang, phrase, size, count(*) AS f
+  FROM (SELECT lang, size, array_to_string(list_slice(w, s, s + size - 1), ' ') AS phrase FROM starts, range(1, 6) t(size) WHERE s + size - 1 <= len(w)) u
+  GROUP BY ALL HAVING count(*) >= 100),
+candidate AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
+inside AS (SELECT lang, a, array_to_string(list_slice(w, s, s + k - 1), ' ') AS phrase
+  FROM (SELECT lang, a, w, size, k, unnest(range(1, size - k + 2)) AS s FROM candidate, range(2, 5) t(k) WHERE k < size) u),
+kept AS (SELECT * FROM candidate c WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a)),
+cut AS (SELECT kept.*, k, x.f AS l, y.f AS r, CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM kept JOIN range(1, 5) t(k) ON k < kept.size
+  JOIN f x ON x.lang = kept.lang AND x.phrase = array_to_string(list_slice(w, 1, k), ' ')
+  JOIN f y ON y.lang = kept.lang AND y.phrase = array_to_string(list_slice(w, k + 1, kept.size), ' ')
+  JOIN total ON total.lang = kept.lang),
+weakest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT x.lang, rank, phrase, a, l, r, total.n, CAST(score AS BIGINT) AS score FROM ranked x JOIN total ON total.lang = x.lang WHERE rank <= 2000
+"""
