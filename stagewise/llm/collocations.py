@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,42 +71,37 @@ def _gather(limit: int):
     return run
 
 
+def _joined(chunk: X.Chunk) -> tuple[bytes, np.ndarray]:
+    """All texts of a chunk, a break behind each, and where they start."""
+    sizes = np.array([len(t) + 1 for t in chunk.texts], np.int64)
+    return b"\n".join(chunk.texts) + b"\n", np.cumsum(sizes) - sizes
+
+
 class Tokens:
-    """Words of a chunk: places, hashes, piece and language of each."""
+    """Words of a chunk: places, hashes and piece of each."""
 
     def __init__(self, chunk: X.Chunk):
-        self.data = b"\n".join(chunk.texts) + b"\n"
-        sizes = np.array([len(t) + 1 for t in chunk.texts], np.int64)
-        base = np.cumsum(sizes) - sizes
+        data, base = _joined(chunk)
         found, pieces, lo = [], 0, 0
-        while lo < len(self.data):
+        while lo < len(data):
             # the data end with a break
-            hi = _BREAK.search(self.data, min(lo + SLAB, len(self.data) - 1)).end()
-            buf = _LOWER[np.frombuffer(self.data, np.uint8, count=hi - lo, offset=lo)]
+            hi = _BREAK.search(data, min(lo + SLAB, len(data) - 1)).end()
+            buf = _LOWER[np.frombuffer(data, np.uint8, count=hi - lo, offset=lo)]
             kind = _CLASS[buf]
             word = np.r_[False, kind == 0]
             edge = np.flatnonzero(word[1:] != word[:-1])
             start, end = edge[0::2], edge[1::2]
             breaks = np.cumsum(kind == 2)
-            # words that one space parts from the next
-            plain = np.zeros(len(start), bool)
-            plain[:-1] = (start[1:] - end[:-1] == 1) & (buf[end[:-1]] == 0x20)
-            found.append((start + lo, end + lo, slices_hash(prefix_hash(buf), start, end), breaks[start] + pieces, plain))
+            found.append((start + lo, slices_hash(prefix_hash(buf), start, end), breaks[start] + pieces))
             pieces, lo = pieces + int(breaks[-1]), hi
-        self.start, self.end, self.hash, self.piece, self.plain = (np.concatenate(x) for x in zip(*found))
-        self.lang = chunk.ids[np.searchsorted(base, self.start, "right") - 1]
-        self.salt = mix(self.lang.view(np.uint64))
+        self.start, self.hash, self.piece = (np.concatenate(x) for x in zip(*found))
+        self.salt = mix(chunk.ids[np.searchsorted(base, self.start, "right") - 1].view(np.uint64))
 
     def keys(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """64-bit keys of phrase and language at every word, and whether k words follow in its piece."""
         h, ok = rolling(self.hash, self.piece, k)
         return mix(h ^ self.salt), ok
 
-    def phrase(self, i: int, k: int) -> bytes:
-        if self.plain[i : i + k - 1].all():
-            return self.data[self.start[i] : self.end[i + k - 1]].lower()
-        return b" ".join(self.data[self.start[j] : self.end[j]] for j in range(i, i + k)).lower()
-
 
 def _short_keys(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words and pairs of a chunk, sorted, and their counts."""
@@ -182,10 +178,10 @@ def _survivors(least: int, slack: int):
     return answer
 
 
-def _exact(buckets: int, longest: int):
-    """Per chunk the counts of all surviving phrases, and of all words of a language as the phrase ''."""
+def _ask_exact(buckets: int, longest: int):
+    """Messages: key, count, place and words of every surviving phrase of a chunk, by keys."""
 
-    def work(chunk: X.Chunk, replies: X.Replies) -> Iterator[pa.RecordBatch]:
+    def emit(chunk: X.Chunk, replies: X.Replies) -> Iterator[tuple[int, bytes]]:
         t = Tokens(chunk)
         keys, _ = _short_keys(t)
         flags = X.gathered(keys, replies["short"], buckets, X.unbits, bool)
@@ -194,19 +190,78 @@ def _exact(buckets: int, longest: int):
         flags = X.gathered(keys, replies["long"], buckets, X.unbits, bool)
         for k in range(3, longest + 1):
             alive[k] = _with_pairs(alive[2], k) & _alive(t, keys, flags, k)
-        langs, n = np.unique(t.lang, return_counts=True)
-        yield _rows(langs, [b""] * len(langs), n)
+        found = []
         for k, at in alive.items():
             places = np.flatnonzero(at)
-            _, first, n = np.unique(t.keys(k)[0][places], return_index=True, return_counts=True)
-            first = places[first]
-            yield _rows(t.lang[first], [t.phrase(i, k) for i in first.tolist()], n)
+            every, first, n = np.unique(t.keys(k)[0][places], return_index=True, return_counts=True)
+            found.append((every, n, t.start[places[first]], np.full(len(every), k)))
+        keys, n, place, size = (np.concatenate(x) for x in zip(*found))
+        by = np.argsort(keys)
+        keys, n, place, size = keys[by], n[by].astype(np.uint32), place[by], size[by].astype(np.uint8)
+        for b, part in X.spread(keys, buckets):
+            yield b, pickle.dumps((X.pack_sorted(keys[part]), *(X.squeeze(x[part].tobytes()) for x in (n, place, size))))
+
+    return emit
+
+
+def _counted(least: int):
+    """Phrases of a bucket with `least` occurrences, each with a chunk that has it and its place there."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        loaded = []
+        for number, m in zip(table.column("chunk").to_pylist(), table.column("message").to_pylist()):
+            keys, *rest = pickle.loads(m)
+            keys = X.unpack_sorted(keys, "uint64")
+            n, place, size = (np.frombuffer(X.stretch(x), kind) for x, kind in zip(rest, (np.uint32, np.int64, np.uint8)))
+            loaded.append((keys, n, place, size, np.full(len(keys), number)))
+        keys, n, place, size, chunk = (np.concatenate(x) for x in zip(*loaded))
+        every, where = np.unique(keys, return_inverse=True)
+        total = np.bincount(where, n, len(every)).astype(np.int64)
+        # of the chunks that have a phrase any may tell its text: chosen by hash, so that none has to tell most
+        held = np.flatnonzero(total[where] >= least)
+        held = held[np.lexsort((mix(keys[held] ^ mix(chunk[held].view(np.uint64))), where[held]))]
+        held = held[np.r_[True, where[held][1:] != where[held][:-1]]] if len(held) else held
+        return pa.table({"chunk": chunk[held], "place": place[held], "size": size[held].astype(np.int32), "n": total[where[held]]})
+
+    return answer
+
 
-    return work
+def _ask(emit):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk, replies in X._rows(batches):
+            if got := list(emit(chunk, replies)):
+                buckets, messages = zip(*got)
+                arrays = [pa.array(buckets, pa.int32()), pa.array([number] * len(got), pa.int64()), pa.array(messages, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "chunk", "message"])
+
+    return run
 
 
-def _rows(langs: np.ndarray, phrases: list[bytes], n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.int64()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang_key", "phrase", "n"])
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the phrases that a chunk is asked for, and per language its words as the phrase ''."""
+    for b in batches:
+        for i in range(b.num_rows):
+            chunk = X.Chunk.load(b.column("blob")[i].as_py())
+            data, base = _joined(chunk)
+            buf = np.frombuffer(data, np.uint8)
+            starts = np.r_[True, _CLASS[buf[:-1]] != 0] & (_CLASS[buf] == 0)
+            words = np.add.reduceat(starts, base, dtype=np.int64)
+            langs, of = np.unique(chunk.ids, return_inverse=True)
+            rows = [(lang, "", n) for lang, n in zip(langs.tolist(), np.bincount(of, words).astype(np.int64).tolist())]
+            asked = b.column("asked")[i].as_py() or []
+            text_of = np.searchsorted(base, [x["place"] for x in asked], "right") - 1
+            for x, lang in zip(asked, chunk.ids[text_of].tolist()):
+                found = _phrase(x["size"]).match(data, x["place"]).group()
+                rows.append((lang, b" ".join(found.split()).lower().decode(), x["n"]))
+            arrays = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang_key", "phrase", "n"])
+
+
+@cache
+def _phrase(size: int) -> re.Pattern[bytes]:
+    """As many words of one piece."""
+    word = rb"[^\x20\x09-\x0D.,;:!?]+"
+    return re.compile(word + rb"(?:[\x20\x09]+" + word + rb"){%d}" % (size - 1))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, slack: int = SLACK, lang_col: str = "lang", text_col: str = "text", chunk: int = X.CHUNK) -> DataFrame:
@@ -216,7 +271,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     hash partitions of the keys; these merge them with a capacity of `slack` times mass /
     `least`, so that what has `least` occurrences always survives, and tell the chunks
     what did. Longer phrases whose pairs all survive go the same way. Second pass: the
-    survivors are counted exactly. The empty phrase has the number of all words.
+    survivors are counted exactly, again packed by partition of the keys, and one chunk
+    tells the text of each that is frequent. The empty phrase has the number of all words.
 
     `lang_key` is the xxhash64 of the language, null being `und`.
     """
@@ -234,9 +290,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         pairs = _alive(t, keys, X.gathered(keys, replies["short"], buckets, X.unbits, bool), 2)
         yield from _messages(*_long_keys(t, pairs, longest), buckets)
 
-    chunks = X.exchange(chunks, "short", ask_short, _survivors(least, slack))
-    chunks = X.exchange(chunks, "long", ask_long, _survivors(least, slack))
-    counted = X.per_chunk(chunks, _exact(buckets, longest), "lang_key long, phrase string, n long")
+    asking = X.exchange(X.exchange(chunks, "short", ask_short, _survivors(least, slack)), "long", ask_long, _survivors(least, slack))
+    asked = asking.mapInArrow(_ask(_ask_exact(buckets, longest)), "bucket int, chunk long, message binary")
+    found = asked.groupBy("bucket").applyInArrow(_counted(least), "chunk long, place long, size int, n long")
+    found = cut(found.groupBy("chunk").agg(F.collect_list(F.struct("place", "size", "n")).alias("asked")))
+    counted = chunks.join(found, "chunk", "left").mapInArrow(_told, "lang_key long, phrase string, n long")
     return counted.groupBy("lang_key", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("phrase") == ""))
 
 
@@ -292,7 +350,7 @@ def collocations(
 
     A null language is `und`; null and empty texts have no words; repeated rows count as
     often as they are there; an empty table, or one without frequent phrases, gives no
-    rows. Phrases survive or not by 64-bit keys, and are counted by their text.
+    rows. Phrases are told apart by 64-bit hashes of text and language.
     """
     counts = cut(frequent_phrases(docs, least, longest, slack, lang_col, text_col, chunk))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
