@@ -18,6 +18,8 @@ from stagewise.llm.words import Words, mix, slabs
 SHINGLE, PERCENT = 5, 80
 #: Matches asked for at most; price of verifying a candidate, in postings per shingle.
 MATCHES, PRICE = 8, 0.02
+#: Other documents from which on a posting may be that of a group of near copies.
+LARGE = 199
 
 
 def _sets(chunk: X.Chunk, shingle: int):
@@ -96,13 +98,18 @@ def choose_matches(cost: np.ndarray, p: int, n: int, most: int, price: float) ->
     `cost[i]` is the number of other documents with the i-th rarest shingle. To ask for
     l matches the prefix takes p + l - 1 shingles, whose postings are read; a candidate
     uses up l of them, so that about a l-th part as many are verified, at the price of
-    their n shingles.
+    their n shingles. Not so for postings of LARGE and more: these may all hold the same
+    group of near copies, which is thinned out only if there are fewer than l of them.
     """
-    read_ = np.cumsum(cost)
+    large = cost >= LARGE
+    read_, thin = np.cumsum(cost), np.cumsum(np.where(large, 0, cost))
+    count, group = np.cumsum(large), np.maximum.accumulate(np.where(large, cost, 0)) if len(cost) else cost
     best, least = 1, None
     for l in range(1, min(most, n - p + 1) + 1):  # noqa: E741
-        postings = float(read_[p + l - 2])
-        total = postings + price * n * postings / l
+        at = p + l - 2
+        postings = float(read_[at])
+        held = group[at] if count[at] >= l else (postings - thin[at]) / l
+        total = postings + price * n * (thin[at] / l + held)
         if least is None or total < least:
             best, least = l, total
     return best
@@ -123,8 +130,8 @@ def _profiles(shingle: int, percent: int, buckets: int, most: int, price: float)
             n = np.diff(np.r_[first, len(d)])
             alone = np.add.reduceat(class_ == 1, first, dtype=np.int64)
             p = n - -(-percent * n // 100) + 1
-            # a longer prefix has more shingles that no other document has, or else p of them
-            for k in np.flatnonzero(alone < p + most - 1).tolist():
+            # with p shingles or more that no other document has, too few are left to share
+            for k in np.flatnonzero(alone < p).tolist():
                 part = slice(first[k], first[k] + n[k])
                 c, own = class_[part], h[part]
                 order = np.lexsort((own, c))
@@ -139,7 +146,7 @@ def _profiles(shingle: int, percent: int, buckets: int, most: int, price: float)
                     {
                         "node": (chunk.number << X.PLACE) + int(d[first[k]]),
                         "n": int(n[k]),
-                        "alone": float(alone[k]) / float(n[k]),
+                        "open": int(n[k] - alone[k]),
                         "matches": l,
                         "tokens": own[take[shared]].view(np.int64).tolist(),
                         "places": place[shared].tolist(),
@@ -152,7 +159,7 @@ def _profiles(shingle: int, percent: int, buckets: int, most: int, price: float)
 
 
 PROFILE = pa.schema(
-    [("node", pa.int64()), ("n", pa.int64()), ("alone", pa.float64()), ("matches", pa.int32()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("shared", pa.binary())]
+    [("node", pa.int64()), ("n", pa.int64()), ("open", pa.int64()), ("matches", pa.int32()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("shared", pa.binary())]
 )
 
 
@@ -182,39 +189,50 @@ def verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
+def _least(percent: int, n: str, m: str) -> str:
+    """Shingles that linked sets of n and m have in common at the fewest."""
+    return f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}"
+
+
 def _reached(matches: str, percent: int) -> F.Column:
     """Whether a common shingle counts for a pair that must share `matches` of them.
 
     Linked sets of n and m shingles have o = percent (n + m) / (100 + percent) in
-    common, or more, so they share l of the first n - o + l and m - o + l.
+    common, or more, so they share l of the first n - o + l and m - o + l. Neither has
+    fewer than o that are `open`, shingles of other documents too.
     """
-    least = f"({percent} * (n + n_) + {99 + percent}) div {100 + percent}"
-    return F.expr(f"place < n - {least} + {matches} AND place_ < n_ - {least} + {matches}")
+    o = _least(percent, "n", "n_")
+    return F.expr(f"least(open, open_) >= {o} AND place < n - {o} + {matches} AND place_ < n_ - {o} + {matches}")
 
 
 def _links(profiles: DataFrame, percent: int) -> DataFrame:
     """(node, root) of linked documents.
 
     First every posting is checked against one of its documents, the one with the
-    fewest shingles of its own, which joins what belongs together without forming the
-    pairs of a posting. After that only pairs of different components remain: all of
+    smallest share of shingles of its own, which joins what belongs together without
+    forming the pairs of a posting. After that only pairs of different components remain: all of
     them that share enough shingles of the prefixes that their sizes ask for are
-    formed and verified. In each posting the members of its largest component meet
-    the others only, not each other.
+    formed and verified. Members with too many shingles of their own for any partner
+    are left out before; the others of the posting's largest component meet the members
+    of other ones only, not each other.
     """
-    postings = profiles.select("node", "n", "alone", "matches", F.explode(F.arrays_zip("tokens", "places")).alias("p"))
-    postings = postings.select("node", "n", "alone", "matches", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
-    centre = postings.groupBy("token").agg(F.min(F.struct("alone", "node", "n", "place")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    centre = centre.select("token", F.col("c.node").alias("node_"), F.col("c.n").alias("n_"), F.col("c.place").alias("place_"))
+    postings = profiles.select("node", "n", "open", "matches", F.explode(F.arrays_zip("tokens", "places")).alias("p"))
+    postings = postings.select("node", "n", "open", "matches", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
+    alone = (1 - F.col("open") / F.col("n")).alias("alone")
+    centre = postings.groupBy("token").agg(F.min(F.struct(alone, "node", "n", "open", "place")).alias("c"), F.count("*").alias("size")).filter("size > 1")
+    centre = centre.select("token", *[F.col(f"c.{x}").alias(f"{x}_") for x in ("node", "n", "open", "place")])
     stars = postings.join(centre, "token").filter("node <> node_").filter(_reached("1", percent))
     stars = cut(stars.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct())
     links = cut(verified(stars, profiles, percent))
     roots = components(links)
 
-    placed = postings.drop("alone").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    held = placed.groupBy("token", "root").agg(F.count("*").alias("members"))
-    mixed = held.groupBy("token").agg(F.max(F.struct("members", "root")).alias("g"), F.count("*").alias("roots")).filter("roots > 1")
-    right = cut(placed.join(mixed.select("token", F.col("g.root").alias("largest")), "token"))
+    placed = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = placed.groupBy("token", "root").agg(F.count("*").alias("members"), F.min("n").alias("n"))
+    mixed = held.groupBy("token").agg(F.max(F.struct("members", "root")).alias("g"), F.count("*").alias("roots"), F.min("n").alias("smallest")).filter("roots > 1")
+    placed = placed.join(mixed.select("token", "smallest", F.col("g.root").alias("largest")), "token")
+    # the fewest are asked of a pair with the smallest set, which has `percent` of this one at least
+    partner = f"greatest(smallest, ({percent} * n + 99) div 100)"
+    right = cut(placed.filter(f"open >= {_least(percent, 'n', partner)}").drop("smallest"))
     left = right.filter("root <> largest")
     right = right.select(*[F.col(c).alias(f"{c}_" if c != "token" else c) for c in right.columns if c != "largest"])
     # two members of smaller components meet twice, once is enough
@@ -260,7 +278,7 @@ def near_copies(
     chosen = chosen.groupBy("chunk").agg(F.collect_list(F.struct("bucket", F.lit(None).cast("binary").alias("reply"))).alias("chosen"))
     chunks = chunks.join(chosen, "chunk")
     chunks = X.exchange(chunks, "frequency", _ask_frequency(shingle, buckets), _frequency)
-    fields = "node long, n long, alone double, matches int, tokens array<long>, places array<int>, shared binary"
+    fields = "node long, n long, open long, matches int, tokens array<long>, places array<int>, shared binary"
     profiles = cut(X.per_chunk(chunks, _profiles(shingle, percent, buckets, most, price), fields))
     roots = _links(profiles, percent)
 

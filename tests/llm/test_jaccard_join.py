@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from stagewise.llm import exchange
+from stagewise.llm import exchange, jaccard_join
 from stagewise.llm.components import components
 from stagewise.llm.jaccard_join import choose_matches, near_copies
 
@@ -98,3 +98,31 @@ def test_matches_follow_cost():
     cheap_then_dear = np.array([0.0] * 10 + [1000.0] * 30)
     assert choose_matches(cheap_then_dear, 5, 40, 8, 0.02) == 1
     assert choose_matches(np.full(100, 3.0), 21, 100, 8, 1.0) > 4
+
+
+def test_a_group_of_near_copies_asks_for_one_match():
+    # postings of one group are not thinned out by more matches, those of other documents are
+    assert choose_matches(np.array([0.0] * 15 + [1400.0] * 131), 30, 146, 8, 0.02) == 1
+    assert choose_matches(np.array([0.0] * 15 + [90.0] * 131), 30, 146, 8, 0.5) > 4
+
+
+def test_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Members with edits of their own are not paired with each other: few pairs are formed beyond those with a centre."""
+    r = random.Random(21)
+    base, docs = [f"w{i}" for i in range(150)], []
+    for i in range(700):
+        words = base[:]
+        for at in r.sample(range(0, 150, 5), r.choice([1, 1, 2, 2, 3, 3, 4])):
+            words[at] = f"x{r.randrange(10**9)}"
+        docs.append((i, " ".join(words)))
+    formed = []
+
+    def counted(pairs, profiles, percent, old=jaccard_join.verified):
+        formed.append(pairs.count())
+        return old(pairs, profiles, percent)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    got = near_copies(spark.createDataFrame(docs, "doc_id long, text string")).drop("node")
+    assert sorted((tuple(x) for x in got.collect()), key=repr) == brute(docs)
+    # every pair would be 244,650
+    assert len(formed) == 2 and formed[1] < 5_000, formed
