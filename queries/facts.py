@@ -13,6 +13,7 @@ from stagewise.functions import columns as C
 from stagewise.functions import vocab
 from stagewise.operators import match as M
 from stagewise.operators import periods as P
+from stagewise.operators import renumber as N
 from stagewise.operators import stages as S
 from stagewise.operators.skew import find_hot
 from stagewise.plans import report as R
@@ -181,6 +182,40 @@ for _unit in P.GRAINS:
         partial(_flag_query, unit=_unit)
     )
 
+_EXACT = _window("day", "lead").replace("CAST(lead_created AS DATE)", "lead_created")
+
+
+@query("flags_exact_day", FACT_SQL + f"SELECT {_ROWS}, {_flags('day').replace(_window('day', 'lead'), _EXACT)} FROM stacked")
+def flags_exact_day(spark, d):
+    """Daily flags where leads are numbered by their exact time."""
+    rows = P.period_flags(stacked(spark, d), COLS, ["day"], SENTINEL, exact_daily_lead=True, hot=_hot_contacts(spark, d))
+    return rows.select("lesson_id", "lead_row", "union_rn", "rn_daily", "rn_daily_lead")
+
+
+_IDS = ["lesson_id", "lead_row", "union_rn"]
+
+
+def late_changes(spark, d):
+    """Rows with flags as of a day before, the rows that came late, and those that went since.
+
+    Every 40th lead comes late; every 50th row was there twice, with another number.
+    """
+    space = Workspace(spark)
+    rows = space.stage(stacked(spark, d), "rows")
+    late = (F.col("union_rn") == 2) & (F.col("lead_row") % 40 == 7)
+    gone = rows.where(F.col("lead_row") % 50 == 3).withColumn("lead_row", -F.col("lead_row") - 10**9)
+    before = P.period_flags(rows.where(~late).unionByName(gone), COLS, P.GRAINS, SENTINEL, hot=_hot_contacts(spark, d))
+    return space, space.stage(before, "before"), rows.where(late), gone
+
+
+@query("flags_refresh", FLAGGED_SQL + f"SELECT {_ROWS}, {', '.join(f'{f}, {f}_lead' for f in P.FLAG.values())} FROM flagged")
+def flags_refresh(spark, d):
+    """Flags after late leads came and doubled rows went, numbered again only where they lie."""
+    space, before, late, gone = late_changes(spark, d)
+    rows = N.update_flags(before, late, gone, _IDS, space, COLS, sentinel=SENTINEL, hot=_hot_contacts(spark, d))
+    return rows.select(*_IDS, *[f + b for f in P.FLAG.values() for b in ("", "_lead")])
+
+
 _PERSON = {
     "month": ("phone", "student_id"),
     "week": ("student_id", "phone"),
@@ -219,6 +254,43 @@ for _unit in P.GRAINS:
     query(f"labels_{_unit}", _labels_sql(_unit))(partial(_label_query, unit=_unit))
 
 
+def _kept(rows):
+    return rows.where((F.col("union_rn") == 1) | (F.col("rn_daily") == 1))
+
+
+def _labelled(rows, space):
+    out = fact = space.stage(rows, "fact")
+    for unit in P.GRAINS:
+        out = P.period_labels(out, unit, _PERSON[unit], cols=COLS, sentinel=SENTINEL, fact=fact)
+    return out.distinct()
+
+
+_ALL_LABELS = [f"{c}_{u}" for u in P.GRAINS for c in ("lead_type", "lead_type_2")]
+_KEYS_SQL = ", ".join(
+    f"coalesce({', '.join(f'CAST({p} AS VARCHAR)' for p in _PERSON[u])}) AS p_{u}, "
+    f"coalesce({_trunc(u, 'trial_created_at')}, {_trunc(u, 'lead_created')}) AS d_{u}" for u in P.GRAINS)
+
+
+@query("labels_refresh", FLAGGED_SQL + f"""
+, keyed AS (SELECT *, {_KEYS_SQL} FROM fact),
+{', '.join(f"lab_{u} AS (SELECT DISTINCT p_{u} AS p, d_{u} AS d, subject_name AS s, lead_type AS a, lead_type_2 AS b FROM keyed "
+           f"WHERE {P.FLAG[u]} = 1)" for u in P.GRAINS)}
+SELECT DISTINCT k.lesson_id, k.lead_row, k.union_rn, {', '.join(
+    f"coalesce({u}_.a, k.lead_type) AS lead_type_{u}, coalesce({u}_.b, k.lead_type_2) AS lead_type_2_{u}" for u in P.GRAINS)}
+FROM keyed k {' '.join(f"LEFT JOIN lab_{u} {u}_ ON {u}_.p = k.p_{u} AND {u}_.d = k.d_{u} "
+                       f"AND (k.subject_name = 'undefined' OR {u}_.s = k.subject_name)" for u in P.GRAINS)}
+""")
+def labels_refresh(spark, d):
+    """Labels after late leads came and doubled rows went, made again only where they lie."""
+    space, before, late, gone = late_changes(spark, d)
+    labelled = space.stage(_labelled(_kept(before), space), "labelled")
+    after = N.update_flags(before, late, gone, _IDS, space, COLS, sentinel=SENTINEL, hot=_hot_contacts(spark, d))
+    after, old = space.stage(_kept(after), "after"), _kept(before)
+    changed = space.stage(old.exceptAll(after).unionByName(after.exceptAll(old)), "changed")
+    rows = N.update_labels(labelled, after, changed, _PERSON, space, cols=COLS, sentinel=SENTINEL)
+    return rows.select(*_IDS, *_ALL_LABELS).distinct()
+
+
 # --- reports ------------------------------------------------------------------
 
 

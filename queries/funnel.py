@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from queries import views as V
@@ -13,6 +14,7 @@ from stagewise.plans import leads as L
 from stagewise.plans import purchases as P
 from stagewise.plans import report as R
 from stagewise.plans import requests as Q
+from stagewise.plans.refresh import FactStore, refresh_slice
 from stagewise.plans.sales_funnel import FLAG_COLUMNS, LABEL_PERSON, STAGE_COLUMNS, sales_funnel
 from stagewise.session import Workspace
 from stagewise.sources.tables import write_fact
@@ -415,6 +417,45 @@ def fact_sink(spark, d):
     return spark.read.parquet(f"{space.root}/fact").withColumn("lead_month", F.to_date("lead_month"))
 
 
+_LEAD_MONTH = "CAST(date_trunc('month', lead_created) AS DATE) AS lead_month"
+# two slices that share days, the first one again after the second
+SLICES = [("2024-01-01 00:00:00", "2024-01-14 12:00:00"), ("2024-01-12 00:00:00", "2024-01-31 00:00:00")]
+
+
+def stored(spark, src, slices, cfg=CFG) -> FactStore:
+    """A store that was brought up to date slice by slice."""
+    store = FactStore(spark, f"{Workspace(spark).root}/store")
+    for lo, hi in slices:
+        refresh_slice(store, src, replace(cfg, lo=lo, hi=hi))
+    return store
+
+
+@query("fact_refresh", FUNNEL_SQL + f"SELECT {_PLAIN_FLAG}, {_LEAD_MONTH} FROM funnel")
+def fact_refresh(spark, d):
+    """The stored fact after one slice, the next and the first again: as one run over both."""
+    store = stored(spark, V.sources(spark, d), [*SLICES, SLICES[0]])
+    return store.read().withColumn("lead_month", F.to_date("lead_month"))
+
+
+_ORDER = "date_trunc('month', lead_created), lead_created, lesson_id NULLS FIRST, phone NULLS FIRST"
+
+
+@query("fact_order", FUNNEL_SQL + f"""
+SELECT CAST(row_number() OVER (ORDER BY {_ORDER}) AS BIGINT) AS place, lead_created, lesson_id, phone FROM funnel
+""")
+def fact_order(spark, d):
+    """Places of the rows of the written files, file by file and row by row."""
+    space = Workspace(spark)
+    write_fact(funnel(spark, d), f"{space.root}/fact")
+    rows = spark.read.parquet(f"{space.root}/fact").select("*", "_metadata.file_name", "_metadata.row_index")
+    # files of a month are numbered in the order of their times
+    sizes = rows.groupBy("lead_month", "file_name").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("lead_month", "file_name").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("lead_month", "file_name", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = (F.col("start") + F.col("row_index") + 1).alias("place")
+    return rows.join(starts, ["lead_month", "file_name"]).select(place, "lead_created", "lesson_id", "phone")
+
+
 def _fact_report(basis, unit, keys, tail="SELECT * FROM counts"):
     flag = _NAMES[unit] + ("_lead" if basis == "lead" else "")
     when = _period(unit, "lead_created")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, join_same, with_blocks
+from stagewise.session import Workspace
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
@@ -32,6 +33,7 @@ def next_event(
     out: str = "next_ts",
     hot_rows: int = HOT_ROWS,
     hot: HotGroups | None = None,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """Time of the following row of the same key, NULL for the last."""
     order = [F.col(ts), *tie]
@@ -51,7 +53,7 @@ def next_event(
         following = F.when(F.col("_next").isNull(), F.col("_follow")).otherwise(F.col("_next")[ts])
         return joined.withColumn(out, following).drop("_slice", "_next", "_follow")
 
-    return by_group_size(df, keys, plain, sliced, hot, hot_rows)
+    return by_group_size(df, keys, plain, sliced, hot, hot_rows, work)
 
 
 def first_trial(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stagewise.functions.columns import seconds_between
 from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, find_hot, join_same, with_blocks
+from stagewise.session import Workspace
 
 @dataclass(frozen=True)
 class Other:
@@ -29,6 +30,7 @@ def asof(
     direction: str = "next",
     hot: HotGroups | None = None,
     hot_rows: int = HOT_ROWS,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """Each left row with the nearest row of every other relation strictly after it (or before it).
 
@@ -84,7 +86,7 @@ def asof(
         joined = join_same(sweep(cut, by), carry, by)
         return finish(joined.withColumns({f: F.coalesce(f, "_c" + f) for f in found}))
 
-    return by_group_size(rows, keys, plain, sliced, hot, hot_rows)
+    return by_group_size(rows, keys, plain, sliced, hot, hot_rows, work)
 
 
 def nearest_match(
@@ -100,6 +102,7 @@ def nearest_match(
     rank_side: str = "lead",
     hot_rows: int = HOT_ROWS,
     hot: HotGroups | None = None,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """Pairs of a lead and a later request of the same person.
 
@@ -110,7 +113,7 @@ def nearest_match(
     """
     if hot is None:
         # counted on the plain inputs, before leads meet subjects
-        hot = find_hot(leads.select(person).unionAll(requests.select(person)), [person], hot_rows)
+        hot = find_hot(leads.select(person).unionAll(requests.select(person)), [person], hot_rows, work)
     if rank_side == "lead":
         # NULL is a subject of its own
         keyed = requests.withColumn("_key", F.coalesce(F.concat(F.lit("="), subject), F.lit("")))
@@ -118,10 +121,10 @@ def nearest_match(
         asked = keyed.select(person, "_key").where(F.col(person).isNotNull()).distinct()
         wanted = leads.join(asked, person)
         later = Other(keyed, request_ts, request_id, "_m")
-        pairs = asof(wanted, later, [person, "_key"], lead_ts, "next", hot)
+        pairs = asof(wanted, later, [person, "_key"], lead_ts, "next", hot, hot_rows, work)
         columns = [*leads.columns, *[F.col(f"_m.{c}").alias(c) for c in requests.columns if c != person]]
     else:
-        pairs = asof(requests, Other(leads, lead_ts, lead_id, "_m"), [person], request_ts, "prev", hot)
+        pairs = asof(requests, Other(leads, lead_ts, lead_id, "_m"), [person], request_ts, "prev", hot, hot_rows, work)
         columns = [
             *[F.col(c if c == person else f"_m.{c}").alias(c) for c in leads.columns],
             *[c for c in requests.columns if c != person],

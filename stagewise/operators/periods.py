@@ -13,6 +13,7 @@ from stagewise.functions.columns import period
 from stagewise.operators.keyed import first_per_key
 from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, join_same, with_blocks
 from stagewise.operators.stages import fallback_key
+from stagewise.session import Workspace
 
 GRAINS = ("day", "week", "month")
 FLAG = {"day": "rn_daily", "week": "rn_weekly", "month": "rn_monthly"}
@@ -39,6 +40,7 @@ def period_flags(
     exact_daily_lead: bool = False,
     hot_rows: int = HOT_ROWS,
     hot: HotGroups | None = None,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """Adds two numbers per grain; a row numbered 1 counts in its period.
 
@@ -50,15 +52,29 @@ def period_flags(
     All windows contain the person, so one shuffle by person serves them all.
     Persons with more than ``hot_rows`` rows are numbered slice by slice.
     """
-    ranked = by_group_size(
+    rows = ranked(df, cols, grains, exact_daily_lead, hot, hot_rows, work)
+    return rows.select(*df.columns, *[c.alias(n) for n, c in flag_values(cols, grains, sentinel).items()])
+
+
+def ranked(
+    df: DataFrame,
+    cols: FlagColumns,
+    grains: Sequence[str],
+    exact_daily_lead: bool,
+    hot: HotGroups | None,
+    hot_rows: int,
+    work: Workspace | None,
+) -> DataFrame:
+    """Adds the ranks of every basis and grain, from which ``flag_values`` chooses."""
+    return by_group_size(
         df,
         [cols.person],
         lambda rows: _numbered(rows.repartition(cols.person), cols, grains, exact_daily_lead),
         lambda rows: _numbered_in_slices(rows, cols, grains, exact_daily_lead),
         hot,
         hot_rows,
+        work,
     )
-    return _choose(ranked, df, cols, grains, sentinel)
 
 
 def _lead_periods(cols: FlagColumns, grain: str, exact_daily_lead: bool, product: bool) -> Column:
@@ -138,7 +154,8 @@ def _rows_before(keys, slices) -> Column:
     return up_to - own
 
 
-def _choose(ranked, df, cols, grains, sentinel) -> DataFrame:
+def flag_values(cols: FlagColumns, grains: Sequence[str], sentinel: str) -> dict[str, Column]:
+    """Both flags of each grain, by the ranks."""
     start = F.lit(sentinel).cast("timestamp")
     requested = F.col(cols.request_day).cast("timestamp") >= start
     lead = F.col(cols.lead_ts).cast("timestamp")
@@ -147,7 +164,7 @@ def _choose(ranked, df, cols, grains, sentinel) -> DataFrame:
         by_lead = F.col(f"_lead_{g}_0")
         flags[FLAG[g]] = F.when(requested, F.col(f"_request_{g}")).otherwise(by_lead)
         flags[FLAG[g] + "_lead"] = F.when(lead >= start, F.col(f"_lead_{g}_1")).when(lead < start, by_lead)
-    return ranked.select(*df.columns, *[c.cast("long").alias(n) for n, c in flags.items()])
+    return {n: c.cast("long") for n, c in flags.items()}
 
 
 def suppress_covered(

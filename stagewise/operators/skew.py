@@ -42,16 +42,16 @@ class HotGroups:
     keys: DataFrame | None
 
 
-def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> HotGroups:
+def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, work: Workspace | None = None) -> HotGroups:
     """Count the groups and list those with more than ``hot_rows`` rows.
 
     Runs one job over the key columns, which writes the list; counts combine
     before the shuffle.
     At most ``rows / hot_rows`` keys can be listed (100,000 for 10**11 rows at
-    the default).
+    the default). The list is staged in ``work``, or in a workspace of its own.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = Workspace(df.sparkSession).stage(sizes.where(F.col("_n") > hot_rows).select(*keys), "hot")
+    large = (work or Workspace(df.sparkSession)).stage(sizes.where(F.col("_n") > hot_rows).select(*keys), "hot")
     return HotGroups(None if large.isEmpty() else large)
 
 
@@ -83,6 +83,7 @@ def by_group_size(
     sliced: Callable[[DataFrame], DataFrame],
     hot: HotGroups | None = None,
     hot_rows: int = HOT_ROWS,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """``plain`` over the ordinary groups, ``sliced`` over the large ones.
 
@@ -91,10 +92,11 @@ def by_group_size(
     the slices, their bounds and their summaries all read them; the others are
     never written.
     """
-    hot = find_hot(df, keys, hot_rows) if hot is None else hot
+    work = work or Workspace(df.sparkSession)
+    hot = find_hot(df, keys, hot_rows, work) if hot is None else hot
     if hot.keys is None:
         return plain(df)
     few = hot.keys.count() <= MAX_BROADCAST_KEYS
     listed, on = F.broadcast(hot.keys) if few else hot.keys, hot.keys.columns
-    large = Workspace(df.sparkSession).stage(join_same(df, listed, on, "left_semi"), "rows")
+    large = work.stage(join_same(df, listed, on, "left_semi"), "rows")
     return plain(join_same(df, listed, on, "left_anti")).unionByName(sliced(large))

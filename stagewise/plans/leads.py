@@ -16,6 +16,7 @@ from stagewise.operators.lead_type import unconverted_lead_type
 from stagewise.operators.match import nearest_match
 from stagewise.operators.skew import HotGroups
 from stagewise.operators.stages import exclude_test_records
+from stagewise.session import Workspace
 from stagewise.sources.tables import FunnelSources
 
 LEAD_TAGS = [f"{t}_lead" for t in vocab.TAGS]
@@ -44,7 +45,7 @@ def first_leads_of_day(flagged: DataFrame) -> DataFrame:
 
 
 def matched_leads(
-    leads: DataFrame, requests: DataFrame, cfg: FunnelConfig, hot: HotGroups | None = None
+    leads: DataFrame, requests: DataFrame, cfg: FunnelConfig, hot: HotGroups | None = None, work: Workspace | None = None
 ) -> DataFrame:
     """Leads with the request they led to."""
     named = leads.where(F.col("phone").isNotNull()).select(
@@ -67,6 +68,7 @@ def matched_leads(
         rank_side=cfg.rank_side,
         hot_rows=cfg.hot_rows,
         hot=hot,
+        work=work,
     )
 
 

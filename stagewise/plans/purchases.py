@@ -14,6 +14,7 @@ from stagewise.operators.match import followed_by
 from stagewise.operators.skew import find_hot
 from stagewise.operators.stages import exclude_test_records
 from stagewise.plans.requests import paid_lessons
+from stagewise.session import Workspace
 from stagewise.sources.tables import FunnelSources
 
 PAYMENT_ITEM = "struct<Description:string>"
@@ -65,13 +66,13 @@ def purchases_before(src: FunnelSources, cfg: FunnelConfig) -> DataFrame:
     return first.select("client_id", "subject_id", "moment", "amount")
 
 
-def purchases_after(src: FunnelSources, cfg: FunnelConfig) -> DataFrame:
+def purchases_after(src: FunnelSources, cfg: FunnelConfig, work: Workspace | None = None) -> DataFrame:
     """New era: payments followed by a first paid lesson, or the client's first ever."""
     paid = paid_payments(src, cfg)
     # group sizes come from the raw table, without the join above
-    hot = find_hot(src.payments, ["client_id"], cfg.hot_rows)
+    hot = find_hot(src.payments, ["client_id"], cfg.hot_rows, work)
     new = next_event(
-        paid.where("has_package").where(~_old(cfg)), ["client_id"], "moment", ["id"], "next_moment", hot=hot
+        paid.where("has_package").where(~_old(cfg)), ["client_id"], "moment", ["id"], "next_moment", hot=hot, work=work
     )
     first_ever = first_seen(paid, ["client_id"], "moment", "first_moment")
     dated = (

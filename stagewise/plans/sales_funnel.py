@@ -89,6 +89,7 @@ def request_rows(
     first_trial: DataFrame,
     first_trial_any: DataFrame,
     cfg: FunnelConfig,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """Requests with the later stages, then the lead and its attribution."""
     base = exclude_test_records(requests, names={"first_name": (vocab.TEST_STUDENT_NAMES, False)})
@@ -107,7 +108,7 @@ def request_rows(
                 values={"moment": "purchase_before"},
             ),
             Stage(
-                P.purchases_after(src, cfg),
+                P.purchases_after(src, cfg, work),
                 on={"student_id": "client_id"},
                 wildcard=("subject_id", "subject_id"),
                 values={
@@ -129,8 +130,8 @@ def request_rows(
     # a lead's nearest request is its earliest later one, so none outside these times can matter
     slots = R.matchable_requests(trials, src.subjects, cfg).where(lead_window("request_created_at", cfg))
     contacts = src.landing_leads.select("phone").unionAll(trials.select("parent_phone"))
-    hot_phones = find_hot(contacts, ["phone"], cfg.hot_rows)
-    matched = L.matched_leads(leads, slots, cfg, hot_phones).select(
+    hot_phones = find_hot(contacts, ["phone"], cfg.hot_rows, work)
+    matched = L.matched_leads(leads, slots, cfg, hot_phones, work).select(
         F.col("phone").alias("_phone"),
         F.col("lesson_id").alias("_lesson"),
         "lal_created_at",
@@ -243,12 +244,12 @@ def funnel_rows(src: FunnelSources, cfg: FunnelConfig, work: Workspace) -> DataF
     leads = L.flagged_leads(src, cfg)
     first_trial = R.first_trials(trials, cfg, by_subject=True)
     first_trial_any = R.first_trials(trials, cfg, by_subject=False)
-    converted = request_rows(src, requests, trials, L.labelled_leads(leads), first_trial, first_trial_any, cfg)
+    converted = request_rows(src, requests, trials, L.labelled_leads(leads), first_trial, first_trial_any, cfg, work)
     unconverted = L.unconverted_leads(src, L.first_leads_of_day(leads), first_trial, first_trial_any, cfg)
     return union_stages(converted, unconverted).select(*STAGE_COLUMNS, "union_rn")
 
 
-def flagged_rows(rows: DataFrame, cfg: FunnelConfig) -> DataFrame:
+def flagged_rows(rows: DataFrame, cfg: FunnelConfig, work: Workspace | None = None) -> DataFrame:
     """Period flags, less the unconverted leads of days that are covered."""
 
     def flags(df: DataFrame) -> DataFrame:
@@ -258,6 +259,7 @@ def flagged_rows(rows: DataFrame, cfg: FunnelConfig) -> DataFrame:
             sentinel=cfg.sentinel,
             exact_daily_lead=cfg.exact_daily_lead,
             hot_rows=cfg.hot_rows,
+            work=work,
         )
 
     kept = flags(rows).where((F.col("union_rn") == 1) | (F.col("rn_daily") == 1))
@@ -272,7 +274,7 @@ def sales_funnel(src: FunnelSources, cfg: FunnelConfig = FunnelConfig(), work: W
     """
     work = work or Workspace(src.lessons.sparkSession)
     rows = work.stage(funnel_rows(src, cfg, work), "rows")
-    fact = work.stage(flagged_rows(rows, cfg), "flagged")
+    fact = work.stage(flagged_rows(rows, cfg, work), "flagged")
     out = fact
     for grain in reversed(GRAINS):
         out = period_labels(

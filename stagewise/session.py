@@ -43,7 +43,21 @@ def work_dir(spark: SparkSession) -> str:
     return _local_dir(spark.sparkContext.applicationId)
 
 
-_roots: list[str] = []
+def _found(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever file system Spark reaches."""
+    system, at = _found(spark, path)
+    return system.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, if it is there."""
+    system, at = _found(spark, path)
+    system.delete(at, True)
 
 
 class Workspace:
@@ -51,18 +65,19 @@ class Workspace:
 
     A staged table cuts the lineage (a lost executor re-reads files instead of
     recomputing joins) and, unlike a cached one, keeps column pruning. As a
-    context manager it removes its folder, and those that operators made inside
-    the block, when the block ends: write the result before.
+    context manager it removes its folder when the block ends: write the result
+    before. It owns its folder alone; operators that stage something get it passed.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{work_dir(spark)}/run-{uuid.uuid4().hex}"
-        self._before = len(_roots)
-        _roots.append(self.root)
+        self._used: dict[str, int] = {}
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+        # a name may come again, when an operator runs twice
+        n = self._used[name] = self._used.get(name, 0) + 1
+        path = f"{self.root}/{name}" + (f"-{n}" if n > 1 else "")
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -73,9 +88,5 @@ class Workspace:
         self.close()
 
     def close(self) -> None:
-        """Remove the folders of this and all later workspaces."""
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        for root in _roots[self._before :]:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(conf).delete(path, True)
-        del _roots[self._before :]
+        """Remove the folder of this workspace."""
+        remove(self.spark, self.root)

@@ -42,12 +42,14 @@ class FunnelSources:
         return cls(**{n: spark.table(tables.get(n, n)) for n in cls.names()})
 
 
-def write_fact(fact: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_fact(fact: DataFrame, path: str, mode: str = "overwrite", replace_months: bool = False) -> None:
     """Write the fact ordered by lead time, in one folder per lead month.
 
     The range sort splits equal times by request and phone, and as each task
-    holds one stretch of time it opens few month folders.
+    holds one stretch of time it opens few month folders. With ``replace_months`` only
+    the folders of months in ``fact`` are overwritten, the others keep their files.
     """
     months = fact.withColumn("lead_month", period("month", F.col("lead_created")))
     ordered = months.orderBy("lead_month", "lead_created", "lesson_id", "phone")
-    ordered.write.mode(mode).partitionBy("lead_month").parquet(path)
+    writer = ordered.write.mode(mode).option("partitionOverwriteMode", "dynamic" if replace_months else "static")
+    writer.partitionBy("lead_month").parquet(path)
