@@ -117,7 +117,8 @@ def disclosing_terms(docs: DataFrame, radius: int = RADIUS, least: int = TEXTS,
     and t tells log2(P(e | t) N / n(e)) bits about e. A term is disclosing if there is
     a value e that so many different texts have it near of, and for which P(e | t) and
     the bits reach their thresholds; every such pair is tested. Candidates come from
-    the contexts; over all documents only they are counted, summed up before any shuffle.
+    the contexts; the documents of each term are summed up before the shuffle, and only
+    these sums meet the candidates.
     """
     rows = docs.select("text", *_key())
     held = base_spans(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -132,16 +133,18 @@ def disclosing_terms(docs: DataFrame, radius: int = RADIUS, least: int = TEXTS,
     near = F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(TERM), F.lit(0)))
     contexts = cut(values.select("row", "k1", "k2", "x.kind", "x.value", near.alias("terms")))
     of_value = contexts.groupBy("kind", "value").agg(F.count_distinct("row").alias("n_e"), F.count_distinct("k1", "k2").alias("texts"))
-    of_value = of_value.filter(F.col("texts") >= least).drop("texts")
+    n = rows.count()
+    # of a value that more documents have, no term can tell so many bits
+    of_value = of_value.filter((F.col("texts") >= least) & (F.log2(F.lit(float(n)) / F.col("n_e")) >= bits)).drop("texts")
     pairs = contexts.join(of_value, ["kind", "value"]).select("kind", "value", "n_e", "row", "k1", "k2", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("kind", "value", "n_e", "term").agg(F.count_distinct("row").alias("n_te"), F.count_distinct("k1", "k2").alias("texts"))
     pairs = cut(pairs.filter(F.col("texts") >= least).select("term", "n_te", "n_e"))
     candidates = cut(pairs.select("term").distinct())
 
     words = rows.select("k1", "k2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    of_term = words.select("term").join(_chosen(candidates), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    of_term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(_chosen(candidates), "term")
     chance = F.col("n_te") / F.col("n_t")
-    told = F.log2(chance * F.lit(float(rows.count())) / F.col("n_e"))
+    told = F.log2(chance * F.lit(float(n)) / F.col("n_e"))
     found = cut(pairs.join(of_term, "term").filter((chance >= share) & (told >= bits)).select("term").distinct())
     places = words.join(_chosen(found), "term").distinct()
     return places.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("term")).alias("terms"))

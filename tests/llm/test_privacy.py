@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
+import regex
 from pyspark.sql import functions as F
 
 from stagewise.llm.privacy import digest, disclosing_terms, find_personal_data, sanitised
@@ -115,3 +118,42 @@ def test_sanitise_partial_overlap(spark):
     row = found.select("card", "email", sanitised(found).alias("t")).first()
     assert [(x.s, x.e) for x in row.card] == [(3, 22)] and (18, 28) in [(x.s, x.e) for x in row.email]
     assert row.t == "to <CARD> end <EMAIL>"
+
+
+def counted_terms(docs, radius=80, least=3, share=0.5, bits=6.0):
+    """Disclosing terms by counting over texts with emails only."""
+    word, email = regex.compile(r"\p{L}{3,}"), BASE["email"]
+    near, has = {}, {}
+    for row, text in docs:
+        for m in email.finditer(text):
+            left, right = text[max(m.start() - radius - 1, 0) : m.start()], text[m.end() : m.end() + radius + 1]
+            left = regex.sub(r"^\p{L}+", "", left) if m.start() > radius else left
+            right = regex.sub(r"\p{L}+\Z", "", right) if len(right) > radius else right
+            has.setdefault(m[0].lower(), set()).add((row, text))
+            for t in set(word.findall((left + " " + right).lower())):
+                near.setdefault((t, m[0].lower()), set()).add((row, text))
+    n_t = Counter(t for _, text in docs for t in set(word.findall(text.lower())))
+    out = set()
+    for (t, e), rows in near.items():
+        chance = len(rows) / n_t[t]
+        if min(len({x for _, x in rows}), len({x for _, x in has[e]})) >= least and chance >= share and math.log2(chance * len(docs) / len(has[e])) >= bits:
+            out.add(t)
+    return out
+
+
+def test_disclosing_terms_by_brute_force(spark):
+    r = random.Random(8)
+    names = [f"{a}{b}" for a in ("Zeb", "Yan", "Que", "Sev", "Uli") for b in ("ulon", "nick", "ntin", "erin")]
+    plain = lambda n: " ".join(r.choice(["the", "red", "house", "near", "sea", "tree", "Straße", "of"]) for _ in range(n))
+    docs = []
+    for i in range(900):
+        name = r.choice(names)
+        parts = [plain(r.randrange(25))]
+        if r.random() < 0.15:
+            parts += [name, plain(r.randrange(15)), f"{name.lower()}@mail.org", plain(r.randrange(15)), r.choice(names)]
+        if r.random() < 0.02:
+            parts += [name]
+        docs.append((i, " ".join([*parts, plain(r.randrange(25)), str(i % 700)])))
+    want = counted_terms(docs)
+    found = disclosing_terms(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {t for x in found for t in x.terms} == want and 0 < len(want) < len(names)
