@@ -60,6 +60,12 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(at, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it is not there."""
+    system, at = _found(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
+
+
 class Workspace:
     """Writes a relation once and hands back a scan of it.
 
