@@ -282,14 +282,17 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """The rows, all columns kept, whose score is below 0.5."""
+    """The rows, all columns kept whatever their names, whose score is below 0.5."""
+    # by place, as names may hold dots
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            clean = [lexicon.score(lexicon.density(t)) < 0.5 for t in b.column(text_col).to_pylist()]
+            clean = [lexicon.score(lexicon.density(t)) < 0.5 for t in b.column(text).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -72,7 +73,9 @@ def test_against_brute_force(spark, tmp_path):
 
 def test_stages_keep_columns_and_odd_rows(spark, odd, tmp_path):
     corpus(tmp_path, spark)
-    docs = odd.select("doc_id", "text", "lang", "source", odd["n_chars"].cast("long").alias("n_chars"))
+    # the whole odd table, with columns that the stages use themselves
+    clash = {"_row": F.lit(5), "rest_0": F.lit("r"), "component_id": F.lit(1), "email": F.lit("e")}
+    docs = odd.withColumn("n_chars", F.col("n_chars").cast("long")).withColumns(clash)
     docs.write.parquet(f"{tmp_path}/odd.parquet")
     docs = spark.read.parquet(f"{tmp_path}/odd.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -82,6 +85,7 @@ def test_stages_keep_columns_and_odd_rows(spark, odd, tmp_path):
             rows = out.collect()
             # the repeated row goes with its copy
             assert len(rows) == table.count() - (name == "jaccard_join" and len(rows) > 0), name
+            assert all(r._row == 5 and r.rest_0 == "r" and r["n.x"] == 7 and r.email == "e" for r in rows), name
 
 
 def test_names():
