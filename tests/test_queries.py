@@ -14,7 +14,7 @@ from queries.check import compare, database
 
 SMALL = os.environ.get("STAGEWISE_TEST_DIR", "/root/testdata/sf0.001")
 SHARED_PLAN = ("flags_", "labels_", "funnel_lead", "funnel_request", "by_", "filtered", "conversion")
-CHOSEN = {"flags_month", "labels_week", "funnel_request_basis", "by_lead_type", "conversion_as_of"}
+CHOSEN = {"flags_month", "flags_exact_day", "flags_refresh", "labels_refresh", "labels_week", "funnel_request_basis", "by_lead_type", "conversion_as_of"}
 NAMES = [n for n in QUERIES if n in CHOSEN or not n.startswith(SHARED_PLAN)]
 
 
