@@ -14,6 +14,7 @@ from stagewise.plans import leads as L
 from stagewise.plans import purchases as P
 from stagewise.plans import report as R
 from stagewise.plans import requests as Q
+from stagewise.plans.firsts import FunnelFirsts
 from stagewise.plans.refresh import FactStore, refresh_slice
 from stagewise.plans.sales_funnel import FLAG_COLUMNS, LABEL_PERSON, STAGE_COLUMNS, sales_funnel
 from stagewise.session import Workspace
@@ -146,15 +147,27 @@ after AS (
 PURCHASE_SQL = f"WITH {V.SOURCES_SQL}{_PAY}"
 
 
-@query("two_era_purchase", PURCHASE_SQL + """
+_ERAS_SQL = PURCHASE_SQL + """
 SELECT 'before' AS era, client_id, subject_id, moment AS first_purchase, NULL AS payment_id, CAST(NULL AS DOUBLE) AS amount,
        NULL AS subject_name_rev FROM before
 UNION ALL SELECT 'after', client_id, subject_id, moment, payment_id, amount, subject_name_rev FROM after
-""")
+"""
+
+
+@query("two_era_purchase", _ERAS_SQL)
 def two_era_purchase(spark, d):
     return P.first_purchase_two_eras(V.sources(spark, d), CFG)
 
 
+@query("two_era_purchase_state", _ERAS_SQL)
+def two_era_purchase_state(spark, d):
+    """Purchases of both eras, first payments and paid lessons taken from states that slices were merged into."""
+    src, firsts = V.sources(spark, d), FunnelFirsts.at(spark, f"{Workspace(spark).root}/firsts", parts=16)
+    for lo, hi in (("1970-01-01", "2024-01-12"), ("2024-01-10", "2999-01-01")):
+        firsts.update(src, replace(CFG, lo=lo, hi=hi))
+    return P.first_purchase_two_eras(src, CFG, firsts.payments.read(), firsts.lessons.read())
+
+
 @query("all_payments", PURCHASE_SQL + f"""
 SELECT client_id, moment, CASE WHEN contains(text, 'англ') THEN 1 WHEN contains(text, 'математ') THEN 2 END AS subject_id,
        amount

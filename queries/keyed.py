@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from queries import views as V
 from queries.registry import query
+from stagewise.functions import columns as C
 from stagewise.operators import keyed as K
+from stagewise.plans.firsts import FirstOf, FirstState
+from stagewise.session import Workspace
 
 
 @query("first_per_key", """
@@ -73,3 +76,37 @@ def first_trial(spark, d):
 @query("first_trial_any", _FIRST_TRIAL.format(views=V.VIEWS_SQL, keys="person"))
 def first_trial_any(spark, d):
     return _first_trial(spark, d, ["person"])
+
+
+def _trial_state(spark, d, keys):
+    """State after slices of an early version of the requests, then the same slices of the true one.
+
+    The early version lacks some requests, has some that were withdrawn since, and other
+    cancel times; slices overlap and come out of order.
+    """
+    now = V.request(spark, d)
+    ended = F.when(F.col("request_k") % 6 == 0, F.col("request_at") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("canceled_at"))
+    early = now.where("request_id % 5 > 0").withColumn("canceled_at", ended)
+    withdrawn = now.where("request_id % 7 = 0").withColumns(
+        {"request_id": -F.col("request_id"), "canceled_at": F.col("request_at") - F.expr("INTERVAL 2 DAY")}
+    )
+    order = [F.col("canceled_at").asc_nulls_last(), F.col("request_at"), F.col("request_id")]
+    spec = FirstOf(keys, order, ["request_id"], "request_at", ["canceled_at"])
+    state = FirstState(spark, f"{Workspace(spark).root}/state", spec, parts=16)
+    slices = [("2024-01-10", "2024-01-21"), ("2024-01-20", "2999-01-01"), ("1970-01-01", "2024-01-10")]
+    for history in (early.unionByName(withdrawn), now):
+        for lo, hi in slices:
+            state.update(history.where(C.in_slice(F.col("request_at"), lo, hi, False)), lo, hi, history)
+    return state.read().select(*keys, "request_id", "request_at")
+
+
+@query("first_trial_state", _FIRST_TRIAL.format(views=V.VIEWS_SQL, keys="person, code"))
+def first_trial_state(spark, d):
+    """First trial per person and subject, from a state that slices were merged into."""
+    return _trial_state(spark, d, ["person", "code"])
+
+
+@query("first_trial_any_state", _FIRST_TRIAL.format(views=V.VIEWS_SQL, keys="person"))
+def first_trial_any_state(spark, d):
+    """First trial per person, from a state that slices were merged into."""
+    return _trial_state(spark, d, ["person"])

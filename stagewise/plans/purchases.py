@@ -66,22 +66,38 @@ def purchases_before(src: FunnelSources, cfg: FunnelConfig) -> DataFrame:
     return first.select("client_id", "subject_id", "moment", "amount")
 
 
-def purchases_after(src: FunnelSources, cfg: FunnelConfig, work: Workspace | None = None) -> DataFrame:
-    """New era: payments followed by a first paid lesson, or the client's first ever."""
+def purchases_after(
+    src: FunnelSources,
+    cfg: FunnelConfig,
+    work: Workspace | None = None,
+    payments: DataFrame | None = None,
+    lessons: DataFrame | None = None,
+) -> DataFrame:
+    """New era: payments followed by a first paid lesson, or the client's first ever.
+
+    The first payments and first paid lessons of all clients come from stored states
+    where these are given, else from all history.
+    """
     paid = paid_payments(src, cfg)
     # group sizes come from the raw table, without the join above
     hot = find_hot(src.payments, ["client_id"], cfg.hot_rows, work)
     new = next_event(
         paid.where("has_package").where(~_old(cfg)), ["client_id"], "moment", ["id"], "next_moment", hot=hot, work=work
     )
-    first_ever = first_seen(paid, ["client_id"], "moment", "first_moment")
+    if payments is None:
+        first_ever = first_seen(paid, ["client_id"], "moment", "first_moment")
+    else:
+        first_ever = payments.select("client_id", F.col("moment").alias("first_moment"))
     dated = (
         new.join(first_ever, "client_id", "left")
         .withColumn("is_first", F.to_date("first_moment") == F.to_date("moment"))
         .withColumn("moment", F.to_date("moment"))
     )
-    lessons = paid_lessons(src, cfg).withColumnRenamed("student_id", "client_id")
-    first_lessons = first_seen(lessons, ["grade_kind", "subject_id", "client_id"], "time_start")
+    by = ["grade_kind", "subject_id", "client_id"]
+    if lessons is None:
+        first_lessons = first_seen(paid_lessons(src, cfg).withColumnRenamed("student_id", "client_id"), by, "time_start")
+    else:
+        first_lessons = lessons.select(*by, "time_start")
     end = (F.col("moment") + F.expr(cfg.horizon) + F.expr(cfg.horizon_extra)).cast("timestamp")
     followed = followed_by(
         dated, first_lessons, "client_id", "moment", "time_start", end, "next_moment", cfg.open_end, "is_first"
@@ -92,10 +108,12 @@ def purchases_after(src: FunnelSources, cfg: FunnelConfig, work: Workspace | Non
     ).distinct()
 
 
-def first_purchase_two_eras(src: FunnelSources, cfg: FunnelConfig) -> DataFrame:
+def first_purchase_two_eras(
+    src: FunnelSources, cfg: FunnelConfig, payments: DataFrame | None = None, lessons: DataFrame | None = None
+) -> DataFrame:
     """Purchases of both eras per client; amount and payment exist for the new era only."""
     before = purchases_before(src, cfg).select("client_id", "subject_id", F.col("moment").alias("first_purchase"))
-    after = purchases_after(src, cfg).withColumnRenamed("moment", "first_purchase")
+    after = purchases_after(src, cfg, payments=payments, lessons=lessons).withColumnRenamed("moment", "first_purchase")
     return before.withColumn("era", F.lit("before")).unionByName(
         after.withColumn("era", F.lit("after")), allowMissingColumns=True
     )
