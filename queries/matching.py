@@ -30,9 +30,7 @@ WHERE is_first OR code IS NOT NULL
 """
 
 
-@query("followed_by", f"WITH {V.VIEWS_SQL}" + _FOLLOWED)
-def followed_by(spark, d):
-    """Payments with the first lessons that follow before the next payment."""
+def _followed(spark, d, **hot):
     payments = next_event(
         V.payment(spark, d).select("payment_id", "client_id", "moment"), ["client_id"], "moment", ["payment_id"], "next_moment"
     )
@@ -41,11 +39,23 @@ def followed_by(spark, d):
     lessons = first_seen(V.lesson(spark, d), ["client_id", "code"], "start_at")
     end = F.col("moment") + F.expr("interval 1 month") + F.expr("interval 30 days")
     found = M.followed_by(
-        spans, lessons, "client_id", "moment", "start_at", end, "next_moment", "2999-12-31 00:00:00", "is_first"
+        spans, lessons, "client_id", "moment", "start_at", end, "next_moment", "2999-12-31 00:00:00", "is_first", **hot
     )
     return found.select("payment_id", "client_id", "moment", "code", "start_at")
 
 
+@query("followed_by", f"WITH {V.VIEWS_SQL}" + _FOLLOWED)
+def followed_by(spark, d):
+    """Payments with the first lessons that follow before the next payment."""
+    return _followed(spark, d)
+
+
+@query("followed_by_blocks", f"WITH {V.VIEWS_SQL}" + _FOLLOWED)
+def followed_by_blocks(spark, d):
+    """The same, clients with more than 20 rows by blocks of time."""
+    return _followed(spark, d, hot_rows=20)
+
+
 _MATCH_LEAD = f"""
 , m AS (SELECT lead_id, l.person, lead_code, lead_at, request_id, code, request_at
   FROM lead_v l JOIN request_v r ON r.person = l.person AND lead_at < request_at
@@ -98,21 +108,34 @@ def interval_join(spark, d):
     return requests.join(pairs, near, "left").select("request_id", "lead_id")
 
 
-@query("attribute_within", f"""
+_TOUCHED = f"""
 WITH {V.VIEWS_SQL}, touch AS (
   SELECT person, CASE WHEN person % 9 = 0 THEN NULL ELSE log_at END AS touch_at, log_id FROM stafflog_v)
 SELECT request_id, r.person, log_id FROM request_v r LEFT JOIN touch t
   ON t.person = r.person AND (request_at <= touch_at + INTERVAL 10 DAY OR touch_at IS NULL)
-""")
-def attribute_within(spark, d):
-    """Requests with all registration touches of the person that are valid."""
+"""
+
+
+def _touched(spark, d, **hot):
     touches = V.stafflog(spark, d).selectExpr(
         "person", "CASE WHEN person % 9 = 0 THEN NULL ELSE log_at END AS touch_at", "log_id")
     requests = V.request(spark, d).select("request_id", "person", "request_at")
-    joined = M.attribute_within(requests, touches, "person", "request_at", "touch_at", "interval 10 days")
+    joined = M.attribute_within(requests, touches, "person", "request_at", "touch_at", "interval 10 days", **hot)
     return joined.select("request_id", "person", "log_id")
 
 
+@query("attribute_within", _TOUCHED)
+def attribute_within(spark, d):
+    """Requests with all registration touches of the person that are valid."""
+    return _touched(spark, d, hot=V.hot_persons(spark, d))
+
+
+@query("attribute_within_blocks", _TOUCHED)
+def attribute_within_blocks(spark, d):
+    """The same, persons with more than 10 requests by blocks of time."""
+    return _touched(spark, d, hot_rows=10)
+
+
 @query("stage_chain", f"""
 WITH {V.VIEWS_SQL}
 SELECT request_id, request_at, contact, segment, done_at, purchase_at

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from stagewise.functions.columns import seconds_between
 from stagewise.operators.skew import HOT_ROWS, HotGroups, by_group_size, find_hot, join_same, with_blocks
+from stagewise.operators.spans import left_join_points, left_join_spans
 from stagewise.session import Workspace
 
+
 @dataclass(frozen=True)
 class Other:
     """A relation to look up in time: its time, its id and the name of the match."""
@@ -143,31 +145,43 @@ def followed_by(
     next_ts: str,
     open_end: str,
     first_ever: str,
+    hot: HotGroups | None = None,
+    hot_rows: int = HOT_ROWS,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """Left events with the right events inside their time span, ends included.
 
     The span ends at the horizon or at the next left event, whichever is first.
     A left row stays if it is first ever (a boolean column) or has a match.
-    ``right`` holds first occurrences, so its rows per key are few by nature;
-    a hot key on the left is split by the adaptive skew join.
+    Keys with many rows are joined by blocks of time.
     """
     end = F.least(horizon_end, F.coalesce(F.col(next_ts), F.lit(open_end).cast("timestamp")))
     spans = left.withColumn("_from", F.col(left_ts).cast("timestamp")).withColumn("_to", end)
     right = right.withColumnRenamed(key, "_key")
-    inside = (F.col(key) == F.col("_key")) & F.col(right_ts).cast("timestamp").between(F.col("_from"), F.col("_to"))
-    joined = spans.join(right, inside, "left")
+    at, lo, hi = F.col(right_ts).cast("timestamp"), F.col("_from"), F.col("_to")
+    joined = left_join_spans(spans, right, key, at, lo, hi, at.between(lo, hi), hot, hot_rows, work)
     kept = joined.where(F.coalesce(F.col(first_ever), F.lit(False)) | F.col("_key").isNotNull())
     return kept.drop("_from", "_to", "_key")
 
 
 def attribute_within(
-    df: DataFrame, touches: DataFrame, key: str, ts: str, touch_ts: str, ttl: str
+    df: DataFrame,
+    touches: DataFrame,
+    key: str,
+    ts: str,
+    touch_ts: str,
+    ttl: str,
+    hot: HotGroups | None = None,
+    hot_rows: int = HOT_ROWS,
+    work: Workspace | None = None,
 ) -> DataFrame:
     """Rows with the touches still valid at their time; a touch without time always is.
 
     Copies of a touch count once. Every row is kept; it comes out once for each
-    valid touch of its key, so touches per key should be few.
+    valid touch of its key, so touches per key should be few. Keys with many rows are
+    joined by blocks of time.
     """
     touches = touches.distinct().withColumnRenamed(key, "_key")
-    valid = (F.col(ts) <= F.col(touch_ts) + F.expr(ttl)) | F.col(touch_ts).isNull()
-    return df.join(touches, (F.col(key) == F.col("_key")) & valid, "left").drop("_key")
+    end = F.col(touch_ts) + F.expr(ttl)
+    valid = (F.col(ts) <= end) | F.col(touch_ts).isNull()
+    return left_join_points(df, touches, key, F.col(ts), end, valid, hot, hot_rows, work).drop("_key")

@@ -100,7 +100,7 @@ def purchases_after(
         first_lessons = lessons.select(*by, "time_start")
     end = (F.col("moment") + F.expr(cfg.horizon) + F.expr(cfg.horizon_extra)).cast("timestamp")
     followed = followed_by(
-        dated, first_lessons, "client_id", "moment", "time_start", end, "next_moment", cfg.open_end, "is_first"
+        dated, first_lessons, "client_id", "moment", "time_start", end, "next_moment", cfg.open_end, "is_first", hot, work=work
     )
     product = C.pair_label(F.col("subject_id"), F.col("grade_kind"), vocab.PRODUCTS_BY_ID)
     return followed.select(

@@ -153,6 +153,8 @@ def request_rows(
         "created_at",
         "added_to_telemarketing_list_request",
         cfg.touch_ttl,
+        find_hot(trials, ["student_id"], cfg.hot_rows, work),
+        work=work,
     )
 
     log, lead, request = F.col("sl_lesson_id"), F.col("lal_created_at"), F.col("created_at")
