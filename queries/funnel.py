@@ -513,3 +513,48 @@ def fact_school_type(spark, d):
 def fact_conversion_as_of(spark, d):
     """Finished rate of the fact table over the requests due by a day."""
     return R.conversion_as_of(funnel(spark, d), "2024-01-17", "week", "request")
+
+
+def report_cuts():
+    """All reports: plain, by school type, and by source of the lead and of the request."""
+    cuts = {"all": {}, "school_type": {"school_type": R.school_type()}}
+    for source in ("lead", "request"):
+        cuts[f"traffic_{source}"] = {f"traffic_{source}": R.traffic_type(source)}
+        cuts[f"channel_{source}"] = {f"channel_{source}": R.channel(source)}
+        cuts[f"utm_{source}"] = {f"utm_{source}": R.utm_tag("utm_source", source)}
+    return cuts
+
+
+def _cuts_sql():
+    at = {(b, u): (_NAMES[u] + ("_lead" if b == "lead" else ""), _period(u, "lead_created")) for b in ("lead", "request") for u in _NAMES}
+    when = {k: p if k[0] == "lead" else f"coalesce({_period(k[1], 'trial_created_at')}, {p})" for k, (_, p) in at.items()}
+
+    def case(values):
+        return "CASE " + " ".join(f"WHEN basis = '{b}' AND grain = '{u}' THEN {v}" for (b, u), v in values.items()) + " END"
+
+    by = {"school_type": f"CASE grade_kind {_SCHOOLS} ELSE 'undefined' END"}
+    for s in ("lead", "request"):
+        by[f"traffic_{s}"] = _KNOWN.replace("external_source_type_request", f"external_source_type_{s}")
+        by[f"channel_{s}"] = f"coalesce(traffic_source_{s}, 'undefined')"
+        by[f"utm_{s}"] = f"coalesce(utm_source_{s}, 'undefined')"
+    for n, c in (("enrolment_type", "lead_type"), ("lead_type", "lead_type_2")):
+        by[n] = "CASE grain " + " ".join(f"WHEN '{u}' THEN {c}_{u}" for u in _NAMES) + " END"
+    sets = {"all": [], **{n: [n] for n in by if n not in R.LABELS}, "lead_type": list(R.LABELS)}
+    spread = ", ".join(f"({b!r}, {u!r})" for b, u in at)
+    unions = " UNION ALL ".join(
+        f"SELECT basis, grain, period, '{name}' AS cut, {', '.join(n if n in s else f'NULL AS {n}' for n in by)}, "
+        "count(lead_created) AS leads, count(trial_created_at) AS requests, "
+        "count(CASE WHEN trial_created_at IS NOT NULL THEN trial_finished_at END) AS finished, "
+        "count(CASE WHEN trial_created_at IS NOT NULL THEN first_purchase END) AS purchases "
+        f"FROM spread GROUP BY {', '.join(['basis', 'grain', 'period', *s])}" for name, s in sets.items())
+    return FUNNEL_SQL + f"""
+, spread AS MATERIALIZED (SELECT basis, grain, {case(when)} AS period, lead_created, trial_created_at, trial_finished_at, first_purchase,
+    {', '.join(f'{e} AS _{n}' for n, e in by.items())}
+  FROM funnel, (VALUES {spread}) v(basis, grain) WHERE {case({k: f for k, (f, _) in at.items()})} = 1)
+""" + unions.replace("FROM spread", f"FROM (SELECT * RENAME ({', '.join(f'_{n} AS {n}' for n in by)}) FROM spread)")
+
+
+@query("fact_all_cuts", _cuts_sql())
+def fact_all_cuts(spark, d):
+    """All reports of the fact table by every basis and grain, from one scan of it."""
+    return R.all_cuts(funnel(spark, d), report_cuts(), labels=True)
