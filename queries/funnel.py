@@ -168,6 +168,34 @@ def two_era_purchase_state(spark, d):
     return P.first_purchase_two_eras(src, CFG, firsts.payments.read(), firsts.lessons.read())
 
 
+# Payloads that come in place of a payment's own, by id % 12.
+ODD_LINES = {
+    0: '[{"description":"x"}]',
+    1: '[{"Descr',
+    2: '[{"Description":"x"},{"Other":"y"}]',
+    3: "7",
+    4: '[{"Description":null}]',
+}
+_ODD = "CASE id % 12 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in ODD_LINES.items()) + " ELSE data END"
+
+
+@query("rejected_payments", f"""WITH {V.SOURCES_SQL}, odd AS (SELECT id, client_id, moment, {_ODD} AS data FROM s_payments
+  WHERE coalesce(NOT testing, true) AND amount > {CFG.min_amount}),
+typed AS (SELECT *, CASE WHEN json_valid(data) THEN json_type(data) END AS t FROM odd),
+sized AS (SELECT *, CASE WHEN t = 'ARRAY' THEN json_array_length(data) WHEN t = 'OBJECT' THEN 1 END AS n,
+    CASE WHEN t = 'OBJECT' THEN '[' || data || ']' WHEN t = 'ARRAY' THEN data END AS list FROM typed),
+why AS (SELECT id, client_id, moment, data, CASE WHEN data IS NULL THEN 'null' WHEN t IS NULL THEN 'broken'
+  WHEN n IS NULL THEN 'not_a_list' WHEN n = 0 THEN 'empty'
+  WHEN len(json_extract(list, '$[*].description')) > 0 THEN 'other_case'
+  WHEN len(json_extract(list, '$[*].Description')) < n THEN 'missing_key' END AS reason FROM sized)
+SELECT * FROM why WHERE reason IS NOT NULL""")
+def rejected_payments(spark, d):
+    """Payments whose lines are lost, some payloads replaced by broken ones, with the reason."""
+    src = V.sources(spark, d)
+    odd = src.payments.withColumn("data", F.expr(_ODD))
+    return P.rejected_payments(replace(src, payments=odd), CFG)
+
+
 @query("all_payments", PURCHASE_SQL + f"""
 SELECT client_id, moment, CASE WHEN contains(text, 'англ') THEN 1 WHEN contains(text, 'математ') THEN 2 END AS subject_id,
        amount

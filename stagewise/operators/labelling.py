@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,55 @@ def explode_json(df: DataFrame, json_col: str, item_schema: str, keep: Sequence[
     return df.select(*keep, F.explode(items).alias(out))
 
 
+def json_problem(json_col: str, item_schema: str, required: Sequence[str]) -> Column:
+    """Why lines of a JSON payload are lost to `explode_json`, or lack a field; NULL where all is well.
+
+    `null`, `broken` (no JSON text), `not_a_list` (neither a list nor an object, which
+    counts as a list of one), `empty`, `not_an_object` (a line that is none), `other_case`
+    (a line has a required key in other letters only) and `missing_key`; the first that
+    holds. A key with the value null is there.
+    """
+    text = F.col(json_col)
+    parsed = F.try_parse_json(text)
+    kind = F.schema_of_variant(parsed)
+    items = F.from_json(json_col, f"array<{item_schema}>")
+    listed = F.when(kind.startswith("OBJECT"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    lines = F.from_json(listed, "array<map<string,string>>")
+
+    def lacks(line: Column, key: str) -> Column:
+        return ~F.coalesce(F.array_contains(F.map_keys(line), key), F.lit(False))
+
+    def cased(line: Column, key: str) -> Column:
+        named = F.exists(F.map_keys(line), lambda k: F.lower(k) == key.lower())
+        return lacks(line, key) & F.coalesce(named, F.lit(False))
+
+    def any_line(test: Callable[[Column, str], Column]) -> Column:
+        return F.exists(lines, lambda x: C.any_of(test(x, key) for key in required))
+
+    # a line that is no object comes out as NULL, or makes the whole list NULL
+    strange = items.isNull() | lines.isNull() | F.exists(lines, lambda x: x.isNull())
+    return (
+        F.when(text.isNull(), "null")
+        .when(parsed.isNull(), "broken")
+        .when(~kind.startswith("ARRAY") & ~kind.startswith("OBJECT"), "not_a_list")
+        .when(F.size(F.try_variant_get(parsed, "$", "array<variant>")) == 0, "empty")
+        .when(strange, "not_an_object")
+        .when(any_line(cased), "other_case")
+        .when(any_line(lacks), "missing_key")
+    )
+
+
+def rejected_payloads(
+    df: DataFrame, json_col: str, item_schema: str, keep: Sequence[str], required: Sequence[str] = ()
+) -> DataFrame:
+    """Rows whose payload `explode_json` loses wholly or in part, with the payload and the `reason`.
+
+    All columns are those of the input, so that the table can be mended and read again.
+    """
+    named = dict.fromkeys([*keep, json_col])
+    return df.select(*named, json_problem(json_col, item_schema, required).alias("reason")).where("reason IS NOT NULL")
+
+
 def with_keyword_class(df: DataFrame, text_col: str, keywords, default=None, out: str = "code") -> DataFrame:
     return df.withColumn(out, C.keyword_class(F.col(text_col), keywords, default))
 

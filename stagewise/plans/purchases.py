@@ -9,7 +9,7 @@ from stagewise.config import FunnelConfig
 from stagewise.functions import columns as C
 from stagewise.functions import vocab
 from stagewise.operators.keyed import first_per_key, first_seen, next_event
-from stagewise.operators.labelling import explode_json
+from stagewise.operators.labelling import explode_json, rejected_payloads
 from stagewise.operators.match import followed_by
 from stagewise.operators.skew import find_hot
 from stagewise.operators.stages import exclude_test_records
@@ -35,6 +35,17 @@ def payment_items(payments: DataFrame) -> DataFrame:
     return explode_json(payments, "data", PAYMENT_ITEM, keep).select(*keep, F.col("item.Description").alias("text"))
 
 
+def rejected_payments(src: FunnelSources, cfg: FunnelConfig) -> DataFrame:
+    """Real payments whose lines are lost, or have no text, with the reason."""
+    return rejected_payloads(real_payments(src, cfg), "data", PAYMENT_ITEM, ["id", "client_id", "moment"], ["Description"])
+
+
+def rejected_orders(src: FunnelSources) -> DataFrame:
+    """Orders whose packages cannot be read, with the reason; an order may well have none."""
+    found = rejected_payloads(src.orders, "data", ORDER_ITEM, ["payment_id", "state"], ["lessons_count"])
+    return found.where(~F.col("reason").isin("null", "empty"))
+
+
 def order_states(orders: DataFrame) -> DataFrame:
     """Per payment: has it a paid order, a cancelled order, any lesson package?
 

@@ -9,6 +9,7 @@ from stagewise.functions import vocab
 from stagewise.operators import periods as P
 from stagewise.operators import stages as S
 from stagewise.operators.lead_type import label_lead_type, unconverted_lead_type
+from stagewise.operators.labelling import explode_json, rejected_payloads
 from stagewise.operators.match import attribute_within, followed_by, nearest_match
 from stagewise.plans import report as R
 from tests.conftest import values
@@ -250,3 +251,21 @@ def test_conversion_rates_and_as_of(rows):
     assert (as_of.requests, as_of.finished) == (8000, 2656)
     assert as_of.request_to_finished == pytest.approx(2656 / due)
     assert R.conversion_as_of(fact, "2023-01-01").first().request_to_finished is None
+
+
+def test_rejected_payloads_by_reason(spark):
+    cases = {
+        None: "null", "": "broken", "[{": "broken", "x": "broken", '[{"Description":"a"},{"Desc': "broken", "7": "not_a_list",
+        '"text"': "not_a_list", "null": "not_a_list", "[]": "empty", "[1]": "not_an_object", '[{"Description":"a"},2]': "not_an_object",
+        '[{"description":"a"}]': "other_case", '[{"Description":"a"},{"DESCRIPTION":"b"}]': "other_case", '[{"Other":"a"}]': "missing_key",
+        "{}": "missing_key", '[{"Description":"a"},{}]': "missing_key", '[{"Description":null}]': None, '{"Description":"a"}': None,
+        '[{"Description":"a","description":"b"}]': None, '[{"Description":{"deep":1}}]': None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "id long, data string")
+    got = rejected_payloads(df, "data", "struct<Description:string>", ["id"], ["Description"])
+    assert got.columns == ["id", "data", "reason"]
+    assert {r["data"]: r["reason"] for r in got.collect()} == {k: v for k, v in cases.items() if v}
+    # what is not rejected, or only lacks a key, gives a line for each element
+    lines = explode_json(df.join(got, "id", "left_anti"), "data", "struct<Description:string>", ["id"])
+    assert lines.count() == sum(v is None for v in cases.values())
+    assert rejected_payloads(df.limit(0), "data", "struct<a:int>", ["id"]).isEmpty()
