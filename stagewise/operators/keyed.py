@@ -42,16 +42,15 @@ def next_event(
         return rows.withColumn(out, F.lead(ts).over(Window.partitionBy(*keys).orderBy(*order)))
 
     def sliced(rows: DataFrame) -> DataFrame:
-        cut = with_blocks(rows, keys, {"_slice": F.unix_micros(F.col(ts).cast("timestamp"))})
+        cut = with_blocks(rows, keys, {"_slice": [F.col(ts), *[F.col(c) for c in tie]]})
         by = [*keys, "_slice"]
         # a struct, to tell a following row without time from no following row
         inside = cut.withColumn("_next", F.lead(F.struct(ts)).over(Window.partitionBy(*by).orderBy(*order)))
         # the last row of a slice is followed by the first of the next slice
-        starts = cut.groupBy(*by).agg(F.min(ts).alias("_start"))
+        starts = cut.groupBy(*by).agg(F.min(F.struct(ts)).alias("_start"))
         follow = starts.withColumn("_follow", F.lead("_start").over(Window.partitionBy(*keys).orderBy("_slice")))
         joined = join_same(inside, follow.drop("_start"), by)
-        following = F.when(F.col("_next").isNull(), F.col("_follow")).otherwise(F.col("_next")[ts])
-        return joined.withColumn(out, following).drop("_slice", "_next", "_follow")
+        return joined.withColumn(out, F.coalesce("_next", "_follow")[ts]).drop("_slice", "_next", "_follow")
 
     return by_group_size(df, keys, plain, sliced, hot, hot_rows, work)
 

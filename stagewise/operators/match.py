@@ -79,7 +79,10 @@ def asof(
         return finish(sweep(df, keys))
 
     def sliced(df: DataFrame) -> DataFrame:
-        cut = with_blocks(df, keys, {"_slice": F.unix_micros(F.col("_t").cast("timestamp"))})
+        # the order of the sweep, ascending; left rows of one instant never see each other, so any order does
+        side = -F.col("_side") if ahead else F.col("_side")
+        ids = [F.col(f"{f}.{o.row_id}") for f, o in zip(found, others)]
+        cut = with_blocks(df, keys, {"_slice": [F.col("_t"), side, *ids, F.xxhash64("_row")]})
         by = [*keys, "_slice"]
         # what a slice hands on: the nearest rows of the slices swept before it
         best = cut.groupBy(*by).agg(*[nearest(f).alias(f) for f in found])

@@ -91,8 +91,7 @@ def _numbered(df, cols, grains, exact_daily_lead, by_lead=(), by_request=()):
     for g in grains:
         for product in (False, True):
             p = _lead_periods(cols, g, exact_daily_lead, product)
-            exact = exact_daily_lead and product and g == "day"
-            keys = [cols.person, p, *([cols.product] if product else []), *(by_lead[1:] if exact else by_lead)]
+            keys = [cols.person, p, *([cols.product] if product else []), *by_lead]
             ranks[f"_lead_{g}_{int(product)}"] = F.row_number().over(lead_order.partitionBy(*keys))
         keys = [cols.person, period(g, F.col(cols.request_day)), cols.product, *by_request]
         ranks[f"_request_{g}"] = F.row_number().over(request_order.partitionBy(*keys))
@@ -105,12 +104,14 @@ LEAD_SLICE, REQUEST_SLICE = ("_day", "_lead_block"), ("_request_block",)
 def in_slices(df: DataFrame, cols: FlagColumns) -> DataFrame:
     """Rows of large groups with the slices they are numbered in.
 
-    Slices follow the numbering order: tag, day of the lead, then a block of lead
-    times; or tag, request day, then a block of request ids. Rows without a
-    request get no number by request that counts, and are cut by lead time there.
+    Slices follow the numbering order: tag, day of the lead, then a block of lead times,
+    request ids and ties; or tag, request day, then a block of request ids and ties. Rows of
+    one instant are so cut like any others. Rows without a request get no number by request
+    that counts, and are cut by lead time there.
     """
-    lead, request = F.unix_micros(F.col(cols.lead_ts).cast("timestamp")), F.col(cols.request_id).cast("long")
-    cut = with_blocks(df, [cols.person], {"_lead_block": lead, "_id_block": request})
+    ties = [F.col(c) for c in cols.ties if c != cols.request_id]
+    lead, request = F.col(cols.lead_ts), F.col(cols.request_id)
+    cut = with_blocks(df, [cols.person], {"_lead_block": [lead, request, *ties], "_id_block": [request, *ties]})
     block = F.when(F.col(cols.request_day).isNull(), F.col("_lead_block")).otherwise(F.col("_id_block"))
     return cut.withColumns({"_day": F.to_date(cols.lead_ts), "_request_block": block}).drop("_id_block")
 
@@ -126,7 +127,6 @@ def _numbered_in_slices(df, cols, grains, exact_daily_lead):
     for g in grains:
         for with_product in (False, True):
             if exact_daily_lead and with_product and g == "day":
-                before[f"_b_lead_{g}_1"] = F.lit(0)
                 continue
             keys = [person, period(g, F.col("_day")), *([product] if with_product else [])]
             before[f"_b_lead_{g}_{int(with_product)}"] = _rows_before(keys, lead_slice)
@@ -144,6 +144,13 @@ def _numbered_in_slices(df, cols, grains, exact_daily_lead):
     ranked = _numbered(sliced, cols, grains, exact_daily_lead, by_lead=lead_slice, by_request=request_slice)
     joined = join_same(ranked, lead_offsets, [person, product, *lead_slice])
     joined = join_same(joined, request_offsets, [person, product, *request_slice])
+    if exact_daily_lead and "day" in grains:
+        # numbers of one instant start again, so slices are counted by instant; the first needs no row
+        instant = [person, cols.lead_ts, product]
+        sizes = sliced.groupBy(*instant, *lead_slice).agg(F.count(F.lit(1)).alias("_n"))
+        before = sizes.withColumn("_b_exact", _rows_before(instant, lead_slice)).where("_b_exact > 0").drop("_n")
+        joined = join_same(joined, before, [*instant, *lead_slice])
+        joined = joined.withColumn("_b_lead_day_1", F.coalesce("_b_exact", F.lit(0)))
     names = [f"_lead_{g}_{p}" for g in grains for p in (0, 1)] + [f"_request_{g}" for g in grains]
     return joined.withColumns({n: F.col(n) + F.col("_b" + n) for n in names}).select(*df.columns, *names)
 

@@ -20,8 +20,9 @@ from stagewise.session import Workspace
 HOT_ROWS = 1_000_000
 # the list of hot keys is broadcast up to this many, beyond that it is joined as any table
 MAX_BROADCAST_KEYS = 500_000
-# blocks that a hot group is cut into
+# blocks that a hot group is cut into, and rows sampled for each
 BLOCKS = 256
+SAMPLE = 20
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -55,25 +56,37 @@ def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, work:
     return HotGroups(None if large.isEmpty() else large)
 
 
-def with_blocks(df: DataFrame, keys: Sequence[str], blocks: dict[str, Column], n: int = BLOCKS) -> DataFrame:
-    """Add a block number per column name: groups are cut at the quantiles of a whole number.
+def with_blocks(df: DataFrame, keys: Sequence[str], blocks: dict[str, Sequence[Column]], n: int = BLOCKS) -> DataFrame:
+    """Add a block number per name: groups are cut by splitters sampled from a whole order.
 
-    Bounds come from the rows of each group, so blocks are about equal whatever
-    the numbers are; a larger number is never in an earlier block. Equal numbers
-    share a block; a missing number has none. One row of bounds per group.
+    The order is ascending, NULL first, over all columns given, so rows of one instant are
+    cut as well where later columns tell them apart; only rows that are equal in all of them
+    share a block for certain. A later row is never in an earlier block. About
+    ``SAMPLE * n`` rows of a group, chosen by the hash of their place, give its splitters:
+    that many values are gathered in one row, however large the group is.
     """
-    shares = [i / n for i in range(1, n)]
-    bounds = df.groupBy(*keys).agg(
-        *[F.percentile_approx(value, shares, 20 * n).alias("_bounds" + name) for name, value in blocks.items()]
-    )
-    joined = join_same(df, bounds, keys)
-
-    def number(value: Column, at: str) -> Column:
-        reached = F.filter(F.array_distinct(at), lambda b: b <= value)
-        return F.when(value.isNotNull(), F.size(reached))
-
-    joined = joined.withColumns({name: number(value, "_bounds" + name) for name, value in blocks.items()})
-    return joined.drop(*["_bounds" + name for name in blocks])
+    at = {name: F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]) for name, order in blocks.items()}
+    placed = df.withColumns({"_at" + name: place for name, place in at.items()})
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    sized = join_same(placed.select(*keys, *["_at" + name for name in blocks]), sizes, keys)
+    every = F.greatest(F.lit(1), F.floor(F.col("_size") / (SAMPLE * n)))
+
+    def sample(name: str) -> Column:
+        place = F.col("_at" + name)
+        return F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64(place), every) == 0, place)))
+
+    def splitters(name: str) -> Column:
+        found = F.col("_sample" + name)
+        chosen = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get(found, (i * F.size(found) / n).cast("int")))
+        return F.array_distinct(F.array_compact(chosen)).alias("_bounds" + name)
+
+    samples = sized.groupBy(*keys).agg(*[sample(name).alias("_sample" + name) for name in blocks])
+    joined = join_same(placed, samples.select(*keys, *[splitters(name) for name in blocks]), keys)
+
+    def number(name: str) -> Column:
+        return F.size(F.filter("_bounds" + name, lambda b: b <= F.col("_at" + name)))
+
+    return joined.withColumns({name: number(name) for name in blocks}).drop(*["_bounds" + name for name in blocks], *["_at" + name for name in blocks])
 
 
 def by_group_size(

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from stagewise.operators import skew
 from stagewise.operators.keyed import next_event
@@ -123,3 +124,59 @@ def test_slices_of_a_hot_group_stay_small(spark):
         assert sizes.agg({"count": "max"}).first()[0] <= 30_000 / 64
     plain = period_flags(df, cols, hot=HotGroups(None))
     assert values(period_flags(df, cols, hot_rows=1000)) == values(plain)
+
+
+@pytest.fixture(scope="module")
+def instant(spark):
+    """One key, one instant: a bulk import of 20,000 rows, told apart by their ids only."""
+    return spark.range(20_000).selectExpr(
+        "IF(id % 10 = 0, 'other', 'hot') AS key", "id * 7919 % 20011 AS id", "TIMESTAMP '2024-01-05 10:00:00' AS at"
+    )
+
+
+def largest_block(df, by):
+    return df.groupBy(*by).count().agg({"count": "max"}).first()[0]
+
+
+def test_rows_of_one_instant_are_cut(instant):
+    cut = skew.with_blocks(instant, ["key"], {"_slice": [F.col("at"), F.col("id")]})
+    sizes = sorted(r["count"] for r in cut.where("key = 'hot'").groupBy("_slice").count().collect())
+    assert len(sizes) > 200 and sizes[-1] <= 4 * sizes[len(sizes) // 2]
+    ends = cut.where("key = 'hot'").groupBy("_slice").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("_slice")
+    ends = ends.collect()
+    assert all(a.hi < b.lo for a, b in zip(ends, ends[1:]))
+
+
+def test_next_event_of_one_instant(instant):
+    rows = instant.withColumn("at", F.when(F.col("id") % 5 > 0, F.col("at")))
+    plain = next_event(rows, ["key"], "at", ["id"], hot=HotGroups(None))
+    assert values(next_event(rows, ["key"], "at", ["id"], hot_rows=5000)) == values(plain)
+
+
+@pytest.mark.parametrize("direction", ["next", "prev"])
+def test_asof_of_one_instant(instant, direction):
+    """Both sides meet in two instants a second apart, most rows in the first."""
+    shifted = instant.withColumn("at", F.when(F.col("id") % 50 == 0, F.expr("at + interval 1 second")).otherwise(F.col("at")))
+    left = shifted.where("id % 2 = 0").select("key", "id", "at")
+    other = Other(shifted.where("id % 2 = 1").selectExpr("key", "id AS rid", "at AS rat"), "rat", "rid", "m")
+    plain = asof(left, other, ["key"], "at", direction, HotGroups(None))
+    assert values(asof(left, other, ["key"], "at", direction, hot_rows=5000)) == values(plain)
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_period_flags_of_one_instant(spark, exact):
+    df = spark.range(12_000).selectExpr(
+        "'hot' AS phone",
+        "IF(id % 3 = 0, 'math', 'english') AS subject_name",
+        "IF(id % 2 = 0, DATE '2024-01-06', NULL) AS trial_created_at",
+        "TIMESTAMP '2024-01-05 10:00:00' AS lead_created",
+        "IF(id % 2 = 0, 1, 2) AS union_rn",
+        "IF(id % 2 = 0, id % 7, NULL) AS lesson_id",
+        "id AS row",
+    )
+    cols = FlagColumns(ties=("row",))
+    cut = in_slices(df, cols)
+    for slices in ([*LEAD_SLICE], ["trial_created_at", *REQUEST_SLICE]):
+        assert largest_block(cut, ["union_rn", *slices]) <= 12_000 / 64
+    plain = period_flags(df, cols, exact_daily_lead=exact, hot=HotGroups(None))
+    assert values(period_flags(df, cols, exact_daily_lead=exact, hot_rows=1000)) == values(plain)
