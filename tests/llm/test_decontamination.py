@@ -1,7 +1,8 @@
 import random
 import re
 
-from stagewise.llm.decontamination import contained_items
+from stagewise.llm import decontamination
+from stagewise.llm.decontamination import MISS, contained_items, hashes_needed, size_class
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,6 +70,43 @@ def test_repeated_lines_and_scattered_pieces(spark):
     assert sorted((tuple(x) for x in got.collect()), key=repr) == want
 
 
+def test_recall_of_minhash_alone(spark):
+    """Without the search for scattered pieces: edited items of all sizes inside long documents."""
+    r = random.Random(10)
+    words = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    items, docs = [], []
+    for i in range(400):
+        item = words(r.choice([4, 6, 11, 20, 37, 65, 130, 300]))
+        items.append((i, " ".join(item)))
+        item[r.randrange(len(item))] = "edit"
+        docs.append((i, " ".join(words(r.randrange(3000)) + item + words(r.randrange(3000)))))
+    want = brute(docs, items)
+    assert len(want) > 200
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(x) for x in contained_items(docs, items, scattered=False).collect()}
+    assert got <= set(want) and len(got) >= 0.99 * len(want)
+    assert sorted((tuple(x) for x in contained_items(docs, items).collect()), key=repr) == want
+
+
+def test_items_in_parts(spark, monkeypatch):
+    items = [(i % 3, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(20)]
+    docs = spark.createDataFrame([(i, f"a b c {t} d e") for i, (_, t) in enumerate(items)], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(tuple(x) for x in contained_items(docs, table).collect())
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 100)
+    assert sorted(tuple(x) for x in contained_items(docs, table).collect()) == whole and len(whole) == 20
+
+
+def test_hashes_keep_the_chance_of_a_miss():
+    assert [size_class(n) for n in (1, 2, 3, 4, 5, 64, 65)] == [1, 2, 4, 4, 8, 64, 128]
+    for raw in (1, 2, 3, 9, 33, 64, 500):
+        size = size_class(raw)
+        k = hashes_needed(raw, size, 0.8)
+        shared = -(-raw * 4 // 5)
+        assert (1 - shared / (2 * size + raw - shared)) ** k <= MISS and k <= decontamination.HASHES
+    assert hashes_needed(5, size_class(60), 0.8) > decontamination.HASHES
+
+
 def test_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, "Two three four five six"), (1, "two three four five six"), (2, None)], "item_id long, text string")
     assert sorted(tuple(r) for r in contained_items(odd, items).collect()) == [(4, 1, 1, 1)] * 4
