@@ -12,14 +12,19 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from stagewise.session import Workspace
 
 HOT_ROWS = 1_000_000
 # the list of hot keys is broadcast up to this many, beyond that it is joined as any table
 MAX_BROADCAST_KEYS = 500_000
+# keys that a summary of frequent keys holds, and lists; a key with more than one row in
+# SURE is listed for certain: its error is a row in 0.75 * TRACKED, and two errors tell keys apart
+TRACKED, LISTED = 16_384, 8_192
+SURE = int(0.75 * TRACKED / 2)
 # blocks that a hot group is cut into, and rows sampled for each
 BLOCKS = 256
 SAMPLE = 20
@@ -56,6 +61,49 @@ def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, work:
     return HotGroups(None if large.isEmpty() else large)
 
 
+def stage_watched(
+    df: DataFrame, name: str, keys: Sequence[str], work: Workspace, hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, dict[str, HotGroups]]:
+    """Stage a relation, and list the large groups of each key column out of the same write.
+
+    Every writing task keeps a summary of frequent keys of bounded size; they are merged as
+    metrics of the write, so that no job counts the groups. Up to ``hot_rows * SURE`` rows
+    (about 6 * 10**9 at the default) a summary misses no group above ``hot_rows``; beyond
+    that the groups of the staged rows are counted. NULL is a group like any other.
+    """
+    seen = Observation()
+    metrics = [F.count(F.lit(1)).alias("n")]
+    for i, key in enumerate(keys):
+        column = "`" + key.replace("`", "``") + "`"
+        metrics.append(F.expr(f"approx_top_k({column}, {LISTED}, {TRACKED})").alias(f"top{i}"))
+        metrics.append(F.count_if(F.expr(column).isNull()).alias(f"nulls{i}"))
+    staged = work.stage(df.observe(seen, *metrics), name)
+    found = seen.get
+    hot = {}
+    for i, key in enumerate(keys):
+        if found["n"] <= hot_rows:
+            hot[key] = HotGroups(None)
+        elif found["n"] > hot_rows * SURE:
+            hot[key] = find_hot(staged, [key], hot_rows, work)
+        else:
+            large = [(top["item"],) for top in found[f"top{i}"] if top["item"] is not None and top["count"] > hot_rows]
+            large += [(None,)] if found[f"nulls{i}"] > hot_rows else []
+            schema = StructType([StructField(key, staged.schema[key].dataType)])
+            hot[key] = HotGroups(df.sparkSession.createDataFrame(large, schema) if large else None)
+    return staged, hot
+
+
+def merged_hot(name: str, *groups: DataFrame | None) -> HotGroups:
+    """Groups that are large in any of several relations, each a list of one column."""
+    lists = [g.toDF(name) for g in groups if g is not None]
+    if not lists:
+        return HotGroups(None)
+    out = lists[0]
+    for more in lists[1:]:
+        out = out.union(more)
+    return HotGroups(out.distinct())
+
+
 def with_blocks(df: DataFrame, keys: Sequence[str], blocks: dict[str, Sequence[Column]], n: int = BLOCKS) -> DataFrame:
     """Add a block number per name: groups are cut by splitters sampled from a whole order.
 

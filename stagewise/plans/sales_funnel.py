@@ -13,7 +13,7 @@ from stagewise.functions import vocab
 from stagewise.operators.lead_type import request_lead_type
 from stagewise.operators.match import attribute_within
 from stagewise.operators.periods import GRAINS, FlagColumns, period_flags, period_labels
-from stagewise.operators.skew import find_hot
+from stagewise.operators.skew import HotGroups, merged_hot, stage_watched
 from stagewise.operators.stages import (
     Stage,
     attach_stages,
@@ -89,6 +89,8 @@ def request_rows(
     first_trial: DataFrame,
     first_trial_any: DataFrame,
     cfg: FunnelConfig,
+    hot_phones: HotGroups,
+    hot_students: HotGroups,
     work: Workspace | None = None,
 ) -> DataFrame:
     """Requests with the later stages, then the lead and its attribution."""
@@ -129,8 +131,6 @@ def request_rows(
     logged = created_by_staff(staged, R.staff_log(src), ["student_id", "subject_id", "lesson_id"], "lesson_id")
     # a lead's nearest request is its earliest later one, so none outside these times can matter
     slots = R.matchable_requests(trials, src.subjects, cfg).where(lead_window("request_created_at", cfg))
-    contacts = src.landing_leads.select("phone").unionAll(trials.select("parent_phone"))
-    hot_phones = find_hot(contacts, ["phone"], cfg.hot_rows, work)
     matched = L.matched_leads(leads, slots, cfg, hot_phones, work).select(
         F.col("phone").alias("_phone"),
         F.col("lesson_id").alias("_lesson"),
@@ -153,7 +153,7 @@ def request_rows(
         "created_at",
         "added_to_telemarketing_list_request",
         cfg.touch_ttl,
-        find_hot(trials, ["student_id"], cfg.hot_rows, work),
+        hot_students,
         work=work,
     )
 
@@ -202,8 +202,10 @@ def in_play(src: FunnelSources, requests: DataFrame) -> DataFrame:
     return by_phone.unionByName(persons.where("parent_phone IS NULL").join(students, "student_id", "left_semi"))
 
 
-def narrowed(src: FunnelSources, cfg: FunnelConfig, work: Workspace) -> tuple[FunnelSources, DataFrame, DataFrame]:
-    """The requests of the slice, the trial history of the people in play, and their sources.
+def narrowed(
+    src: FunnelSources, cfg: FunnelConfig, work: Workspace
+) -> tuple[FunnelSources, DataFrame, DataFrame, dict[str, HotGroups]]:
+    """The requests of the slice, the trial history of the people in play with its large groups, and their sources.
 
     A run covers a short slice of a long history. Leads and their tags are cut
     by time at the scan. Payments, lessons and registration touches are cut to the
@@ -236,23 +238,43 @@ def narrowed(src: FunnelSources, cfg: FunnelConfig, work: Workspace) -> tuple[Fu
         lesson_creation_logs=src.lesson_creation_logs.join(requests.select("lesson_id"), "lesson_id", "left_semi"),
         traffic_source=src.traffic_source.join(players.select("parent_id"), "parent_id", "left_semi"),
     )
-    trials = work.stage(R.trial_lessons(src, players), "trials")
-    return src, requests, trials
+    # leads and trials of a phone are swept together, so either side alone counts from half the size
+    trials, hot = stage_watched(
+        R.trial_lessons(src, players), "trials", ["parent_phone", "student_id"], work, cfg.hot_rows // 2
+    )
+    return src, requests, trials, hot
 
 
 def funnel_rows(src: FunnelSources, cfg: FunnelConfig, work: Workspace) -> DataFrame:
     """Request rows and unconverted leads, tagged 1 and 2."""
-    src, requests, trials = narrowed(src, cfg, work)
-    leads = L.flagged_leads(src, cfg)
+    src, requests, trials, hot = narrowed(src, cfg, work)
+    leads, hot_leads = stage_watched(L.flagged_leads(src, cfg), "leads", ["phone"], work, cfg.hot_rows // 2)
+    hot_phones = merged_hot("phone", hot_leads["phone"].keys, hot["parent_phone"].keys)
     first_trial = R.first_trials(trials, cfg, by_subject=True)
     first_trial_any = R.first_trials(trials, cfg, by_subject=False)
-    converted = request_rows(src, requests, trials, L.labelled_leads(leads), first_trial, first_trial_any, cfg, work)
+    converted = request_rows(
+        src,
+        requests,
+        trials,
+        L.labelled_leads(leads),
+        first_trial,
+        first_trial_any,
+        cfg,
+        hot_phones,
+        hot["student_id"],
+        work,
+    )
     unconverted = L.unconverted_leads(src, L.first_leads_of_day(leads), first_trial, first_trial_any, cfg)
     return union_stages(converted, unconverted).select(*STAGE_COLUMNS, "union_rn")
 
 
-def flagged_rows(rows: DataFrame, cfg: FunnelConfig, work: Workspace | None = None) -> DataFrame:
-    """Period flags, less the unconverted leads of days that are covered."""
+def flagged_rows(
+    rows: DataFrame, cfg: FunnelConfig, work: Workspace | None = None, hot: HotGroups | None = None
+) -> DataFrame:
+    """Period flags, less the unconverted leads of days that are covered.
+
+    ``hot`` lists the large groups of phones, if they are known.
+    """
 
     def flags(df: DataFrame) -> DataFrame:
         return period_flags(
@@ -261,6 +283,7 @@ def flagged_rows(rows: DataFrame, cfg: FunnelConfig, work: Workspace | None = No
             sentinel=cfg.sentinel,
             exact_daily_lead=cfg.exact_daily_lead,
             hot_rows=cfg.hot_rows,
+            hot=hot,
             work=work,
         )
 
@@ -272,11 +295,12 @@ def sales_funnel(src: FunnelSources, cfg: FunnelConfig = FunnelConfig(), work: W
     """The fact table of 52 columns: stages, flags and per-period labels.
 
     Relations read more than once are staged in the shared work folder: the
-    requests, people and trial lessons in play, the stacked and the flagged rows.
+    requests, people and trial lessons in play, the flagged leads, the stacked and the
+    flagged rows. Large groups are learnt from these writes.
     """
     work = work or Workspace(src.lessons.sparkSession)
-    rows = work.stage(funnel_rows(src, cfg, work), "rows")
-    fact = work.stage(flagged_rows(rows, cfg, work), "flagged")
+    rows, hot = stage_watched(funnel_rows(src, cfg, work), "rows", ["phone"], work, cfg.hot_rows)
+    fact = work.stage(flagged_rows(rows, cfg, work, hot["phone"]), "flagged")
     out = fact
     for grain in reversed(GRAINS):
         out = period_labels(

@@ -11,6 +11,7 @@ from stagewise.operators.keyed import next_event
 from stagewise.operators.match import Other, asof, nearest_match
 from stagewise.operators.periods import LEAD_SLICE, REQUEST_SLICE, FlagColumns, in_slices, period_flags
 from stagewise.operators.skew import HotGroups, find_hot
+from stagewise.session import Workspace
 from tests.conftest import values
 
 START = datetime(2024, 1, 1)
@@ -44,6 +45,33 @@ def test_next_event(events, hot_rows):
     assert values(next_event(events, ["key"], "at", ["id"], hot_rows=hot_rows)) == values(plain)
 
 
+def test_large_groups_come_with_the_staging_write(spark, events):
+    with Workspace(spark) as work:
+        staged, hot = skew.stage_watched(events, "events", ["key", "id"], work, 150)
+        assert values(staged) == values(events)
+        assert [r.key for r in hot["key"].keys.collect()] == ["hot"] and hot["id"].keys is None
+        # NULL is a group too; nothing is large in a table of no rows
+        nulls = events.withColumn("key", F.when(F.col("key") != "hot", F.col("key")))
+        assert [r.key for r in skew.stage_watched(nulls, "nulls", ["key"], work, 150)[1]["key"].keys.collect()] == [None]
+        assert skew.stage_watched(events.limit(0), "none", ["key"], work, 0)[1]["key"].keys is None
+        known = skew.stage_watched(events, "again", ["key"], work, 10)[1]["key"]
+        plain = next_event(events, ["key"], "at", ["id"], hot=HotGroups(None))
+        assert values(next_event(events, ["key"], "at", ["id"], hot=known, work=work)) == values(plain)
+
+
+def test_groups_beyond_the_summary_are_counted(spark, events, monkeypatch):
+    monkeypatch.setattr(skew, "SURE", 1)
+    with Workspace(spark) as work:
+        hot = skew.stage_watched(events, "events", ["key"], work, 150)[1]["key"]
+        assert [r.key for r in hot.keys.collect()] == ["hot"]
+
+
+def test_merged_lists(spark):
+    one, two = spark.createDataFrame([("a",), ("b",)], "x string"), spark.createDataFrame([("b",), (None,)], "y string")
+    assert values(skew.merged_hot("key", one, None, two).keys) == [("a",), ("b",), (None,)]
+    assert skew.merged_hot("key", None, None).keys is None
+
+
 def test_long_lists_of_hot_keys_are_not_broadcast(events, monkeypatch):
     monkeypatch.setattr(skew, "MAX_BROADCAST_KEYS", 0)
     plain = next_event(events, ["key"], "at", ["id"], hot=HotGroups(None))
