@@ -16,6 +16,7 @@ from stagewise.plans import report as R
 from stagewise.plans import requests as Q
 from stagewise.plans.firsts import FunnelFirsts
 from stagewise.plans.refresh import FactStore, refresh_slice
+from stagewise.operators.rules import launch_table
 from stagewise.plans.sales_funnel import FLAG_COLUMNS, LABEL_PERSON, STAGE_COLUMNS, sales_funnel
 from stagewise.session import Workspace
 from stagewise.sources.tables import write_fact
@@ -419,6 +420,12 @@ def funnel_slice(spark, d):
     return sales_funnel(V.sources(spark, d), SLICE)
 
 
+@query("funnel_rule_rows", FUNNEL_SQL.replace(_between(CFG), _between(SLICE)) + f"SELECT {_PLAIN_FLAG} FROM funnel")
+def funnel_rule_rows(spark, d):
+    """The fact table of the same slice with the launch rules as rows of a table."""
+    return sales_funnel(V.sources(spark, d), SLICE, page_rules=launch_table(spark, SLICE.site))
+
+
 @query("funnel_full_report", FUNNEL_SQL + f"""
 SELECT {_period('week', 'lead_created')} AS period, coalesce(CASE WHEN external_source_type_lead IN {vocab.TRAFFIC_TYPES}
          THEN external_source_type_lead END, 'undefined') AS traffic_type, lead_type_week AS enrolment_type,

@@ -9,6 +9,7 @@ from queries.registry import query
 from stagewise.functions import columns as C
 from stagewise.functions import vocab
 from stagewise.operators import labelling as L
+from stagewise.operators import rules as R
 from stagewise.operators.stages import exclude_test_records
 
 def n():
@@ -145,6 +146,34 @@ def rule_flag(spark, d):
     return L.with_rule_flag(seen, "page", "seen_at", "tag", rules).groupBy("rule_flag").agg(n())
 
 
+@query("page_rule_label", f"""
+WITH p AS (SELECT page_id, {_PATH} AS path, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * (page_id * 2220 % 2592000) AS seen_at FROM pages),
+lp AS (SELECT seen_at, CASE WHEN right(path, 1) = '/' THEN path ELSE path || '/' END AS page FROM p)
+SELECT CASE WHEN contains(page, 'blog.') AND CAST(seen_at AS DATE) >= DATE '2024-01-05'
+                 AND seen_at < TIMESTAMP '2024-01-15 00:00:00' THEN 'blog'
+            WHEN (right(page, 5) = '/853/' OR contains(page, '/en/')) AND seen_at > TIMESTAMP '2024-01-20 12:00:00' THEN 'late'
+            WHEN starts_with(page, 'https://blog.') THEN 'other_blog'
+            WHEN contains(page, 'a') THEN 'any' ELSE 'none' END AS label, count(*) AS n
+FROM lp GROUP BY 1
+""")
+def page_rule_label(spark, d):
+    """All pages labelled by rows of a rule table: the smallest priority whose time has come and not passed."""
+    pages = L.with_canonical_page(V.table(spark, d, "pages"), "url")
+    seen = pages.withColumn(
+        "seen_at", F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id * 2220 % 2592000)")
+    )
+    rows = [
+        (4, "contains", "a", None, None, False, "any"),
+        (3, "startswith", "https://blog.", None, None, None, "other_blog"),
+        (2, "contains", "/en/", "2024-01-20 12:00:00", None, False, "late"),
+        (2, "endswith", "/853/", "2024-01-20 12:00:00", None, False, "late"),
+        (1, "contains", "blog.", "2024-01-05 08:00:00", "2024-01-15 00:00:00", True, "blog"),
+    ]
+    table = spark.createDataFrame(rows, R.PAGE_RULES.replace("timestamp", "string"))
+    times = {c: F.col(c).cast("timestamp") for c in ("starts", "ends")}
+    return R.with_rule_label(seen, "page", "seen_at", table.withColumns(times), "none").groupBy("label").agg(n())
+
+
 @query("exclude_tests", f"""
 WITH {V.SOURCES_SQL}
 SELECT 'leads' AS kind, count(*) AS n FROM s_landing_leads WHERE lower(name) NOT IN ('test', 'тест') OR name IS NULL

@@ -11,7 +11,8 @@ from stagewise.operators import match as M
 from stagewise.operators import stages as S
 from stagewise.operators.keyed import first_seen, first_trial, next_event
 from stagewise.operators.labelling import explode_json
-from stagewise.operators.lead_type import label_lead_type
+from stagewise.operators.lead_type import REQUEST_DECISIONS, REQUEST_FACTS, label_lead_type, request_facts
+from stagewise.operators.rules import decide, decision_table
 
 HALF_DAY = 43_200
 
@@ -296,6 +297,17 @@ def lead_type(spark, d):
     return led_requests(spark, d).groupBy("lead_type", "lead_type_2").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("lead_type_table", LED_SQL + "SELECT lead_type, lead_type_2, count(*) AS n FROM typed GROUP BY 1, 2")
+def lead_type_table(spark, d):
+    """The same types by a table of decisions."""
+    names = ["log_id", "lead_at", "lead_subject", "first_at", "first_any", "request_at", "rule_flag"]
+    rules = decision_table(spark, REQUEST_FACTS, REQUEST_DECISIONS)
+    typed = decide(
+        led_requests(spark, d).drop("lead_type_2"), request_facts(*[F.col(c) for c in names]), rules, out="lead_type_2"
+    )
+    return typed.groupBy("lead_type", "lead_type_2").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("same_hour", LED_SQL + """
 SELECT CASE WHEN date_trunc('hour', lead_at) = date_trunc('hour', request_at) THEN 'new' ELSE 'current' END
          AS same_bucket, count(*) AS n FROM typed GROUP BY 1

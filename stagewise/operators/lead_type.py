@@ -87,3 +87,53 @@ def unconverted_lead_type(
         ],
         None,
     )
+
+
+# the rules above as decisions over few facts, the first that fits wins; None fits any value
+REQUEST_FACTS = ("origin", "history", "landing")
+REQUEST_DECISIONS = (
+    ("own", "same", None, USER_NEW),
+    ("own", "other", None, USER_CURRENT),
+    ("led", "later", "1", FUNNEL_PAGE),
+    ("led", "later", "0", OTHER_PAGE),
+    ("led", "earlier", None, RESCHEDULED),
+    ("unled", None, None, OTHER),
+    (None, None, None, vocab.UNDEFINED),
+)
+UNCONVERTED_FACTS = ("history", "landing")
+UNCONVERTED_DECISIONS = (
+    ("earlier", None, RESCHEDULED),
+    ("fresh", "1", FUNNEL_PAGE),
+    ("fresh", "0", OTHER_PAGE),
+)
+
+
+def request_facts(
+    staff_log: Column,
+    lead_ts: Column,
+    subject: Column,
+    first_trial: Column,
+    first_trial_any: Column,
+    request_ts: Column,
+    rule_flag: Column,
+) -> dict[str, Column]:
+    """What the type of a request's lead depends on, for `rules.decide`."""
+    own, led = staff_log.isNull(), lead_ts.isNotNull()
+    first = F.when(subject.isNotNull(), first_trial).otherwise(first_trial_any)
+    compared = F.when(first_trial_any == request_ts, "same").when(first_trial_any != request_ts, "other")
+    history = F.when(first >= lead_ts, "later").when(first < lead_ts, "earlier")
+    return {
+        "origin": F.when(own, "own").when(led, "led").otherwise("unled"),
+        "history": F.when(own, compared).otherwise(history),
+        "landing": rule_flag.cast("string"),
+    }
+
+
+def unconverted_facts(
+    lead_ts: Column, product: Column, first_trial: Column, first_trial_any: Column, rule_flag: Column
+) -> dict[str, Column]:
+    """What the type of a lead without a request depends on, for `rules.decide`."""
+    no_product = product.isNull() | (product == vocab.UNDEFINED)
+    earlier = (first_trial < lead_ts) | ((first_trial_any < lead_ts) & no_product)
+    fresh = first_trial.isNull() | (first_trial == lead_ts) | first_trial_any.isNull() | (first_trial_any == lead_ts)
+    return {"history": F.when(earlier, "earlier").when(fresh, "fresh"), "landing": rule_flag.cast("string")}

@@ -14,6 +14,7 @@ from stagewise.operators.keyed import first_per_key
 from stagewise.operators.labelling import launch_rules, with_canonical_page, with_rule_flag
 from stagewise.operators.lead_type import unconverted_lead_type
 from stagewise.operators.match import nearest_match
+from stagewise.operators.rules import with_rule_label
 from stagewise.operators.skew import HotGroups
 from stagewise.operators.stages import exclude_test_records
 from stagewise.session import Workspace
@@ -26,10 +27,19 @@ def real_leads(src: FunnelSources) -> DataFrame:
     return exclude_test_records(src.landing_leads, names={"name": (vocab.TEST_LEAD_NAMES, True)})
 
 
-def flagged_leads(src: FunnelSources, cfg: FunnelConfig) -> DataFrame:
-    """Real leads with page and funnel-page flag."""
+def flagged_leads(src: FunnelSources, cfg: FunnelConfig, page_rules: DataFrame | None = None) -> DataFrame:
+    """Real leads with page and funnel-page flag.
+
+    The flag follows the fixed launch times, or the rows of ``page_rules`` if they are
+    given: any rule that holds sets it, whatever its label.
+    """
     leads = with_canonical_page(real_leads(src), "page_url", vocab.PAGE_LABELS, cfg.strict_pages)
-    flagged = with_rule_flag(leads, "page", "created_at", "tag", launch_rules(cfg.site), out="op_landing")
+    if page_rules is None:
+        flagged = with_rule_flag(leads, "page", "created_at", "tag", launch_rules(cfg.site), out="op_landing")
+    else:
+        labelled = with_rule_label(leads, "page", "created_at", page_rules.withColumn("label", F.lit("1")), out="_rule")
+        hit = F.col("_rule").isNotNull() | C.has_tag(labelled, "tag", vocab.FUNNEL_TAG)
+        flagged = labelled.withColumn("op_landing", F.when(hit, 1).otherwise(0))
     return flagged.select("phone", "subject", "created_at", "page", "op_landing")
 
 

@@ -245,10 +245,12 @@ def narrowed(
     return src, requests, trials, hot
 
 
-def funnel_rows(src: FunnelSources, cfg: FunnelConfig, work: Workspace) -> DataFrame:
+def funnel_rows(
+    src: FunnelSources, cfg: FunnelConfig, work: Workspace, page_rules: DataFrame | None = None
+) -> DataFrame:
     """Request rows and unconverted leads, tagged 1 and 2."""
     src, requests, trials, hot = narrowed(src, cfg, work)
-    leads, hot_leads = stage_watched(L.flagged_leads(src, cfg), "leads", ["phone"], work, cfg.hot_rows // 2)
+    leads, hot_leads = stage_watched(L.flagged_leads(src, cfg, page_rules), "leads", ["phone"], work, cfg.hot_rows // 2)
     hot_phones = merged_hot("phone", hot_leads["phone"].keys, hot["parent_phone"].keys)
     first_trial = R.first_trials(trials, cfg, by_subject=True)
     first_trial_any = R.first_trials(trials, cfg, by_subject=False)
@@ -291,15 +293,21 @@ def flagged_rows(
     return flags(kept.select(*rows.columns)) if cfg.flags_after_suppression else kept
 
 
-def sales_funnel(src: FunnelSources, cfg: FunnelConfig = FunnelConfig(), work: Workspace | None = None) -> DataFrame:
+def sales_funnel(
+    src: FunnelSources,
+    cfg: FunnelConfig = FunnelConfig(),
+    work: Workspace | None = None,
+    page_rules: DataFrame | None = None,
+) -> DataFrame:
     """The fact table of 52 columns: stages, flags and per-period labels.
 
     Relations read more than once are staged in the shared work folder: the
     requests, people and trial lessons in play, the flagged leads, the stacked and the
-    flagged rows. Large groups are learnt from these writes.
+    flagged rows. Large groups are learnt from these writes. ``page_rules`` are launch rules
+    as rows (``operators.rules.PAGE_RULES``) in place of the fixed ones.
     """
     work = work or Workspace(src.lessons.sparkSession)
-    rows, hot = stage_watched(funnel_rows(src, cfg, work), "rows", ["phone"], work, cfg.hot_rows)
+    rows, hot = stage_watched(funnel_rows(src, cfg, work, page_rules), "rows", ["phone"], work, cfg.hot_rows)
     fact = work.stage(flagged_rows(rows, cfg, work, hot["phone"]), "flagged")
     out = fact
     for grain in reversed(GRAINS):
