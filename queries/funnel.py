@@ -17,6 +17,7 @@ from stagewise.plans import requests as Q
 from stagewise.plans.firsts import FunnelFirsts
 from stagewise.plans.refresh import FactStore, refresh_slice
 from stagewise.operators.rules import launch_table
+from stagewise.plans.watch import Watch
 from stagewise.plans.sales_funnel import FLAG_COLUMNS, LABEL_PERSON, STAGE_COLUMNS, sales_funnel
 from stagewise.session import Workspace
 from stagewise.sources.tables import write_fact
@@ -426,6 +427,46 @@ def funnel_rule_rows(spark, d):
     return sales_funnel(V.sources(spark, d), SLICE, page_rules=launch_table(spark, SLICE.site))
 
 
+_OF_REQUESTS = "count(*) FILTER (union_rn = 1 AND {})"
+_METRICS = {
+    "rows_all": {
+        ("rows", "rows"): "count(*)",
+        ("rows", "request_rows"): _OF_REQUESTS.format("true"),
+        ("rows", "without_lead"): _OF_REQUESTS.format("lal_created_at IS NULL"),
+        ("rows", "without_finish"): _OF_REQUESTS.format("trial_finished_at IS NULL"),
+        ("rows", "without_purchase"): _OF_REQUESTS.format("first_purchase IS NULL"),
+        ("rows", "without_first_trial"): _OF_REQUESTS.format("first_trial_any IS NULL"),
+        ("rows", "without_lead_time"): "count(*) FILTER (lead_created IS NULL)",
+        ("rows", "finished_without_request"): "count(*) FILTER (trial_finished_at IS NOT NULL AND trial_created_at IS NULL)",
+        ("rows", "lead_after_request"): _OF_REQUESTS.format("CAST(lal_created_at AS DATE) > trial_created_at"),
+        ("requests", "made_up"): "count(DISTINCT lesson_id) FILTER (lesson_id NOT IN (SELECT lesson_id FROM joined))",
+        ("requests", "largest_fan_out"): "any_value((SELECT max(n) FROM (SELECT count(*) AS n FROM converted GROUP BY lesson_id)))",
+    },
+    "joined": {
+        ("requests", "expected"): "count(DISTINCT lesson_id)",
+        ("requests", "lost"): "count(DISTINCT lesson_id) FILTER (lesson_id NOT IN (SELECT lesson_id FROM converted))",
+    },
+    "fact": {
+        ("flagged", "rows"): "count(*)",
+        ("flagged", "request_rows"): _OF_REQUESTS.format("true"),
+        ("flagged", "not_numbered"): f"count(*) FILTER ({' OR '.join(f'{n}{b} IS NULL' for n in _NAMES.values() for b in ('', '_lead'))})",
+        ("flagged", "later_leads_of_a_day"): "count(*) FILTER (union_rn <> 1 AND rn_daily <> 1)",
+        **{("flagged", f"counted_{n[3:]}{b}"): f"count(*) FILTER ({n}{b} = 1)" for n in _NAMES.values() for b in ("", "_lead")},
+    },
+}
+
+
+@query("funnel_figures", FUNNEL_SQL + " UNION ALL ".join(
+    f"SELECT '{stage}' AS stage, '{metric}' AS metric, {value} AS value FROM {source}"
+    for source, metrics in _METRICS.items() for (stage, metric), value in metrics.items()
+))
+def funnel_figures(spark, d):
+    """The figures a run is watched by; the run stops where one breaks its bounds."""
+    watch = Watch()
+    sales_funnel(V.sources(spark, d), CFG, watch=watch)
+    return watch.table(spark)
+
+
 @query("funnel_full_report", FUNNEL_SQL + f"""
 SELECT {_period('week', 'lead_created')} AS period, coalesce(CASE WHEN external_source_type_lead IN {vocab.TRAFFIC_TYPES}
          THEN external_source_type_lead END, 'undefined') AS traffic_type, lead_type_week AS enrolment_type,

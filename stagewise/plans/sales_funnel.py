@@ -26,6 +26,7 @@ from stagewise.operators.stages import (
 from stagewise.plans import leads as L
 from stagewise.plans import purchases as P
 from stagewise.plans import requests as R
+from stagewise.plans.watch import Watch, flag_metrics, row_metrics
 from stagewise.session import Workspace
 from stagewise.sources.tables import FunnelSources
 
@@ -92,10 +93,13 @@ def request_rows(
     hot_phones: HotGroups,
     hot_students: HotGroups,
     work: Workspace | None = None,
+    watch: Watch | None = None,
 ) -> DataFrame:
     """Requests with the later stages, then the lead and its attribution."""
     base = exclude_test_records(requests, names={"first_name": (vocab.TEST_STUDENT_NAMES, False)})
     base = base.where(F.col("subject_id").isNotNull())
+    if watch is not None:
+        watch.expect(base, "lesson_id")
     staged = attach_stages(
         base,
         [
@@ -246,7 +250,11 @@ def narrowed(
 
 
 def funnel_rows(
-    src: FunnelSources, cfg: FunnelConfig, work: Workspace, page_rules: DataFrame | None = None
+    src: FunnelSources,
+    cfg: FunnelConfig,
+    work: Workspace,
+    page_rules: DataFrame | None = None,
+    watch: Watch | None = None,
 ) -> DataFrame:
     """Request rows and unconverted leads, tagged 1 and 2."""
     src, requests, trials, hot = narrowed(src, cfg, work)
@@ -265,6 +273,7 @@ def funnel_rows(
         hot_phones,
         hot["student_id"],
         work,
+        watch,
     )
     unconverted = L.unconverted_leads(src, L.first_leads_of_day(leads), first_trial, first_trial_any, cfg)
     return union_stages(converted, unconverted).select(*STAGE_COLUMNS, "union_rn")
@@ -298,6 +307,7 @@ def sales_funnel(
     cfg: FunnelConfig = FunnelConfig(),
     work: Workspace | None = None,
     page_rules: DataFrame | None = None,
+    watch: Watch | None = None,
 ) -> DataFrame:
     """The fact table of 52 columns: stages, flags and per-period labels.
 
@@ -305,10 +315,25 @@ def sales_funnel(
     requests, people and trial lessons in play, the flagged leads, the stacked and the
     flagged rows. Large groups are learnt from these writes. ``page_rules`` are launch rules
     as rows (``operators.rules.PAGE_RULES``) in place of the fixed ones.
+    A ``watch`` takes the figures of the run and stops it where one lies outside its bounds.
     """
     work = work or Workspace(src.lessons.sparkSession)
-    rows, hot = stage_watched(funnel_rows(src, cfg, work, page_rules), "rows", ["phone"], work, cfg.hot_rows)
-    fact = work.stage(flagged_rows(rows, cfg, work, hot["phone"]), "flagged")
+
+    def written(stage: str, metrics: dict[str, Column], df: DataFrame, write):
+        return write(df) if watch is None else watch.during(stage, metrics, df, write)
+
+    rows, hot = written(
+        "rows",
+        row_metrics(),
+        funnel_rows(src, cfg, work, page_rules, watch),
+        lambda df: stage_watched(df, "rows", ["phone"], work, cfg.hot_rows),
+    )
+    fact = written(
+        "flagged", flag_metrics(), flagged_rows(rows, cfg, work, hot["phone"]), lambda df: work.stage(df, "flagged")
+    )
+    if watch is not None:
+        watch.compare(rows.where("union_rn = 1"), "lesson_id")
+        watch.verify()
     out = fact
     for grain in reversed(GRAINS):
         out = period_labels(
