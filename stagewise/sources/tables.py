@@ -42,6 +42,38 @@ class FunnelSources:
         return cls(**{n: spark.table(tables.get(n, n)) for n in cls.names()})
 
 
+# the column by which each history table meets the others
+BUCKET_KEYS = {
+    "payments": "client_id",
+    "orders": "payment_id",
+    "lessons": "id",
+    "lessons_students": "student_id",
+    "lessons_students_statuses": "lesson_id",
+    "lesson_creation_logs": "lesson_id",
+    "students": "parent_id",
+    "parents": "id",
+    "traffic_source": "parent_id",
+}
+
+
+def write_bucketed(src: FunnelSources, root: str, prefix: str, buckets: int) -> dict[str, str]:
+    """Lay the sources out as catalog tables, history in buckets by the key it is joined by.
+
+    Returns the names for ``FunnelSources.from_tables``; tables are ``<prefix><source>``, files lie
+    under ``root``. A join on the key then moves only the other side, which the run has
+    already narrowed, to the buckets. Take as many buckets as give files of a few hundred MB,
+    and at least as many as ``spark.sql.shuffle.partitions``. Rows go to their bucket before
+    they are written, so that there is one file per bucket.
+    """
+    names = {}
+    for name in FunnelSources.names():
+        df, key = getattr(src, name), BUCKET_KEYS.get(name)
+        writer = df.write if key is None else df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+        names[name] = prefix + name
+        writer.mode("overwrite").option("path", f"{root.rstrip('/')}/{name}").saveAsTable(names[name])
+    return names
+
+
 def write_fact(fact: DataFrame, path: str, mode: str = "overwrite", replace_months: bool = False) -> None:
     """Write the fact ordered by lead time, in one folder per lead month.
 
