@@ -286,7 +286,7 @@ def labels_refresh(spark, d):
     labelled = space.stage(_labelled(_kept(before), space), "labelled")
     after = N.update_flags(before, late, gone, _IDS, space, COLS, sentinel=SENTINEL, hot=_hot_contacts(spark, d))
     after, old = space.stage(_kept(after), "after"), _kept(before)
-    changed = space.stage(old.exceptAll(after).unionByName(after.exceptAll(old)), "changed")
+    changed = space.stage(N.unequal(old, after), "changed")
     rows = N.update_labels(labelled, after, changed, _PERSON, space, cols=COLS, sentinel=SENTINEL)
     return rows.select(*_IDS, *_ALL_LABELS).distinct()
 

@@ -32,6 +32,12 @@ def without(df: DataFrame, gone: DataFrame, ids: Sequence[str]) -> DataFrame:
     return join_same(df, gone.select(*ids).distinct(), ids, "left_anti")
 
 
+def unequal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Different rows that one of two tables has more often than the other, from one shuffle of both."""
+    both = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
+    return both.groupBy(*a.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0").drop("_n")
+
+
 def update_flags(
     flagged: DataFrame,
     added: DataFrame,
