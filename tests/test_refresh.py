@@ -140,6 +140,83 @@ def test_a_lost_run_is_finished_or_dropped(spark, tmp_path, monkeypatch, three_m
     assert not os.path.exists(store.path("pending")) and not os.path.exists(store.path("fact/lead_month=2024-02-01"))
 
 
+def test_new_rows_wait_before_they_fan_out(spark, tmp_path, monkeypatch):
+    """Rows are staged, compared and shuffled once each, not once for each choice of their labels."""
+    src, staged, done = V.sources(spark, SMALL), [], FactStore.finish
+    store = FactStore(spark, str(tmp_path / "store"))
+    plain, calls = Workspace.stage, []
+    with monkeypatch.context() as m:
+        m.setattr(FactStore, "finish", lambda self: calls.append(1))
+        m.setattr(Workspace, "stage", lambda self, df, name: staged.append(name) or plain(self, df, name))
+        refresh_slice(store, src, part("2024-01-01 00:00:00", "2024-01-31 00:00:00"))
+    waiting = spark.read.parquet(store.path("pending/fact"))
+    counted = waiting.count()
+    done(store)
+    assert len(calls) == 2 and "lead_type_month" not in waiting.columns
+    assert counted < store.read().count() == sales_funnel(src, CFG).count()
+    # what is stored is compared where it lies
+    staged.clear()
+    with monkeypatch.context() as m:
+        m.setattr(Workspace, "stage", lambda self, df, name: staged.append(name) or plain(self, df, name))
+        refresh_slice(store, src, part("2024-01-10 00:00:00", "2024-01-31 00:00:00"))
+    assert not {"mine", "kept"} & set(staged)
+
+
+def test_months_are_told_apart_by_sums(rows):
+    labels = ", ".join(f"{c} string" for c in refresh.LABELS)
+    schema = f"a string, b string, x double, lead_month date, {labels}"
+
+    def month(*data):
+        df = rows(schema, [(*r, "2024-01-01", *[None] * 5, last) for *r, last in data])
+        printed = df.select("lead_month", *refresh.prints(["a", "b", "x"]), *refresh.LABELS)
+        return refresh.sums_by_month(printed.select("lead_month", *refresh.with_labels()))
+
+    base = [("u", None, 1.0, "l"), ("v", "w", None, None)]
+    assert month(*base) == month(*base[::-1])
+    assert month(*base, base[0]) != month(*base) != month(*base, base[1])
+    # a value in the next column, a label gone, one row twice in place of two
+    assert month(("u", None, 1.0, "l")) != month((None, "u", 1.0, "l"))
+    assert month(("u", None, 1.0, "l")) != month(("u", None, 1.0, None))
+    assert month(base[0], base[0]) != month(*base) != month(base[1], base[1])
+
+
+def test_a_run_lost_by_older_code_is_finished(spark, tmp_path, three_months):
+    """Its pending rows lie by month, with their labels, and its plan names no months."""
+    stored, _, want = three_months
+    store = FactStore(spark, str(shutil.copytree(stored, tmp_path / "store")))
+    refresh.write_fact(want, store.path("pending/fact"), ordered=False)
+    plan = [("2024-01-01 00:00:00", "2024-03-31 00:00:00", [date(2024, 2, 1)])]
+    spark.createDataFrame(plan, "lo string, hi string, emptied array<date>").write.parquet(store.path("pending/plan"))
+    store.finish()
+    assert same(store.read().drop("lead_month"), want) and not os.path.exists(store.path("pending"))
+
+
+def test_people_of_other_slices_are_carried_over(spark, tmp_path):
+    """A month in which only some people change keeps the rows of the others."""
+    src = leads_only(spark, months=1)
+    store = FactStore(spark, str(tmp_path / "store"))
+    a, b = part("2024-01-01 00:00:00", "2024-01-30 12:00:00"), part("2024-01-30 12:00:00", "2024-01-31 00:00:00")
+    refresh_slice(store, src, a)
+    refresh_slice(store, src, b)
+    assert same(store.read().drop("lead_month"), sales_funnel(src, replace(CFG, lo=a.lo, hi=b.hi)))
+
+
+def test_events_by_type(spark, tmp_path, rows):
+    """The staged events are those of the table, also without type, code or time."""
+    table = rows(
+        "event_id long, ts timestamp, user_id long, event_type string, value double, props string",
+        [
+            (1, "2024-01-01 00:00:01", 2, "view", 1.5, '{"k": 7}'),
+            (1, "2024-01-01 00:00:01", 2, "view", 1.5, '{"k": 7}'),
+            (3, None, None, None, None, None),
+            (4, "2024-01-02 00:00:01.25", 4, "a/b", 0.0, "{"),
+        ],
+    )
+    table.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = V.events_by_type(spark, str(tmp_path)).select("event_id", "ts", "user_id", "event_type", "value", "k")
+    assert values(got) == values(V.events(spark, str(tmp_path)))
+
+
 def test_bounds():
     assert joined_bounds(None, part("a", "b")) == ("a", "b")
     assert joined_bounds(("2024-01-05", "2024-01-10"), part("2024-01-01", "2024-01-05")) == ("2024-01-01", "2024-01-10")

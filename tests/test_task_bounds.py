@@ -59,3 +59,8 @@ def test_unequal_rows(rows):
     b = rows("v string, k int", [("a", 1), (None, 2), ("d", 4)])
     assert values(unequal(a, b)) == [(1, "a"), (3, "c"), (4, "d")]
     assert unequal(a, a).isEmpty()
+
+
+def test_large_groups_without_a_key(rows):
+    assert skew.named_keys(None) is None and skew.named_keys(rows("phone string", [(None,)])) is None
+    assert values(skew.named_keys(rows("phone string", [(None,), ("a",)]))) == [("a",)]
